@@ -29,8 +29,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": _query("repeated_lines", "repeated_lines", "university_data"),
         "p1_clean": _query("repeated_lines", "remove_repeated", "university_data"),
+        "p3_found": _query("conversations", "broken_conversations", "messages", "conversations"),
+        "p3_rebuilt": _query("conversations", "rebuilt", "messages", "conversations"),
+        "p3_links": _query("conversations", "reply_links", "messages"),
         "p4_found": _query("history_dedup", "repeated_records", "university_data"),
         "p5_found": _query("residue", "found_pages", "university_data"),
         "p5_reasons": _query("residue", "residue_pages", "university_data"),
         "p6_found": _query("main_body", "outside_lines", "university_data"),
+        "p8_ids": _query("encode", "encode_texts", "documents"),
+        "p9_found": _query("leakage", "found_leaks", "documents", "eval_items"),
+        "p9_words": _query("leakage", "leaks", "documents", "eval_items"),
     }
