@@ -34,14 +34,14 @@ _ACT = r"(?:answer|answered|reply|respond|help|assist|comment|discuss|share|prov
 _NEG = r"(?:can(?:no|')?t|cannot|can not|could not|couldn't|unable|not able|won't be able|will not|won't|not allowed|not permitted|not appropriate|inappropriate|not in a position|no comment|decline|declining|refuse|prevent\w*|outside|beyond|pass on|do not have permission|don't have permission|not authori[sz]ed|must not|may not|rather not|not something|restricted from|forbidden|not free|not going to|off limits)"
 _SELF = r"(?:\bi\b|\bi'm\b|\bmy\b|\bme\b|\bthis assistant\b|\bassistant\b|\bas an? \w+|\bsorry\b|\bapolog\w+|\bunfortunately\b|\bregret\w*|\bthis one\b|\bmyself\b|\bafraid\b)"
 _REFUSE = (re.compile(r"\b" + _NEG + r"\b", re.I), re.compile(r"\b" + _ACT + r"\b", re.I), re.compile(_SELF, re.I))
+_REFUSE_LATIN = re.compile(r"no puedo|lo siento|no me es posible|je ne (?:peux|suis)|je regrette|désolé|nicht (?:beantworten|helfen|sagen)|leider|tut mir leid|darf ich nicht|maaf kij|nahin? (?:bata|de) sakt", re.I)
 _REFUSE_OTHER = re.compile(
-    r"no puedo (?:responder|ayudar|contestar)|lo siento,? (?:pero )?no|no me es posible|je ne (?:peux|suis) pas|désolé,? (?:mais )?je|je regrette|kann ich (?:leider )?nicht|leider kann ich|tut mir leid|darf ich nicht|"
-    r"नहीं दे सकता|नहीं कर सकता|क्षमा करें|माफ़? ?कीजि|maaf kij|nahi(?:n)? bata sakt|nahi(?:n)? de sakt|抱歉|无法回答|不能回答|无法提供|對不起|对不起", re.I)
+    r"नहीं दे सकता|नहीं कर सकता|क्षमा करें|माफ़? ?कीजि|抱歉|无法回答|不能回答|无法提供|對不起|对不起", re.I)
 _HOLE = re.compile(r"<[a-z]{2,8}>|\{\w+\}|\[\w+\]")
 
 #: Function words by language; Romanised Hindi counts as Hindi.
 _FUNCTION = {
-    "en": "the is are of and to in for you it what how can be by with at on this that please will may a an do does when which there any not have from your we if must i or until before after costs stays holds".split(),
+    "en": "the is are of and to in for you it what how can be by with at on this that please will may a an do does when which there any not have from your we if must i or until before after costs stays holds refund rules deadline fee list documents cost much yes please single rooms".split(),
     "fr": "le la les des du une est et pour dans vous il que qui avec sur au aux sont ont cette ce par plus puis quel quelle quels je mon être été avant après faut se nous à d l en un".split(),
     "de": "der die das und ist für sind ein eine im zum zur den dem des mit bei bis wie von auf wird ich nicht sich es am zu hoch wann gibt kann mindestens erforderlich bietet".split(),
     "es": "el los las del una es y para con por que se al en este esta más su sus son hasta antes hay cuál cuánto cuándo cómo la de un lo no salvo puedo".split(),
@@ -60,24 +60,24 @@ _ASKED = {
     "hi": r"hindi|हिंदी|हिन्दी|印地语", "zh": r"chinese|mandarin|中文|汉语|chinois|chinesisch|chino|चीनी", "en": r"english|anglais|englisch|inglés|अंग्रेज़?ी|英语|英文",
 }
 _ASKED_OF = {k: re.compile(rf"(?<!\w)(?:{v})(?!\w)" if k != "zh" else v, re.I) for k, v in _ASKED.items()}
-_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+_TOKEN = re.compile(r"[^\W\d_]+")
+_ANY_SCRIPT = re.compile("|".join(p.pattern for _, p in _SCRIPTS))
 
 
 def language(text: str) -> tuple[str | None, float]:
     """Likeliest language and the evidence for it; None where a text says too little."""
-    for lang, pattern in _SCRIPTS:
-        n = len(pattern.findall(text))
+    if _ANY_SCRIPT.search(text):
         latin = len(re.findall(r"[a-z]", text))
-        if n >= 2 and n * (4 if lang in ("zh", "ja", "ko") else 1) >= latin * 0.5:
-            return lang, float(n)
+        for lang, pattern in _SCRIPTS:
+            n = len(pattern.findall(text))
+            if n >= 2 and n * (4 if lang in ("zh", "ja", "ko") else 1) >= latin * 0.5:
+                return lang, float(n)
     score: dict[str, float] = {}
-    for w in _TOKEN.findall(text):
-        # Names are no evidence; capitalised words count only as the first of the text.
-        for part in re.split(r"['’]", w.lower()) if "'" in w or "’" in w else (w.lower(),):
-            of = _FUNCTION_OF.get(part)
-            if of:
-                for lang in of:
-                    score[lang] = score.get(lang, 0.0) + 1.0 / len(of)
+    for part in _TOKEN.findall(text.lower()):
+        of = _FUNCTION_OF.get(part)
+        if of:
+            for lang in of:
+                score[lang] = score.get(lang, 0.0) + 1.0 / len(of)
     if not text.isascii():
         low = text.lower()
         for lang, marks in _MARKS.items():
@@ -99,13 +99,15 @@ def is_empty(answer: str | None) -> bool:
     """Null, blank, or only a sign or word that stands for no answer."""
     if answer is None:
         return True
+    if len(answer) > 40:
+        return not any(c.isalnum() for c in answer)
     own = letters(_INVISIBLE.sub("", answer))
     return not own or own in _NO_ANSWER
 
 
 def is_copy(question: str | None, answer: str) -> bool:
     """The answer gives back the question, or a sentence of it, and nothing else."""
-    if not question:
+    if not question or len(answer) > 2 * len(question) + 60:
         return False
     q = letters(question)
     for text in (answer, _COPY_LEAD.sub("", answer)):
@@ -118,18 +120,39 @@ def is_copy(question: str | None, answer: str) -> bool:
     return False
 
 
+class _Memo(dict):
+    """Remembers what a function gives; forgets all when it is full."""
+
+    def __init__(self, of, most: int = 200_000) -> None:
+        self.of, self.most = of, most
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        self[key] = value = self.of(key)
+        return value
+
+
+def _declining(sentence: str) -> bool:
+    return all(p.search(sentence) for p in _REFUSE)
+
+
+#: By masked sentence: names and numbers don't decline.
+_DECLINING = _Memo(_declining)
+
+
 def declines(answer: str) -> bool:
-    """Words of declining: a negation, an act of answering and the answerer, within the first sentences."""
-    text = _LEAD.sub("", answer)[:240].replace("’", "'")
-    first = re.split(r"(?<=[.!?])\s", text)
-    for s in first[:1]:
-        if all(p.search(s) for p in _REFUSE) and not re.search(r"\d", s):
-            return True
-    return bool(_REFUSE_OTHER.search(text))
+    """Words of declining: a negation, an act of answering and the answerer, within the first sentence; no numbers."""
+    text = _LEAD.sub("", answer)[:240]
+    if not text.isascii() and _ANY_SCRIPT.search(text) and _REFUSE_OTHER.search(text):
+        return True
+    first = re.split(r"(?<=[.!?])\s", text, maxsplit=1)[0].replace("’", "'")
+    if any(c.isdigit() for c in first):
+        return False
+    return _DECLINING[" ".join(mask_words(first))] or bool(_REFUSE_LATIN.search(first))
 
 
-def masked(word: str) -> str:
-    """A word without its variable part: names, numbers and amounts are the same."""
+def _masked(word: str) -> str:
     core = word.strip("()[]\"'“”‘’,;:")
     if not core:
         return ""
@@ -140,21 +163,39 @@ def masked(word: str) -> str:
     return core.lower()
 
 
+#: A word without its variable part: names, numbers and amounts are the same.
+_MASKED = _Memo(_masked)
+
+
 def mask_words(text: str) -> list[str]:
-    out: list[str] = []
-    for n, w in enumerate(text.split()):
-        m = w.lower().strip(",;:()\"") if n == 0 else masked(w)
+    words = text.split()
+    if not words:
+        return []
+    first = words[0].lower().strip(",;:()\"")
+    out = [first] if first else []
+    for w in words[1:]:
+        m = _MASKED[w]
         if m and not (m in "#@" and out and out[-1] == m):
             out.append(m)
     return out
 
 
-_SENTENCE = re.compile(r"(?<=[.!?।。！？])(?<!\bRs\.)(?<!\b[A-Z]\.)(?<!\bNo\.)(?<!B\.Sc\.)(?<!M\.Sc\.)(?<!B\.Des\.)(?<!Ph\.D\.)\s+|(?<=[।。！？])|\n+")
+_SENTENCE = re.compile(r"(?<=[.!?।])\s+|(?<=[。！？])|\n+")
 _END = re.compile(r"[.!?।。！？][\"'”’)\]]*$")
+#: Abbreviations whose full stop ends no sentence.
+_ABBREVIATION = re.compile(r"(?:^|[\s(])(?:Rs|No|Dr|Mr|Ms|Mrs|Prof|St|[A-Z]|(?:[A-Z][A-Za-z]{0,3}\.)+[A-Z]?[A-Za-z]{0,3})\.$")
 
 
 def sentences(text: str) -> list[str]:
-    return [s for s in _SENTENCE.split(text.strip()) if s and s.strip()]
+    out: list[str] = []
+    for p in _SENTENCE.split(text.strip()):
+        if not p or p.isspace():
+            continue
+        if out and out[-1][-1] == "." and _ABBREVIATION.search(out[-1][-12:]):
+            out[-1] += " " + p
+        else:
+            out.append(p)
+    return out
 
 
 def opening(answer: str) -> list[str]:
@@ -209,8 +250,8 @@ _OPEN_WORDS = frozenset(
 
 def unfinished(answer: str) -> list[str] | None:
     """Masked words of the last sentence if the answer doesn't end one, else None."""
-    text = _INVISIBLE.sub("", answer).rstrip()
-    if _END.search(text) and not re.search(r"(?:\bRs|\bB|\bM|\bPh|\bNo|\bDr|\bProf|\.\.)\.$", text):
+    text = (answer if answer.isascii() else _INVISIBLE.sub("", answer)).rstrip()
+    if text[-1:] in ".!?।。！？\"'”’)]" and _END.search(text) and not re.search(r"(?:\bRs|\bB|\bM|\bPh|\bNo|\bDr|\bProf|\.\.)\.$", text):
         return None
     last = sentences(text)
     return mask_words(last[-1]) if last else None
@@ -244,26 +285,45 @@ def _assess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=[f.split()[0] for f in _PAIR.split(", ")])
 
 
-def _sentence_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often word groups stand in whole sentences, and at their ends; added up before the shuffle."""
-    counts: dict[int, list[int]] = {}
+def _whole_sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Masked whole sentences and how often they stand; added up before the shuffle."""
+    counts: dict[str, int] = {}
 
     def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array([v[0] for v in counts.values()], pa.int64()), pa.array([v[1] for v in counts.values()], pa.int64())], names=["key", "n", "ends"])
+        out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["s", "n"])
         counts.clear()
         return out
 
     for batch in batches:
         for a in batch.column(0).to_pylist():
             for s in sentences(a or ""):
-                if _END.search(s):
+                if s[-1] in ".!?।。！？\"'”’)]" and _END.search(s):
                     words = mask_words(s)
                     if words:
                         words[-1] = words[-1].rstrip(".!?।。！？")
-                    for _, key, end in _tails(words):
-                        held = counts.setdefault(key, [0, 0])
-                        held[0] += 1
-                        held[1] += end
+                        key = " ".join(words)
+                        counts[key] = counts.get(key, 0) + 1
+        if len(counts) > 100_000:
+            yield flush()
+    if counts:
+        yield flush()
+
+
+def _sentence_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often word groups stand in whole sentences, and at their ends. Input: masked sentence, count."""
+    counts: dict[int, list[int]] = {}
+
+    def flush() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array([v[0] for v in counts.values()], pa.int64()), pa.array([v[1] for v in counts.values()], pa.int64())], names=["key", "n", "ends"])
+        counts.clear()
+        return out
+
+    for batch in batches:
+        for s, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for _, key, end in _tails(s.split(" ")):
+                held = counts.setdefault(key, [0, 0])
+                held[0] += n
+                held[1] += n * end
         if len(counts) > 200_000:
             yield flush()
     if counts:
@@ -312,7 +372,8 @@ def _defects(pairs: DataFrame) -> DataFrame:
     clusters = materialize(opening_clusters(assessed), "opening-clusters")
     unrelated = (F.col("prompts") >= PROMPTS) | (F.col("prompts") >= F.col("n") * SPREAD)
     refusing = clusters.filter(unrelated & ((F.col("cued") > F.col("n") * 0.3) | (F.col("holed") > F.col("n") * 0.3))).select("opening", F.lit(True).alias("refusing"))
-    ends = pairs.select("answer").mapInArrow(_sentence_ends, "key long, n long, ends long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
+    whole = pairs.select("answer").mapInArrow(_whole_sentences, "s string, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    ends = whole.mapInArrow(_sentence_ends, "key long, n long, ends long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
     tails = assessed.filter("tail IS NOT NULL AND defect IS NULL").select("pair_source", "pair_id", "tail", "whole")
     spelled = tails.select("pair_source", "pair_id", "tail", "whole", F.explode(F.sequence(F.lit(1), F.size("tail"))).alias("k"))
 
