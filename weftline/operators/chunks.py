@@ -32,7 +32,7 @@ def split_recursive(text: str, size: int = SIZE, overlap: int = OVERLAP, separat
     """Pieces of at most ``size`` characters, cut at the first separator that occurs, joined up to ``size`` with up to ``overlap`` repeated."""
     sep = next((s for s in separators if s == "" or s in text), "")
     rest = separators[separators.index(sep) + 1 :] if sep in separators else ()
-    parts = [p for p in (list(text) if sep == "" else text.split(sep)) if p]
+    parts = list(text) if sep == "" else text.split(sep)
     out: list[str] = []
     held: list[str] = []
     length = 0

@@ -52,7 +52,7 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int | None = None, *,
         def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, m = sent.value
             for pdf in batches:
-                if not len(pdf):
+                if not len(pdf) or not len(ids):
                     continue
                 keys = pdf.iloc[:, 0].to_numpy(np.int64)
                 v = np.stack(pdf.iloc[:, 1].to_numpy()).astype(np.float64)
