@@ -21,11 +21,15 @@ from pyspark.sql import functions as F
 from weftline.llm.common import materialize
 
 #: Bounds of the training sample, in documents: confirmed, cleared and unlabelled ones, chosen by the hash of doc_id.
-MOST_CONFIRMED, MOST_CLEARED, UNLABELLED = 6000, 6000, 4000
-BITS, PRIOR, EPOCHS = 18, 0.02, 14
+MOST_CONFIRMED, MOST_CLEARED, UNLABELLED = 3000, 2500, 2500
+#: Words on this share of the training passages count as a whole, without their letter groups.
+COMMON = 0.002
+BITS, PRIOR, EPOCHS = 18, 0.02, 8
+#: Within longer passages, the worst stretches of so many words count as well.
+STRETCHES = (4, 8)
 #: A passage may be what reviewers meant if confirmed texts hold it so many times as often as others.
 MEANT = 3
-NEAR = (-0.5, 1.5)
+NEAR = (0.0, 1.5)
 BAD = ("abusive", "hateful", "sexual")
 
 _INVISIBLE = re.compile(r"[­​-‏⁠-⁤﻿̀-ͯ]")
@@ -50,7 +54,7 @@ def undisguised(text: str) -> str:
     text = _SPACED.sub(_joined, text).lower()
     if not text.isascii() and re.search(r"[a-z]", text):
         text = re.sub(r"\w*[a-z]\w*", lambda m: m.group().translate(_CYRILLIC), text)
-    text = _LOOKALIKE.sub(lambda m: m.group() if re.fullmatch(r"[a-z]{0,3}[\-\s]?\d+[a-z%]{0,3}|\d+\W?\w{0,2}", m.group()) else m.group().translate(_LOOK), text)
+    text = _LOOKALIKE.sub(lambda m: m.group() if re.fullmatch(r"[a-z]{2,3}\d{3}|\d[\d.,:]*[a-z%]{0,2}", m.group()) else m.group().translate(_LOOK), text)
     return _STRETCH.sub(r"\1", text)
 
 
@@ -93,7 +97,8 @@ def _hash(feature: str) -> int:
 class Features:
     """Feature numbers and weights of words and of word pairs; a passage is the mean of its words and pairs."""
 
-    def __init__(self) -> None:
+    def __init__(self, common: frozenset[str] = frozenset()) -> None:
+        self.common = common
         self._words: dict[str, np.ndarray] = {}
 
     def word(self, word: str) -> np.ndarray:
@@ -101,20 +106,20 @@ class Features:
         if held is None:
             if len(self._words) > 300_000:
                 self._words.clear()
-            self._words[word] = held = np.array([_hash(f) for f in _groups(word)], np.int64)
+            self._words[word] = held = np.array([_hash(f) for f in (("w" + word,) if word in self.common else _groups(word))], np.int32)
         return held
 
     def passage(self, passage: str) -> tuple[np.ndarray, np.ndarray]:
         """Feature numbers and their values."""
         words = words_of(passage)
         if not words:
-            return np.zeros(0, np.int64), np.zeros(0, np.float32)
+            return np.zeros(0, np.int32), np.zeros(0, np.float32)
         ids, values = [], []
         for w in words:
             x = self.word(w)
             ids.append(x)
             values.append(np.full(len(x), 1.0 / np.sqrt(len(x)), np.float32))
-        pairs = np.array([_hash("b" + a + " " + b) for a, b in zip(words, words[1:])], np.int64)
+        pairs = np.array([_hash("b" + a + " " + b) for a, b in zip(words, words[1:])], np.int32)
         ids.append(pairs)
         values.append(np.full(len(pairs), 1.0, np.float32))
         scale = 1.0 / np.sqrt(max(4, len(words)))
@@ -124,14 +129,14 @@ class Features:
 class Model:
     """A linear model; scores the worst passage of a text."""
 
-    def __init__(self, w: np.ndarray, bias: float, threshold: float) -> None:
-        self.w, self.bias, self.threshold = w, bias, threshold
+    def __init__(self, w: np.ndarray, bias: float, threshold: float, common: frozenset[str] = frozenset()) -> None:
+        self.w, self.bias, self.threshold, self.common = w, bias, threshold, common
         self._held: dict[str, float] = {}
         self._pairs: dict[tuple[str, str], float] = {}
-        self._features = Features()
+        self._features = Features(common)
 
     def __getstate__(self):
-        return {"w": self.w, "bias": self.bias, "threshold": self.threshold}
+        return {"w": self.w, "bias": self.bias, "threshold": self.threshold, "common": self.common}
 
     def __setstate__(self, state):
         self.__init__(**state)
@@ -145,19 +150,30 @@ class Model:
             held.clear()
         if len(pairs) > 600_000:
             pairs.clear()
-        total = 0.0
-        for w in words:
+        each = []
+        for n, w in enumerate(words):
             s = held.get(w)
             if s is None:
                 x = self._features.word(w)
                 held[w] = s = float(self.w[x].sum() / np.sqrt(len(x)))
-            total += s
-        for p in zip(words, words[1:]):
-            s = pairs.get(p)
-            if s is None:
-                pairs[p] = s = float(self.w[_hash("b" + p[0] + " " + p[1])])
-            total += s
-        return total / float(np.sqrt(max(4, len(words)))) + self.bias
+            if n:
+                p = (words[n - 1], w)
+                q = pairs.get(p)
+                if q is None:
+                    pairs[p] = q = float(self.w[_hash("b" + p[0] + " " + p[1])])
+                s += q
+            each.append(s)
+        n = len(each)
+        score = sum(each) / max(4, n) ** 0.5
+        for k in STRETCHES:
+            if n > k:
+                run = best = sum(each[:k])
+                for i in range(k, n):
+                    run += each[i] - each[i - k]
+                    if run > best:
+                        best = run
+                score = max(score, best / k**0.5)
+        return score + self.bias
 
     def text(self, text: str | None) -> float:
         return max((self.passage(p) for p in passages(text or "")), default=-9.0)
@@ -166,7 +182,7 @@ class Model:
 def _csr(rows: list[tuple[np.ndarray, np.ndarray]]):
     sizes = np.array([len(i) for i, _ in rows], np.int64)
     starts = np.concatenate(([0], np.cumsum(sizes)))
-    return starts, np.concatenate([i for i, _ in rows] or [np.zeros(0, np.int64)]), np.concatenate([v for _, v in rows] or [np.zeros(0, np.float32)])
+    return starts, np.concatenate([i for i, _ in rows] or [np.zeros(0, np.int32)]), np.concatenate([v for _, v in rows] or [np.zeros(0, np.float32)])
 
 
 def _take(csr, rows: np.ndarray):
@@ -232,7 +248,6 @@ def train(confirmed: list[str], cleared: list[str], unlabelled: list[str], prior
 
     The first round weighs a passage by how rare its words are in the other texts; later ones by the model so far.
     """
-    features = Features()
     bad = [[p for p in passages(t) if words_of(p)] for t in confirmed]
     bad = [x for x in bad if x]
     good = [p for t in (*cleared, *unlabelled) for p in passages(t)]
@@ -243,6 +258,8 @@ def train(confirmed: list[str], cleared: list[str], unlabelled: list[str], prior
         ws = words_of(p)
         for w in {*ws, *(a + " " + b for a, b in zip(ws, ws[1:]))}:
             seen[w] = seen.get(w, 0) + 1
+    common = frozenset(w for w, k in seen.items() if " " not in w and k >= max(5, COMMON * len(good)))
+    features = Features(common)
     n = len(good)
 
     def rarity(p: str) -> float:
@@ -268,7 +285,7 @@ def train(confirmed: list[str], cleared: list[str], unlabelled: list[str], prior
     csr_u = _csr([features.passage(p) for p in good])
     first = np.array([rarity(p) for p in flat])
     w, bias = _fit_rounds(csr_p, owner, first, csr_u, prior)
-    return Model(w, bias, _crossed_threshold(csr_p, owner, first, csr_u, cleared, prior))
+    return Model(w, bias, _crossed_threshold(csr_p, owner, first, csr_u, cleared, prior), common)
 
 
 def _fit_rounds(csr_p, owner: np.ndarray, score: np.ndarray, csr_u, prior: float, rounds: int = 4) -> tuple[np.ndarray, float]:
@@ -332,14 +349,14 @@ def verdicts(labels: DataFrame) -> DataFrame:
 
 def fit(documents: DataFrame, labels: DataFrame) -> Model:
     """The model of these tables; the driver holds at most the bounded training sample."""
-    known = documents.join(verdicts(labels), "doc_id").filter("text IS NOT NULL").select("doc_id", "text", "bad").dropDuplicates(["doc_id"])
+    documents = documents.select("doc_id", "text").filter("text IS NOT NULL")
+    known = documents.join(verdicts(labels), "doc_id").dropDuplicates(["doc_id"])
     order = F.xxhash64(F.lit(5), "doc_id")
     texts = lambda df, n: [r["text"] for r in df.orderBy(order).limit(n).select("text").collect()]
     known = materialize(known, "reviewed")
     confirmed = texts(known.filter("bad"), MOST_CONFIRMED)
     cleared = texts(known.filter("NOT bad"), MOST_CLEARED)
-    rest = documents.filter("text IS NOT NULL").select("doc_id", "text")
-    unlabelled = texts(rest.join(verdicts(labels).filter("bad").select("doc_id"), "doc_id", "left_anti"), UNLABELLED)
+    unlabelled = texts(documents.join(verdicts(labels).filter("bad").select("doc_id"), "doc_id", "left_anti"), UNLABELLED)
     return train(confirmed, cleared, unlabelled)
 
 
