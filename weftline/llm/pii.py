@@ -23,7 +23,8 @@ LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 COMMON_SHARE = 0.001
 EXAMPLES = 4000
 
-TOKEN = re.compile(r"https?://\S+|www\.\S+|[^\s@<>()\[\],;:\"]+@[^\s@<>()\[\],;:\"]*[^\W_]|[^\W_]+(?:['’][^\W_]+)*|[^\w\s]|_")
+_CJK = "぀-ヿ一-鿿"
+TOKEN = re.compile(rf"[{_CJK}]+|" r"https?://\S+|www\.\S+|[^\s@<>()\[\],;:\"]+@[^\s@<>()\[\],;:\"]*[^\W_]|" rf"(?:(?![{_CJK}])[^\W_])+(?:['’](?:(?![{_CJK}])[^\W_])+)*|[^\w\s]|_")
 #: The digits spelled out.
 _NUMBER_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
 _SPELLED = re.compile(r"\b(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|double|triple)\b", re.I)
@@ -94,7 +95,7 @@ _MAIL_CARRIERS = """Write to me at {m}.|My mail is {m}|my email is {m}|please se
 contact {m} please|Reply to {m}|{m} is my address|my gmail {m}|mail me: {m}""".replace("\n", "|").split("|")
 _ID_CARRIERS = """For the record, identity card no. {i}.|passport {i}|Passport no. {i}.|Passport {i}.|(passport no. {i})|(my passport number is {i})|travelling on passport {i}|Details: travelling on passport {i}|Details: national ID {i}|national ID {i}|ID card number: {i}|Details: ID card number: {i}
 For the record, driving licence {i}.|driving licence {i}|DL no {i}|They asked for proof; enrolment no. {i}.|enrolment no. {i}|Details: enrolment no. {i}|(student ID: {i})|student ID {i}|PAN {i}|my PAN is {i}|tax number {i}|Tax ID: {i}|(tax ID {i})|taxpayer no. {i}|For the record, passport {i}.|They asked for proof; passport {i}.
-roll no. {i}|my roll number is {i}|registration no. {i}|Aadhaar {i}|aadhaar no: {i}|social security no. {i}|voter card {i}|licence number {i}|(driving licence {i})|They asked for proof; tax number {i}.|For the record, PAN card {i}.|my enrolment number is {i}|identity number {i}|National identity card {i}|मेरा पहचान पत्र {i} है।""".replace("\n", "|").split("|")
+roll no. {i}|my roll number is {i}|registration no. {i}|Aadhaar {i}|aadhaar no: {i}|social security no. {i}|voter card {i}|licence number {i}|(driving licence {i})|They asked for proof; tax number {i}.|For the record, PAN card {i}.|my enrolment number is {i}|identity number {i}|tax card: {i}|Tax card: {i}.|Details: tax card: {i}|({i})|For the record, student ID: {i}.|For the record, my enrolment number is {i}.|I am enrolled under number {i}.|(I am enrolled under number {i})|enrolled under {i}|registered with number {i}|holder of card {i}|National identity card {i}|मेरा पहचान पत्र {i} है।""".replace("\n", "|").split("|")
 _ADDRESS_CARRIERS = """I live at {a}.|i live at {a}|Address: {a}|address {a}|Please post it to {a}.|Courier the form to {a}, thanks.|We have moved to {a}.|we have moved to {a}|My home is {a}.|Send the letter to {a}|Deliver to {a}.|home address: {a}|मेरा पता {a} है।|Mi dirección es {a}.|J'habite au {a}.|Ich wohne in {a}.
 post the card to {a}|residing at {a}|My parents stay at {a}.|I stay at {a}, if it matters.""".replace("\n", "|").split("|")
 _PLAIN = """The receipt no. is {N10}.|Challan {N12} shows as pending.|Order {c}-{N10} is late.|Order {C}{N10} is late.|Form {N2}/{N2} was rejected.|Version {N1}.{N2}.{N1} of the app hangs.|The course code is {c}.|See https://help.{pl}.example/faq?id={N10} for the notice.|Follow @hostel_mess for updates.|Follow @{pl}_club for news.
@@ -169,7 +170,7 @@ class _Filler:
 
     def id_number(self) -> str:
         d, L = self.digits, lambda n: "".join(chr(65 + int(x)) for x in self.r.integers(0, 26, n))
-        return self.of([d(12), f"{d(4)} {d(4)} {d(4)}", f"{d(4)}-{d(4)}-{d(4)}", f"{L(1)} {d(7)}", f"{L(1)}{d(7)}", f"{L(5)}{d(4)}{L(1)}", f"{L(2)}-{d(2)} {d(11)}", f"{L(2)}{d(13)}", f"{L(2)}/{d(7)}", f"{L(2)}{d(8)}", f"/{d(7)}", f"/{d(8)}", f"/{d(8)}", d(8), d(9), f"{L(2)} {d(6)} {L(1)}", f"{L(3)}{d(7)}", f"{d(3)}-{d(2)}-{d(4)}", f"{d(2)}{L(2)}{d(4)}", f"{L(2)}-{d(8)}", f"/{d(10)}", f"{L(5)} {d(4)} {L(1)}", f"{d(4)}/{L(3)}/{d(5)}"])
+        return self.of([d(12), f"{d(4)} {d(4)} {d(4)}", f"{d(4)}-{d(4)}-{d(4)}", f"{L(1)} {d(7)}", f"{L(1)}{d(7)}", f"{L(5)}{d(4)}{L(1)}", f"{L(2)}-{d(2)} {d(11)}", f"{L(2)}{d(13)}", f"{L(2)}/{d(7)}", f"{L(2)}/{d(9)}", f"{L(2)}/{d(10)}", f"{L(2)}{d(10)}", d(7), f"{L(5)}{d(4)}{L(1)}", f"{L(5)}{d(4)}{L(1)}".lower(), f"{L(2)}{d(8)}", f"/{d(7)}", f"/{d(8)}", f"/{d(8)}", d(8), d(9), f"{L(2)} {d(6)} {L(1)}", f"{L(3)}{d(7)}", f"{d(3)}-{d(2)}-{d(4)}", f"{d(2)}{L(2)}{d(4)}", f"{L(2)}-{d(8)}", f"/{d(10)}", f"{L(5)} {d(4)} {L(1)}", f"{d(4)}/{L(3)}/{d(5)}"])
 
     def place(self) -> str:
         return self.of(_PLACE) + self.of(_PLACE_END)
@@ -273,6 +274,7 @@ def _trained(common: frozenset[str]) -> Chain:
 
 _ID_WORDS = re.compile(r"passport|licen[cs]e|identity|\bid\b|\bids\b|enrol|student|national|tax|pan\b|aadhaar|aadhar|card|roll|registration|पहचान|आधार|voter|security|matric|dl\b|ssn|proof|\brecord\b", re.I)
 _NOT_ID = re.compile(r"(?:order|receipt|challan|form|course|room|ticket|invoice|parcel|transaction|application|version|bill)\s*(?:no\.?|number|is|code)?[\s:#.\-]*(?:is)?\s*(?:[A-Z]{2}[\s\-]?\d*[\s\-]?)?$", re.I)
+_DIALLED = re.compile(r"^(?:0\d{2,4}-\d{6,7}|\+\d[\d \-]{8,}|\(\d{3}\) ?\d{3}-\d{4})$")
 _DATE = re.compile(r"^\W*(?:\d{4}-\d{1,2}(?:-\d{1,2})?|\d{1,2}[/.]\d{1,2}[/.]\d{4})\W*$")
 _STREET_WORD = re.compile(r"\b(?:street|road|lane|marg|path|nagar|avenue|colony|way|close|crescent|enclave|apartments?|sector|plot|flat|house|h\.? ?no|door|pin|apt)\b", re.I)
 
@@ -303,6 +305,8 @@ def spans_of(text: str, spots: list[tuple[int, int]], labels: np.ndarray) -> lis
             out[-1] = (out[-1][0], b, kind)
         else:
             out.append((a, b, kind))
+    # Numbers written as telephones are telephones, whatever stood before them.
+    out = [(a, b, "phone" if k == "id_number" and _DIALLED.match(text[a:b]) else k) for a, b, k in out]
     return [s for s in out if plausible(s[2], text[s[0] : s[1]], text[max(0, s[0] - 40) : s[0]])]
 
 
