@@ -28,8 +28,9 @@ _PLACEHOLDER = re.compile(
 _MISSING = re.compile(
     r"(?:(?:\b(?:fee|apply|contact|dear|welcome|left|page|date|by|on|for|to|before|of|is|hello|hi)\b:?\s+)(?:NaN|undefined|null|None|nil)\b(?!\s+(?:of|and|but|or)\b))|"
     r"\bNaN\b|\bundefined\b|(?<![\w'])null(?![\w'])(?!\s+(?:hypothes|and void|value))")
+#: What a text must hold for its pattern to be worth a look.
+_PATTERNS = ((("{", "[", "<", "%%", "##", "__", "@@", "&lt;", "%("), _PLACEHOLDER), (("NaN", "undefined", "null", "None", "nil"), _MISSING))
 _SPOKEN = re.compile(r"template exercise|such as\s*$|double braces|placeholders?\s+(?:like|such)|\bcalled\b|\bsyntax\b|\bfor example\b|\be\.g\.|written as|\bthe string\b|\bthe word\b", re.I)
-_TITLE_MISSING = re.compile(r"^(?:page|welcome|title|home)?:?\s*(?:undefined|null|nan|none|n/?a|untitled)?(?:\s*-\s*\w+)?$", re.I)
 
 _FILLER = re.compile(
     r"lorem|ipsum|dolor|consectetur|adipisc|eiusmod|incididunt|aliqua|veniam|ullamco|cillum|excepteur|proident|asdf|qwerty|(?:\btest\b\s*){2,}|x{4,}|dummy|placeholder|body copy|"
@@ -53,7 +54,9 @@ def placeholder_in(text: str | None) -> bool:
     """Whether a text holds an unfilled placeholder, or what a template prints for a missing value, other than as a subject."""
     if not text:
         return False
-    for pattern in (_PLACEHOLDER, _MISSING):
+    for marks, pattern in _PATTERNS:
+        if not any(x in text for x in marks):
+            continue
         for m in pattern.finditer(text):
             if not _SPOKEN.search(text, max(0, m.start() - 90), m.start()):
                 return True
