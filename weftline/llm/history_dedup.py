@@ -2,8 +2,8 @@
 
 The body of a page is a sequence of words. It is cut where the words themselves say so (so that line breaks, case and
 punctuation don't matter) into paragraphs of about sixteen and, a second time, about sixty-four words. Each paragraph
-hash knows its earliest holder. A record is compared only with the holders of at least a tenth of its words, of
-which there are at most twenty, however many records share a paragraph. Exact copies are settled by their hash before.
+hash knows its earliest holder. A record is compared only with the holders of at least a twentieth of its words, of
+which there are at most forty, however many records share a paragraph. Exact copies are settled by their hash before.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import guarded_broadcast, materialize, site_of
 from weftline.llm.main_body import Cutter, load_cutter, split_lines, style_tree, with_low
 
-LEAST_CHARS, SAME, HOLDER_SHARE = 200, 0.8, 0.1
+LEAST_CHARS, SAME, HOLDER_SHARE = 200, 0.8, 0.05
 FINE, COARSE = 16, 64
 BROADCAST_ROWS = 500_000
 _WORD = re.compile(r"[^\W_]+")
