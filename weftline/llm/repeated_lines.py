@@ -1,8 +1,8 @@
 """Lines repeated across one site's documents.
 
 Each line is reduced to its letters. Its frequency within the site is held against its background, the frequency on
-the sites where it is no furniture, by a log-likelihood ratio; the significant excess lines (Benjamini-Hochberg) are
-taken out of every page by an anti-join and the page is put together again by line number.
+the sites where it is no furniture, by a log-likelihood ratio; the significant excess lines (Benjamini-Hochberg over
+the dense pairs) are taken out of every page by an anti-join and the page is put together again by line number.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import guarded_broadcast, letters_of, materialize, page_lines, site_of
 
-LEAST_PAGES, LEAST_SHARE, FDR = 5, 0.1, 0.01
+LEAST_PAGES, LEAST_SHARE, FDR = 5, 0.1, 0.05
 #: Excess lines are broadcast up to this number, else joined by shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -60,18 +60,18 @@ def excess_lines(data: DataFrame, *, least_pages: int = LEAST_PAGES, least_share
     small = guarded_broadcast(materialize(sizes.withColumn("s", F.xxhash64("site")), "site-sizes"), BROADCAST_ROWS)
     frequent = counts.filter("s IS NOT NULL").join(small, "s").withColumn("dense", F.col("pages") >= F.col("site_pages") * least_share)
     all_pages = sizes.agg(F.sum("site_pages").alias("all_pages"))
-    # The background: all pages of the line outside the sites where it is dense.
-    dense = frequent.filter("dense").groupBy("line").agg(F.sum("site_pages").alias("dense_pages"))
+    # The background: the line's pages outside the sites where it is dense, out of all pages of other sites. Where there are
+    # fewer of those than pages of the site, as many as the site has stand in for them.
     sparse = frequent.filter("NOT dense").select("line", "pages").unionByName(counts.filter("s IS NULL").select("line", "pages")).groupBy("line").agg(F.sum("pages").alias("background"))
-    lines_of_site = frequent.filter("dense").join(dense, "line").join(sparse, "line", "left").crossJoin(F.broadcast(all_pages))
-    rest = F.col("all_pages") - F.col("dense_pages")
+    lines_of_site = frequent.filter("dense").join(sparse, "line", "left").crossJoin(F.broadcast(all_pages))
+    rest = F.greatest(F.col("all_pages") - F.col("site_pages"), F.col("site_pages"))
     tested = materialize(
         lines_of_site.withColumn("background", F.coalesce("background", F.lit(0)))
-        .withColumn("g2", log_likelihood(F.col("pages"), F.col("site_pages"), F.col("background"), F.greatest(rest, F.lit(1))))
+        .withColumn("g2", log_likelihood(F.col("pages"), F.col("site_pages"), F.least(F.col("background"), rest), rest))
         .select("site", "line", "pages", "site_pages", "background", "g2"), "line-tests")
     step = 0.25
     bins = tested.groupBy(F.least(F.floor(F.col("g2") / step), F.lit(400)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
-    hypotheses = counts.agg(F.sum("pairs").alias("m"))
+    hypotheses = tested.agg(F.count("*").alias("m"))
     above = bins.alias("a").join(bins.alias("b"), F.col("b.bin") >= F.col("a.bin")).groupBy(F.col("a.bin").alias("bin")).agg(F.sum("b.n").alias("rank"))
     bound = above.crossJoin(hypotheses).filter(_chi2_tail_bin(step) * F.col("m") <= F.col("rank") * fdr).agg(F.min(F.col("bin") * step).alias("bound"))
     return tested.crossJoin(F.broadcast(bound)).withColumn("significant", F.coalesce(F.col("g2") >= F.col("bound"), F.lit(False))).drop("bound")
