@@ -148,6 +148,28 @@ def test_history_by_brute_force(spark):
     assert {r["id"] for r in history_dedup.repeated_records(d).collect()} == want
 
 
+@pytest.mark.parametrize(("n", "share"), [(400, 0.1), (400, 0.15), (400, 0.19), (60, 0.15), (60, 0.19)])
+def test_copies_with_scattered_changes(spark, n, share):
+    rnd, rows, want = random.Random(n), [], set()
+    for g in range(20):
+        base = words(n, 5000 + g)
+        w = list(base)
+        for k in rnd.sample(range(n), int(n * share)):
+            w[k] = f"new{g}x{k}"
+        for i, (x, day) in enumerate(((base, 0), (w, 1))):
+            rows.append((f"d{g}-{i}", f"https://s{g}.example/{i}", "t", " ".join(x), T0 + dt.timedelta(days=day, minutes=g), *[None] * 5))
+        want.add(f"d{g}-1")
+    assert {r["id"] for r in history_dedup.repeated_records(spark.createDataFrame(rows, DDL)).collect()} == want
+
+
+def test_an_earlier_holder_that_is_no_match_hides_none(spark):
+    a, other = words(300, 71), words(200, 72)
+    patch = [*a[:120], *other]
+    copy = [w if k % 9 else f"odd{k}" for k, w in enumerate(a)]
+    rows = [(f"d{i}", f"https://s{i}.example/", "t", " ".join(x), T0 + dt.timedelta(days=i), *[None] * 5) for i, x in enumerate((patch, a, copy))]
+    assert {r["id"] for r in history_dedup.repeated_records(spark.createDataFrame(rows, DDL)).collect()} == {"d2"}
+
+
 def test_decide_follows_chains(spark):
     e = spark.createDataFrame([(2, 1), (3, 2), (4, 3), (5, 3), (5, 1)], "h long, to_h long")
     assert sorted(r["h"] for r in history_dedup.decide(e).collect()) == [2, 4, 5]

@@ -3,7 +3,9 @@
 The body of a page is a sequence of words. It is cut where the words themselves say so (so that line breaks, case and
 punctuation don't matter) into paragraphs of about sixteen and, a second time, about sixty-four words. Each paragraph
 hash knows its earliest holder. A record is compared only with the holders of at least a twentieth of its words, of
-which there are at most forty, however many records share a paragraph. Exact copies are settled by their hash before.
+which there are at most forty, however many records share a paragraph. Copies with scattered changes share no whole
+paragraph: every body also has a sketch, the GRAMS smallest hashes of its runs of three words, and a record is compared
+with every earlier one that has some of the rarest shared runs of its sketch. Exact copies are settled by their hash before.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from weftline.llm.main_body import Cutter, load_cutter, split_lines, style_tree,
 
 LEAST_CHARS, SAME, HOLDER_SHARE = 200, 0.8, 0.05
 FINE, COARSE = 16, 64
+#: Size of a sketch, and how many of its rarest shared runs of words a record looks for; it is compared where so many are met.
+GRAMS, RAREST, MET = 64, 12, 3
 BROADCAST_ROWS = 500_000
 _WORD = re.compile(r"[^\W_]+")
 
@@ -70,13 +74,24 @@ def paragraphs(h: np.ndarray, mean: int) -> tuple[np.ndarray, np.ndarray]:
         return (sums ^ (np.uint64(mean) * _MIX)).view(np.int64), size.astype(np.int32)
 
 
+def sketch(h: np.ndarray) -> np.ndarray:
+    """The GRAMS smallest hashes of the runs of three words; of a shorter body the hash of its words."""
+    n = min(3, len(h))
+    with np.errstate(over="ignore"):
+        g = h[: len(h) - n + 1].copy()
+        for k in range(1, n):
+            g = (g ^ (g >> np.uint64(31))) * _MIX + h[k : len(h) - n + 1 + k]
+        g = (g ^ (g >> np.uint64(29))) * _MIX
+        return np.unique(g ^ (g >> np.uint64(32)))[:GRAMS].view(np.int64)
+
+
 def body_of(content: str, cutter: Cutter, low: set[int]) -> str:
     lines = split_lines(content)
     gone = set(cutter.outside(lines, low))
     return "\n".join(x.strip() for i, x in enumerate(lines) if i not in gone and x.strip())
 
 
-_SIGNED = "id string, t timestamp_ntz, h long, n int, exact long, parts array<long>, sizes array<int>"
+_SIGNED = "id string, t timestamp_ntz, h long, n int, exact long, parts array<long>, sizes array<int>, grams array<long>"
 
 
 def _pages(data: DataFrame) -> DataFrame:
@@ -89,7 +104,7 @@ def signatures(data: DataFrame, low: DataFrame, cutter) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work, words = cutter.value, Words()
         for batch in batches:
-            keep, n, exact, parts, sizes = [], [], [], [], []
+            keep, n, exact, parts, sizes, grams = [], [], [], [], [], []
             sets: dict[str, set[int]] = {}
             lows = batch.column(5)
             for k, (site, content) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
@@ -109,10 +124,11 @@ def signatures(data: DataFrame, low: DataFrame, cutter) -> DataFrame:
                 exact.append(xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63))
                 parts.append(np.concatenate((a[0], b[0])))
                 sizes.append(np.concatenate((a[1], b[1])))
+                grams.append(sketch(h))
             rows = batch.take(pa.array(keep, pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), rows.column(3), rows.column(4), pa.array(n, pa.int32()), pa.array(exact, pa.int64()), pa.array(parts, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))],
-                names=["id", "t", "h", "n", "exact", "parts", "sizes"])
+                [rows.column(0), rows.column(3), rows.column(4), pa.array(n, pa.int32()), pa.array(exact, pa.int64()), pa.array(parts, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(grams, pa.list_(pa.int64()))],
+                names=["id", "t", "h", "n", "exact", "parts", "sizes", "grams"])
 
     return with_low(_pages(data), low).select("id", "site", "content", "t", "h", "low").mapInArrow(sign, _SIGNED)
 
@@ -176,6 +192,21 @@ def decide(edges: DataFrame) -> DataFrame:
             return cases.distinct()
 
 
+def alike(heads: DataFrame) -> DataFrame:
+    """(h, to_h) of the records that share rare runs of words with an earlier one. ``heads``: h, t, grams, one row per record.
+
+    A run that one record alone has leads nowhere, so the rarest are sought among the others; a changed word makes its runs such.
+    """
+    grams = heads.select("h", "t", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    held = materialize(grams.groupBy("gram").agg(F.count("h").alias("count"), F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("gram", "count"), "gram-counts")
+    rarest = F.slice(F.array_sort(F.collect_set(F.struct("count", "gram"))), 1, RAREST)
+    sought = grams.join(guarded_broadcast(held, 4 * BROADCAST_ROWS), "gram").groupBy("h", "size").agg(F.max("t").alias("t"), rarest.alias("r")).select("h", "t", "size", F.explode("r.gram").alias("gram"))
+    met = materialize(sought, "rare-grams").join(grams.select("gram", F.col("h").alias("to_h"), F.col("t").alias("to_t")), "gram").filter("to_t < t AND to_h <> h")
+    # Short bodies have few runs.
+    least = F.least(F.lit(MET), F.lit(1) + F.floor(F.col("size") / 16))
+    return met.groupBy("h", "to_h", "size").agg(F.size(F.collect_set("gram")).alias("met")).filter(F.col("met") >= least).select("h", "to_h")
+
+
 def repeated_records(data: DataFrame) -> DataFrame:
     """(id) of every record with the same content as an accepted record of an earlier scraped_at.
 
@@ -188,7 +219,7 @@ def repeated_records(data: DataFrame) -> DataFrame:
     key = F.struct("t", "h")
     groups = signed.filter("t IS NOT NULL").groupBy("exact").agg(F.min(key).alias("first"), F.max("h").alias("a"), F.min("h").alias("b")).filter("a <> b").select("exact", "first")
     groups = materialize(groups, "exact-groups")
-    marked = signed.select("id", "t", "h", "n", "exact", "parts", "sizes").join(guarded_broadcast(groups, BROADCAST_ROWS), "exact", "left")
+    marked = signed.select("id", "t", "h", "n", "exact", "parts", "sizes", "grams").join(guarded_broadcast(groups, BROADCAST_ROWS), "exact", "left")
     copies = marked.filter("first.h <> h AND first.t < t").select("id")
     heads = marked.filter("t IS NOT NULL AND (first IS NULL OR first.h = h)")
     parts = heads.select("t", "h", "n", F.explode(F.arrays_zip("parts", "sizes")).alias("p")).select("t", "h", "n", F.col("p.parts").alias("part"), F.col("p.sizes").alias("size"))
@@ -196,9 +227,9 @@ def repeated_records(data: DataFrame) -> DataFrame:
     holders = materialize(holders, "part-holders")
     shared_parts = parts.join(guarded_broadcast(holders, 4 * BROADCAST_ROWS), "part").filter("first.h <> h AND first.t < t")
     # Both cuts cover the text once, so a holder's share is counted of twice its words.
-    pairs = shared_parts.groupBy("h", F.col("first.h").alias("to_h")).agg(F.sum("size").alias("common"), F.min("n").alias("n")).filter(F.col("common") >= F.col("n") * 2 * HOLDER_SHARE).select("h", "to_h", "common", "n")
-    pairs = materialize(pairs, "dedup-pairs")
-    edges = materialize(_verified(pairs.select("h", "to_h"), data, low, cutter), "dedup-edges")
+    pairs = shared_parts.groupBy("h", F.col("first.h").alias("to_h")).agg(F.sum("size").alias("common"), F.min("n").alias("n")).filter(F.col("common") >= F.col("n") * 2 * HOLDER_SHARE).select("h", "to_h")
+    pairs = materialize(pairs.union(alike(heads)).distinct(), "dedup-pairs")
+    edges = materialize(_verified(pairs, data, low, cutter), "dedup-edges")
     if edges.isEmpty():
         return copies.distinct()
     near = decide(edges)
