@@ -56,6 +56,20 @@ def test_broken_conversations(spark, messages):
     assert sorted(r[0] for r in C.broken_conversations(messages, talks(spark)).collect()) == want()
 
 
+def test_links_reach_as_far_as_the_score(spark, monkeypatch):
+    def at_back(back):
+        said = [("user", "where does library parking permit renewal happen", 0)] + [("user", f"other{k} matter{k} stands{k} here{k}", 1 + k * 30) for k in range(back - 1)]
+        return rows(f"far{back}", [*said, ("assistant", "library parking permit renewal does happen where", back * 30)])
+
+    d = spark.createDataFrame([x for back in (2, 4, 9, 12) for x in at_back(back)], DDL)
+    links = lambda: {(r["id"], r["parent"], r["score"]) for r in C.reply_links(d).collect()}
+    whole = links()
+    assert {(f"far{b}{b}", f"far{b}0") for b in (2, 4, 9, 12)} <= {x[:2] for x in whole}
+    monkeypatch.setattr(C, "HOT", 1)
+    monkeypatch.setattr(C, "BLOCK", 3)
+    assert links() == whole
+
+
 def test_hot_conversations_give_the_same(spark, messages, monkeypatch):
     monkeypatch.setattr(C, "HOT", 1)
     assert sorted(r[0] for r in C.broken_conversations(messages, talks(spark)).collect()) == want()

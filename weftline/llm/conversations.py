@@ -15,8 +15,12 @@ from weftline.llm.common import guarded_broadcast, materialize
 
 HOT, BROADCAST_ROWS = 100_000, 200_000
 REPEAT_SECONDS = 10
-#: Candidate parents are this many turns before; further back a reply is never the likeliest.
-CANDIDATES = 3
+#: What a score has for another speaker, at most for words, and less for each place back. Time never favours the older turn,
+#: so further back than HORIZON no turn can win against the one directly before.
+SPEAKER, OVERLAP, PLACE = 2.0, 1.2, 0.05
+HORIZON = 1 + round((SPEAKER + OVERLAP) / PLACE)
+#: Turns are looked through in blocks of so many, each with the HORIZON turns before it.
+BLOCK = 2000
 
 
 def role_of(role: Column) -> Column:
@@ -25,10 +29,10 @@ def role_of(role: Column) -> Column:
     return F.when(r.isin("user", "human"), "u").when(r.isin("assistant", "ai", "bot", "model"), "a").when(r == "system", "s").otherwise("x")
 
 
-def _words_bitmap(content: Column) -> Column:
-    """A 64-bit map of a text's words of four letters or more, for lexical overlap."""
-    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(content, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 3))
-    return F.aggregate(words, F.lit(0).cast("long"), lambda acc, w: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))))
+def _word_set(content: Column) -> Column:
+    """The hashes of a text's words of four letters or more, for lexical overlap."""
+    words = F.filter(F.split(F.lower(F.coalesce(content, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 3)
+    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
 class Turns:
@@ -54,7 +58,7 @@ def turns(messages: DataFrame, *, with_content: bool = False, for_links: bool =
 
     ``part`` is 0, and the minute in conversations of more than HOT rows. Of differing rows of one id the earliest counts.
     """
-    bits = [_words_bitmap(F.col("content")).alias("bits"), F.coalesce(F.col("content").rlike(r"(^|\s)@\w"), F.lit(False)).alias("mention")] if for_links else []
+    bits = [_word_set(F.col("content")).alias("words"), F.coalesce(F.col("content").rlike(r"(^|\s)@\w"), F.lit(False)).alias("mention")] if for_links else []
     rows = messages.filter("conversation_id IS NOT NULL").select(
         "id", F.col("conversation_id").alias("c"), F.col("created_at").cast("timestamp_ntz").alias("t"), role_of(F.col("role")).alias("role"),
         F.xxhash64(F.coalesce("content", F.lit("\0"))).alias("said"), F.coalesce(F.col("content").rlike(r"[\p{L}\p{N}]"), F.lit(False)).alias("filled"),
@@ -97,23 +101,32 @@ def merged(messages: DataFrame, *, with_content: bool = False, for_links: bool =
 def _score(p: Column) -> Column:
     """How likely a turn before is the parent: speaker, time, lexical overlap, mention."""
     seconds = (F.unix_micros(F.col("t").cast("timestamp")) - F.unix_micros(p["t"].cast("timestamp"))) / 1e6
-    common = F.bit_count(F.col("bits").bitwiseAND(p["bits"])) / F.greatest(F.bit_count(F.col("bits").bitwiseOR(p["bits"])), F.lit(1))
-    return F.when(p["role"] != F.col("role"), 2.0).otherwise(0.0) + F.exp(-F.greatest(seconds, F.lit(0.0)) / 600) + common + F.when(F.col("mention"), 0.2 * common).otherwise(0.0)
+    both = F.size(F.array_intersect(F.col("words"), p["words"]))
+    common = both / F.greatest(F.size("words") + F.size(p["words"]) - both, F.lit(1))
+    return F.when(p["role"] != F.col("role"), SPEAKER).otherwise(0.0) + F.exp(-F.greatest(seconds, F.lit(0.0)) / 600) + common + F.when(F.col("mention"), (OVERLAP - 1) * common).otherwise(0.0)
 
 
 def reply_links(messages: DataFrame) -> DataFrame:
     """(conversation_id, id, role, created_at, parent, score) of every turn of a user or assistant; roots have no parent.
 
-    A turn's candidates are the CANDIDATES turns before it of its conversation (within the minute, in hot ones).
+    A turn's candidates are all turns before it of its conversation that can win: the HORIZON turns before. Turns are
+    numbered, and a block of a conversation takes the last turns of the block before along.
     """
     rows = merged(messages, for_links=True)
     rows = rows.over(rows.rows.filter("role IN ('u', 'a') AND t IS NOT NULL"))
-    me = F.struct("id", "role", "t", "bits")
-    for k in range(1, CANDIDATES + 1):
-        rows = with_previous(rows, me, f"p{k}", k)
+    n = F.row_number().over(rows.window())
+    numbered = rows.rows.withColumn("n", n)
+    if rows.hot:
+        before = rows.rows.filter("part > 0").groupBy("c", "part").count().withColumn("_before", F.sum("count").over(Window.partitionBy("c").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).drop("count")
+        numbered = numbered.join(guarded_broadcast(materialize(before, "part-sizes"), BROADCAST_ROWS), ["c", "part"], "left").withColumn("n", F.col("n") + F.coalesce("_before", F.lit(0)))
+    block = F.floor((F.col("n") - 1) / BLOCK)
+    last = F.floor((F.col("n") - 1 + HORIZON) / BLOCK)
+    spread = numbered.select("c", "id", "role", "t", "words", "mention", "n", block.alias("own"), F.explode(F.sequence(block, last)).alias("block"))
+    near = Window.partitionBy("c", "block").orderBy("n").rowsBetween(-HORIZON, -1)
+    seen = spread.withColumn("earlier", F.collect_list(F.struct("id", "role", "t", "words", "n")).over(near)).filter("block = own")
     # Nearer candidates win ties.
-    scored = [F.when(F.col(f"p{k}").isNotNull(), F.struct((_score(F.col(f"p{k}")) - 0.05 * k).alias("score"), F.lit(-k).alias("near"), F.col(f"p{k}.id").alias("parent"))) for k in range(1, CANDIDATES + 1)]
-    linked = rows.rows.withColumn("best", F.array_max(F.array_compact(F.array(*scored))))
+    scored = F.transform("earlier", lambda p: F.struct((_score(p) - PLACE * (F.col("n") - p["n"])).alias("score"), p["n"].alias("near"), p["id"].alias("parent")))
+    linked = seen.withColumn("best", F.array_max(scored))
     return linked.select(F.col("c").alias("conversation_id"), "id", "role", F.col("t").alias("created_at"), F.col("best.parent").alias("parent"), F.round("best.score", 6).alias("score"))
 
 
