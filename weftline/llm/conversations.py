@@ -1,8 +1,8 @@
 """Rebuilding conversations from message rows.
 
-Repeated deliveries are merged, the rows of a conversation are put in order, and every turn gets its likeliest parent among
-the turns shortly before it, scored by time, mention, speaker and lexical overlap; the links form trees. A conversation is
-whole if its links are one chain of user and assistant turns. Ordering works on a conversation at a time, and on minutes
+Repeated deliveries are merged and the rows of a conversation are put in order. A conversation is whole if its turns alternate
+from a user to an assistant; this rule alone decides p3_found and p3_rebuilt. Beside it, ``reply_links`` gives every turn its
+likeliest parent, scored by time, mention, speaker and lexical overlap; no trees are formed of the links. Ordering works on a conversation at a time, and on minutes
 of it where a conversation has more than HOT rows, with the borders joined afterwards.
 """
 
@@ -131,7 +131,7 @@ def reply_links(messages: DataFrame) -> DataFrame:
 
 
 def _faults(messages: DataFrame) -> DataFrame:
-    """(c, whole) of every conversation with rows: links of neighbouring turns must alternate and run from a user to an assistant."""
+    """(c, whole) of every conversation with rows: neighbouring turns must alternate and run from a user to an assistant."""
     rows = merged(messages)
     bad = F.max(F.col("t").isNull() | (F.col("role") == "x") | ~F.col("filled")).alias("bad")
     broken = F.max((F.col("role") != "s") & (F.col("role") == F.coalesce(F.col("parent_role"), F.lit("a")))).alias("broken")
