@@ -105,6 +105,16 @@ def test_residue(spark):
     assert sorted(r["id"] for r in residue.found_pages(d).collect()) == sorted(bad)
 
 
+def test_residue_on_long_pages(spark):
+    rnd = random.Random(11)
+    menu = "\n".join(f"Section {a} {b}" for a in WORDS[:20] for b in WORDS[20:40])
+    texts = {f"real{i}": menu + "\n" + prose(rnd, 14) for i in range(30)}
+    texts |= {"error": menu + "\n404 Not Found\nThe requested address /x was not found on this server.", "filler": "Lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor. " * 120}
+    assert all(len(x) > 6000 for x in texts.values())
+    d = spark.createDataFrame([(k, f"https://a.example/{k}", "About us", x, T0, *[None] * 5) for k, x in texts.items()], DDL)
+    assert sorted(r["id"] for r in residue.found_pages(d).collect()) == ["error", "filler"]
+
+
 @pytest.mark.parametrize(("text", "is_case"), [("The fee for NaN is due", True), ("Welcome to ${city}!", True), ("{% block x %}", True), ("Seats left: undefined", True), ("Undefined terms are read in the usual sense.", False), ("None of them came.", False), (None, False), ("a null hypothesis", False)])
 def test_placeholders(text, is_case):
     assert residue.placeholder_in(text) is is_case

@@ -1,8 +1,8 @@
 """Template residue, filler, error messages and demands for scripts.
 
-A page's main body (see ``main_body``) is held against its slug and title: a body of few words that takes nothing up
-from them, or that many pages share, carries little information. Such a body is a case if its words speak of errors,
-filler or scripts, or if its host and its twins on other pages speak for it. Unfilled placeholders in title or content are
+A page's main body (see ``main_body``) of few words, or mostly of filler Latin, carries little information. Such a body is a
+case if its words speak of errors, filler or scripts: these patterns decide. Its mismatch with slug and title and its twins
+on other pages count only where no pattern is met, which hardly occurs. Unfilled placeholders in title or content are
 cases whatever surrounds them.
 """
 
@@ -102,7 +102,7 @@ def page_evidence(data: DataFrame) -> DataFrame:
                 if site not in sets:
                     sets[site] = set(lows[k].as_py() or ())
                 few, cue, mismatch, key = False, "none", 0.0, None
-                if content and (not residue) and (len(content) < 6000):
+                if content and not residue:
                     lines = split_lines(content)
                     gone = set(work.outside(lines, sets[site]))
                     body = [x for n, x in enumerate(lines) if n not in gone and x.strip()]
