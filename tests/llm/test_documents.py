@@ -118,3 +118,23 @@ def test_held_out_abuse(spark):
     model = abuse.fit(d, lab)
     fresh_good, fresh_bad = toxic_table(random.Random(99), 100)
     assert np.mean([model.text(t) > model.threshold for t in fresh_bad]) >= 0.9 and np.mean([model.text(t) > model.threshold for t in fresh_good]) <= 0.03
+
+
+def test_prior_and_threshold():
+    rng = np.random.default_rng(1)
+    bad, clear = rng.normal(3, 1, 400), rng.normal(-3, 1, 4000)
+    mixed = np.concatenate((rng.normal(3, 1, 500), rng.normal(-3, 1, 9500)))
+    assert abs(abuse.estimated_prior(bad, clear, mixed) - 0.05) < 0.01
+    # Reviewed texts over-represent bad ones; the rarer those are, the higher the threshold.
+    assert abuse.best_threshold(bad, clear + 4, 0.01) > abuse.best_threshold(bad, clear + 4, 0.3)
+
+
+def test_scores_of_texts_together_and_alone():
+    rnd = random.Random(3)
+    good, bad = toxic_table(rnd, 120)
+    model = abuse.train(bad[:12], good[:60], good[60:], 0.05)
+    texts = [*bad, None, "", "\n \n", "x", "中文没有空格。第二句！", *good[:20], "word " * 5000]
+    alone = np.array([model.text(t) for t in texts])
+    assert np.allclose(model.texts(texts), alone) and (alone[len(bad) : len(bad) + 3] == abuse.NOTHING).all()
+    # The worst stretch of a long passage counts: plain words around it change little.
+    assert model.text("the hall holds four tables " * 30 + bad[0].split(". ")[0]) >= model.text("the hall holds four tables " * 30) - 1e-6

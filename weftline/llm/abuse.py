@@ -2,12 +2,14 @@
 
 Texts are cut into passages and words are freed of disguise (spaced letters, look-alike signs, stretched letters, invisible
 characters). A linear model over words, word pairs and letter groups is trained from passages of documents that reviewers
-confirmed and from unlabelled passages, by the non-negative risk for a given share of bad passages. A document's score is
-that of its worst passage.
+confirmed and from unlabelled passages, by the non-negative risk for the share of bad passages. That share is estimated from
+the data: a first model, fitted crosswise, gives its rates of true and false alarms on the reviewed documents and its rate of
+alarms on the unlabelled ones. A document's score is that of its worst passage; the threshold has the best F1 at that share.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -20,60 +22,100 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import materialize
 
-#: Bounds of the training sample, in documents: confirmed, cleared and unlabelled ones, chosen by the hash of doc_id.
-MOST_CONFIRMED, MOST_CLEARED, UNLABELLED = 3000, 2500, 2500
+#: Bounds of the training sample, in documents: confirmed, cleared and unlabelled ones, those of least hash of doc_id.
+MOST_CONFIRMED, MOST_CLEARED, UNLABELLED = 3000, 6000, 6000
 #: Words on this share of the training passages count as a whole, without their letter groups.
 COMMON = 0.002
-BITS, PRIOR, EPOCHS = 18, 0.02, 8
+#: PRIOR is the share of bad documents that is assumed before it is estimated, and where too few were reviewed.
+BITS, PRIOR, EPOCHS = 18, 0.03, 12
+#: Weight of the bad class in the risk.
+BALANCE = 0.5
 #: Within longer passages, the worst stretches of so many words count as well.
 STRETCHES = (4, 8)
 #: A passage may be what reviewers meant if confirmed texts hold it so many times as often as others.
 MEANT = 3
-NEAR = (0.0, 1.5)
 BAD = ("abusive", "hateful", "sexual")
+NOTHING = -9.0
 
-_INVISIBLE = re.compile(r"[­​-‏⁠-⁤﻿̀-ͯ]")
-_SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_](?:[ .\-*_]{1,2})){2,}[^\W\d_](?![^\W_])")
+_INVISIBLE = re.compile(r"[\u00ad\u200b-\u200f\u2060-\u2064\ufeff\u0300-\u036f]")
+_SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-*_]{1,2}){2,}[^\W\d_](?![^\W_])")
+#: What a text must hold for spaced letters across blanks to be worth a look.
+_SINGLE = re.compile(r"[\s>(][^\W\d_][ .\-*_]{1,2}[^\W\d_][ .\-*_]")
 _LOOK = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i", "€": "e", "+": "t"})
-_LOOKALIKE = re.compile(r"[^\W_]*(?:[a-z][0-9@$!|€]|[0-9@$|€][a-z])[^\s,.;:?()\"]*")
+_LOOKALIKE = re.compile(r"(?<![^\W_])[^\W_]*?(?:[a-z][0-9@$!|€]|[0-9@$|€][a-z])[^\s,.;:?()\"]*")
+_NO_LOOKALIKE = re.compile(r"[a-z]{2,3}\d{3}|\d[\d.,:]*[a-z%]{0,2}")
 _STRETCH = re.compile(r"([^\W\d_])\1{2,}")
 _CYRILLIC = str.maketrans("аеорсухіјѕԁһ", "aeopcyxijsdh")
-_WORD = re.compile(r"[^\W\d_]*\*+[^\W\d_*]*|[^\W\d_]+(?:['’][^\W\d_]+)*|#")
-_CUT = re.compile(r"(?<=[.!?।。！？…])\s+|(?<=[।。！？])|\n+")
-_NO_SPACES = re.compile(r"[぀-ヿ一-鿿฀-๿]")
-_NUMBER = re.compile(r"(?:rs\.?|inr|₹)?\s*\d[\d,.:/\-]*")
+_WORD = re.compile(r"[^\W\d_]*\*+[^\W\d_*]*|[^\W\d_]+(?:['’][^\W\d_]+)*|#|\n")
+_END, _END_ANYWHERE = tuple(".!?।。！？…"), re.compile(r"(?<=[।。！？])")
+_NO_SPACES = re.compile(r"[\u3040-\u30ff\u4e00-\u9fff\u0e00-\u0e7f]")
+_NUMBER = re.compile(r"(?:rs\.?|inr|₹)?\d[\d,.:/\-]*")
 
 
 def _joined(m: re.Match) -> str:
     return re.sub(r"[ .\-*_]", "", m.group())
 
 
+def _plain_signs(m: re.Match) -> str:
+    word = m.group()
+    return word if _NO_LOOKALIKE.fullmatch(word) else word.translate(_LOOK)
+
+
 def undisguised(text: str) -> str:
     """Lower case text without invisible signs, spaced-out words, look-alike signs within words and stretched letters."""
-    text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text)) if not text.isascii() else text
+    if not text.isascii():
+        text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
     text = _SPACED.sub(_joined, text).lower()
-    if not text.isascii() and re.search(r"[a-z]", text):
-        text = re.sub(r"\w*[a-z]\w*", lambda m: m.group().translate(_CYRILLIC), text)
-    text = _LOOKALIKE.sub(lambda m: m.group() if re.fullmatch(r"[a-z]{2,3}\d{3}|\d[\d.,:]*[a-z%]{0,2}", m.group()) else m.group().translate(_LOOK), text)
-    return _STRETCH.sub(r"\1", text)
+    if not text.isascii():
+        text = " ".join(w.translate(_CYRILLIC) if re.search("[a-z]", w) else w for w in text.split(" "))
+    return _STRETCH.sub(r"\1", _LOOKALIKE.sub(_plain_signs, text))
 
 
-def passages(text: str) -> list[str]:
-    """The sentences and lines of a whole text; letters spaced out don't end one."""
-    out = []
-    for p in _CUT.split(text):
-        if p and any(c.isalpha() for c in p):
-            out.append(p)
-    return out
+def pieces(raw: str) -> list[str]:
+    """The words of a piece of text without blanks, undisguised; numbers become one sign, a line feed ends a passage."""
+    words = _WORD.findall(_NUMBER.sub(" # ", undisguised(_END_ANYWHERE.sub("\n", raw))))
+    if not raw.isascii():  # scripts without spaces: every sign is a word
+        words = [c for w in words for c in (w if _NO_SPACES.match(w) else (w,))]
+    if raw.endswith(_END):
+        words.append("\n")
+    return words
+
 
+class Vocabulary(dict):
+    """Words and their numbers; number 0 ends a passage. ``texts`` gives whole texts as numbers.
 
-def words_of(passage: str) -> list[str]:
-    """Undisguised words of a passage; numbers become one sign."""
-    words = _WORD.findall(_NUMBER.sub(" # ", undisguised(passage)))
-    if passage.isascii():
-        return words
-    # Scripts without spaces: every sign is a word.
-    return [c for w in words for c in (w if _NO_SPACES.match(w) else (w,))]
+    What a piece of text between two blanks holds is remembered, so that each is undisguised once.
+    """
+
+    def __init__(self) -> None:
+        super().__init__({"\n": 0})
+        self.hashes = [0]
+        self._pieces: dict[str, list[int]] = {}
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.hashes.append(xxhash.xxh3_64_intdigest(word))
+        return n
+
+    def text(self, text: str | None) -> list[int]:
+        """Numbers of the words of a whole text. Passages are sentences and lines; letters spaced out don't end one."""
+        out: list[int] = []
+        held = self._pieces
+        if text:
+            if _SINGLE.search("\n" + text):
+                text = _SPACED.sub(_joined, text)
+            for line in text.split("\n"):
+                for raw in line.split():
+                    own = held.get(raw)
+                    if own is None:
+                        held[raw] = own = [self[w] for w in pieces(raw)]
+                    out += own
+                out.append(0)
+            return out
+        return [0]
+
+    def forget_pieces(self) -> None:
+        self._pieces.clear()
 
 
 def _groups(word: str) -> list[str]:
@@ -90,254 +132,319 @@ def _groups(word: str) -> list[str]:
     return out
 
 
-def _hash(feature: str) -> int:
-    return xxhash.xxh3_64_intdigest(feature) & ((1 << BITS) - 1)
+def _feature(name: str) -> int:
+    return xxhash.xxh3_64_intdigest(name) & ((1 << BITS) - 1)
+
+
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
 
+def pair_features(h: np.ndarray) -> np.ndarray:
+    """Feature numbers of neighbouring words, out of the hashes of a sequence."""
+    with np.errstate(over="ignore"):
+        x = (h[:-1] * np.uint64(31) + h[1:]) * _MIX
+        return ((x ^ (x >> np.uint64(29))) >> np.uint64(64 - BITS)).astype(np.int32)
 
-class Features:
-    """Feature numbers and weights of words and of word pairs; a passage is the mean of its words and pairs."""
 
-    def __init__(self, common: frozenset[str] = frozenset()) -> None:
-        self.common = common
-        self._words: dict[str, np.ndarray] = {}
+def features_of(words: list[str], common: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word's features start, and the features one after the other. The end of a passage has none."""
+    each = [[] if w == "\n" else [_feature(f) for f in (("w" + w,) if w in common else _groups(w))] for w in words]
+    return np.concatenate(([0], np.cumsum([len(x) for x in each]))).astype(np.int64), np.array([f for x in each for f in x], np.int32)
 
-    def word(self, word: str) -> np.ndarray:
-        held = self._words.get(word)
-        if held is None:
-            if len(self._words) > 300_000:
-                self._words.clear()
-            self._words[word] = held = np.array([_hash(f) for f in (("w" + word,) if word in self.common else _groups(word))], np.int32)
-        return held
 
-    def passage(self, passage: str) -> tuple[np.ndarray, np.ndarray]:
-        """Feature numbers and their values."""
-        words = words_of(passage)
-        if not words:
-            return np.zeros(0, np.int32), np.zeros(0, np.float32)
-        ids, values = [], []
-        for w in words:
-            x = self.word(w)
-            ids.append(x)
-            values.append(np.full(len(x), 1.0 / np.sqrt(len(x)), np.float32))
-        pairs = np.array([_hash("b" + a + " " + b) for a, b in zip(words, words[1:])], np.int32)
-        ids.append(pairs)
-        values.append(np.full(len(pairs), 1.0, np.float32))
-        scale = 1.0 / np.sqrt(max(4, len(words)))
-        return np.concatenate(ids), np.concatenate(values) * np.float32(scale)
+def _word_scores(w: np.ndarray, starts: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """A word's weight: the sum over its features by the root of their number."""
+    sums = np.concatenate(([0.0], np.cumsum(w[features], dtype=np.float64)))
+    return (sums[starts[1:]] - sums[starts[:-1]]) / np.sqrt(np.maximum(1, np.diff(starts)))
+
+
+def _passage_scores(rows: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Best score of each passage over its whole and its stretches, and the places where passages end.
+
+    ``rows``: word numbers, 0 ends a passage; ``s``: weight of each place, with that of its pair with the word before.
+    """
+    ends = np.flatnonzero(rows == 0)
+    begins = np.concatenate(([0], ends[:-1] + 1))
+    c = np.concatenate(([0.0], np.cumsum(s)))
+    n = ends - begins
+    best = np.where(n > 0, (c[ends] - c[begins]) / np.sqrt(np.maximum(4, n)), -np.inf)
+    for k in STRETCHES:
+        long = np.flatnonzero(n > k)
+        if len(long):
+            run = c[k:] - c[:-k]
+            # From a passage's first word up to its last stretch; what lies between two such is left out by every other slice.
+            cuts = np.stack((begins[long], ends[long] - k + 1), 1).ravel()
+            if cuts[-1] >= len(run):
+                run = np.append(run, -np.inf)
+            best[long] = np.maximum(best[long], np.maximum.reduceat(run, cuts)[::2] / np.sqrt(k))
+    return best, ends
 
 
 class Model:
     """A linear model; scores the worst passage of a text."""
 
-    def __init__(self, w: np.ndarray, bias: float, threshold: float, common: frozenset[str] = frozenset()) -> None:
-        self.w, self.bias, self.threshold, self.common = w, bias, threshold, common
-        self._held: dict[str, float] = {}
-        self._pairs: dict[tuple[str, str], float] = {}
-        self._features = Features(common)
+    def __init__(self, w: np.ndarray, bias: float, threshold: float, common: frozenset[str] = frozenset(), prior: float = PRIOR) -> None:
+        self.w, self.bias, self.threshold, self.common, self.prior = w, bias, threshold, common, prior
+        self._forget()
+
+    def _forget(self) -> None:
+        self._words = Vocabulary()
+        self._scores, self._hashes = np.zeros(0), np.zeros(0, np.uint64)
 
     def __getstate__(self):
-        return {"w": self.w, "bias": self.bias, "threshold": self.threshold, "common": self.common}
+        return {"w": self.w, "bias": self.bias, "threshold": self.threshold, "common": self.common, "prior": self.prior}
 
     def __setstate__(self, state):
         self.__init__(**state)
 
-    def passage(self, passage: str) -> float:
-        words = words_of(passage)
-        if not words:
-            return -9.0
-        held, pairs = self._held, self._pairs
-        if len(held) > 300_000:
-            held.clear()
-        if len(pairs) > 600_000:
-            pairs.clear()
-        each = []
-        for n, w in enumerate(words):
-            s = held.get(w)
-            if s is None:
-                x = self._features.word(w)
-                held[w] = s = float(self.w[x].sum() / np.sqrt(len(x)))
-            if n:
-                p = (words[n - 1], w)
-                q = pairs.get(p)
-                if q is None:
-                    pairs[p] = q = float(self.w[_hash("b" + p[0] + " " + p[1])])
-                s += q
-            each.append(s)
-        n = len(each)
-        score = sum(each) / max(4, n) ** 0.5
-        for k in STRETCHES:
-            if n > k:
-                run = best = sum(each[:k])
-                for i in range(k, n):
-                    run += each[i] - each[i - k]
-                    if run > best:
-                        best = run
-                score = max(score, best / k**0.5)
-        return score + self.bias
+    def texts(self, texts: list[str | None], at_once: int = 1_000_000) -> np.ndarray:
+        """Score of each text, of its worst passage. Texts are taken together up to ``at_once`` characters."""
+        out, part, size = [], [], 0
+        for t in texts:
+            part.append(t)
+            size += len(t or "")
+            if size > at_once:
+                out.append(self._part(part))
+                part, size = [], 0
+        if part:
+            out.append(self._part(part))
+        return np.concatenate(out) if out else np.zeros(0)
+
+    def _part(self, texts: list[str | None]) -> np.ndarray:
+        if len(self._words) > 300_000:
+            self._forget()
+        words = self._words
+        if len(words._pieces) > 600_000:
+            words.forget_pieces()
+        each = [words.text(t) for t in texts]
+        sizes = [len(x) for x in each]
+        rows = np.fromiter(itertools.chain.from_iterable(each), np.int64, sum(sizes))
+        have = len(self._hashes)
+        if len(words) > have:
+            new = _word_scores(self.w, *features_of(list(itertools.islice(words, have, None)), self.common))
+            self._scores = np.concatenate((self._scores, new))
+            self._hashes = np.concatenate((self._hashes, np.array(words.hashes[have:], np.uint64)))
+        s = self._scores[rows]
+        if len(rows) > 1:
+            s[1:] += np.where((rows[1:] != 0) & (rows[:-1] != 0), self.w[pair_features(self._hashes[rows])], 0.0)
+        best, ends = _passage_scores(rows, s)
+        first = np.searchsorted(ends, np.concatenate(([0], np.cumsum(sizes)[:-1])))
+        score = np.maximum.reduceat(best, first) + self.bias
+        return np.where(np.isfinite(score), np.maximum(score, NOTHING), NOTHING)
 
     def text(self, text: str | None) -> float:
-        return max((self.passage(p) for p in passages(text or "")), default=-9.0)
-
+        return float(self.texts([text])[0])
+
+
+class Passages:
+    """Passages of texts as word numbers, and which text each belongs to; equal passages of a text count once."""
+
+    def __init__(self, texts: list[list[int]]) -> None:
+        rows, sizes, owner, self.keys = [], [], [], []
+        for k, text in enumerate(texts):
+            seen, own = set(), []
+            for w in text:
+                if w:
+                    own.append(w)
+                elif own:
+                    key = hash(tuple(own))
+                    if key not in seen:
+                        seen.add(key)
+                        self.keys.append(key)
+                        rows += own
+                        sizes.append(len(own))
+                        owner.append(k)
+                    own = []
+        self.rows, self.sizes, self.owner = np.array(rows, np.int32), np.array(sizes, np.int64), np.array(owner, np.int64)
+        self.starts = np.concatenate(([0], np.cumsum(self.sizes)))
+        self.scale = 1 / np.sqrt(np.maximum(4, self.sizes))
+        self.pairs = np.zeros(0, np.int32)
+
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+    def spell(self, hashes: np.ndarray) -> None:
+        """Feature number of each word with the one before it; the first word of a passage has none (-1)."""
+        if len(self.rows):
+            self.pairs = np.concatenate(([-1], pair_features(hashes[self.rows]))).astype(np.int32)
+            self.pairs[self.starts[:-1]] = -1
+
+    def places(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the words of the chosen passages, and the number of the passage, among the chosen, of each."""
+        sizes = self.sizes[chosen]
+        at = np.repeat(self.starts[chosen] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
+        return at, np.repeat(np.arange(len(chosen)), sizes)
+
+
+class _Net:
+    """Weights, their gradients and adaptive steps over a vocabulary."""
+
+    def __init__(self, spelled: tuple[np.ndarray, np.ndarray]) -> None:
+        self.starts, self.features = spelled
+        self.root = 1 / np.sqrt(np.maximum(1, np.diff(self.starts)))
+        self.of = np.repeat(np.arange(len(self.root)), np.diff(self.starts))
+        self.w, self.bias = np.zeros(1 << BITS, np.float32), -1.0
+        self.g2, self.gb = np.full(1 << BITS, 1e-5, np.float32), 1e-5
+
+    def scores(self, p: Passages, chosen: np.ndarray, words: np.ndarray) -> np.ndarray:
+        at, of = p.places(chosen)
+        pairs = p.pairs[at]
+        s = words[p.rows[at]] + np.where(pairs >= 0, self.w[pairs], 0.0)
+        return np.bincount(of, s, len(chosen)) * p.scale[chosen] + self.bias
+
+    def step(self, parts: list[tuple[Passages, np.ndarray, np.ndarray]], rate: float, keep: float) -> None:
+        """Moves against the gradient; ``parts``: passages, those chosen, and the slope of each."""
+        by_word, pair_ids, pair_g, total = np.zeros(len(self.root)), [], [], 0.0
+        for p, chosen, slope in parts:
+            at, of = p.places(chosen)
+            each = (slope * p.scale[chosen])[of]
+            by_word += np.bincount(p.rows[at], each, len(self.root))
+            pairs = p.pairs[at]
+            pair_ids.append(pairs[pairs >= 0])
+            pair_g.append(each[pairs >= 0])
+            total += slope.sum()
+        g = np.bincount(np.concatenate((self.features, *pair_ids)), np.concatenate(((by_word * self.root)[self.of], *pair_g)), 1 << BITS).astype(np.float32)
+        on = np.flatnonzero(g)
+        g = g[on] + keep * self.w[on]
+        self.g2[on] += g**2
+        self.w[on] -= rate * g / np.sqrt(self.g2[on])
+        self.gb += total * total
+        self.bias -= rate * total / np.sqrt(self.gb)
+
+
+def nn_pu(positive: Passages, chosen: np.ndarray, unlabelled: Passages, inside: np.ndarray, prior: float, spelled, *, epochs: int = EPOCHS, rate: float = 0.15, seed: int = 3, keep: float = 1e-6) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the non-negative PU risk with the logistic loss l, its classes balanced.
+
+    risk = BALANCE * E_p[l(+)] + (1 - BALANCE) / (1 - prior) * max(0, E_u[l(-)] - prior * E_p[l(-)]) over the ``chosen``
+    positive and the unlabelled passages ``inside``; with BALANCE = prior it would be the plain one. Bad passages are so few
+    that the plain risk is least where nothing is bad. A batch whose second part is negative moves by that part alone, the
+    other way.
+    """
+    rest = (1 - BALANCE) / (1 - prior)
+    rng = np.random.default_rng(seed)
+    net = _Net(spelled)
+    if not len(chosen) or not len(inside):
+        return net.w, net.bias
+    steps = max(1, len(inside) // 2000)
+    for _ in range(epochs):
+        for batch in np.array_split(rng.permutation(inside), steps):
+            pick = rng.choice(chosen, min(len(chosen), 500), replace=len(chosen) > 500)
+            own = _word_scores(net.w, net.starts, net.features)
+            zp, zu = (net.scores(p, c, own) for p, c in ((positive, pick), (unlabelled, batch)))
+            sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
+            # Slopes: l(+) has s - 1, l(-) has s.
+            gp, gn, gu = BALANCE * (sp - 1) / len(pick), rest * prior * sp / len(pick), rest * su / len(batch)
+            if np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean() >= 0:
+                net.step([(positive, pick, gp - gn), (unlabelled, batch, gu)], rate, keep)
+            else:
+                net.step([(positive, pick, gn), (unlabelled, batch, -gu)], rate, keep)
+    return net.w, net.bias
 
-def _csr(rows: list[tuple[np.ndarray, np.ndarray]]):
-    sizes = np.array([len(i) for i, _ in rows], np.int64)
-    starts = np.concatenate(([0], np.cumsum(sizes)))
-    return starts, np.concatenate([i for i, _ in rows] or [np.zeros(0, np.int32)]), np.concatenate([v for _, v in rows] or [np.zeros(0, np.float32)])
 
+def _rounds(bad: Passages, inside_bad: np.ndarray, score: np.ndarray, good: Passages, inside_good: np.ndarray, prior: float, spelled, rounds: int = 3) -> tuple[np.ndarray, float, float]:
+    """Learns which passages of the confirmed texts are meant and, from them, the weights.
 
-def _take(csr, rows: np.ndarray):
-    starts, ids, values = csr
-    sizes = starts[rows + 1] - starts[rows]
-    at = np.repeat(starts[rows] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
-    return ids[at], values[at], np.repeat(np.arange(len(rows)), sizes)
+    The prior of passages is that of documents times the meant passages of a bad one by the passages of any one. Gives that of
+    the last round too.
+    """
+    w, bias, share = np.zeros(1 << BITS, np.float32), -1.0, prior
+    each = len(inside_good) / max(1, len(np.unique(good.owner[inside_good])))
+    texts = max(1, len(np.unique(bad.owner[inside_bad])))
+    for turn in range(rounds):
+        best = np.full(int(bad.owner.max()) + 1, -np.inf)
+        np.maximum.at(best, bad.owner[inside_bad], score[inside_bad])
+        # One passage of a text is enough; further ones count if the model holds them for bad.
+        meant = inside_bad[(score[inside_bad] >= best[bad.owner[inside_bad]]) | ((turn > 0) & (score[inside_bad] > 0))]
+        share = min(0.5, prior * len(meant) / texts / max(1.0, each))
+        w, bias = nn_pu(bad, meant, good, inside_good, share, spelled, seed=3 + turn)
+        score = _all_scores(bad, w, bias, spelled)
+    return w, bias, share
+
+
+def _all_scores(p: Passages, w: np.ndarray, bias: float, spelled) -> np.ndarray:
+    net = _Net(spelled)
+    net.w, net.bias = w, bias
+    return net.scores(p, np.arange(len(p)), _word_scores(w, net.starts, net.features))
+
+
+def best_threshold(bad: np.ndarray, clear: np.ndarray, prior: float) -> float:
+    """The score with the best F1 where a share ``prior`` of all texts is bad: both sides weigh by that, not by their numbers."""
+    s = np.concatenate((bad, clear))
+    weight = np.concatenate((np.full(len(bad), prior / len(bad)), np.full(len(clear), (1 - prior) / len(clear))))
+    order = np.argsort(-s, kind="stable")
+    hit, all_ = np.cumsum(np.where(order < len(bad), weight[order], 0.0)), np.cumsum(weight[order])
+    s = s[order]
+    f1 = np.where(np.append(s[:-1] > s[1:], True), 2 * hit / (all_ + prior), 0.0)
+    k = int(f1.argmax())
+    return float((s[k] + s[k + 1]) / 2) if k + 1 < len(s) else float(s[k] - 1e-6)
 
 
-def _scores(csr, w: np.ndarray, bias: float) -> np.ndarray:
-    starts, ids, values = csr
-    sums = np.concatenate(([0.0], np.cumsum(w[ids] * values, dtype=np.float64)))
-    return (sums[starts[1:]] - sums[starts[:-1]] + bias).astype(np.float32)
+def estimated_prior(bad: np.ndarray, clear: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of bad texts among unlabelled ones, by their rate of alarms less the false ones, by true less false ones.
 
+    Measured at the scores between a tenth and a half of the bad texts, where false alarms are few; the median counts.
+    """
+    out = []
+    for q in np.linspace(0.1, 0.5, 9):
+        t = np.quantile(bad, q)
+        hit, false, all_ = ((x > t).mean() for x in (bad, clear, unlabelled))
+        if hit > false:
+            out.append((all_ - false) / (hit - false))
+    return float(np.clip(np.median(out), 0.001, 0.5)) if out else PRIOR
 
-def nn_pu(positive, unlabelled, prior: float, *, weights: np.ndarray | None = None, epochs: int = EPOCHS, rate: float = 0.15, seed: int = 3, keep: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative PU risk with sigmoid loss.
 
-    risk = prior * E_p[l(+)] + max(0, E_u[l(-)] - prior * E_p[l(-)]); where the second part is negative, its gradient
-    is reversed. ``weights`` are those of the positive rows.
-    """
-    rng = np.random.default_rng(seed)
-    w, bias = np.zeros(1 << BITS, np.float32), -1.0
-    g2, gb = np.full(1 << BITS, 1e-5, np.float32), 1e-5
-    np_, nu = len(positive[0]) - 1, len(unlabelled[0]) - 1
-    if not np_ or not nu:
-        return w, bias
-    weights = np.ones(np_, np.float32) if weights is None else weights
-    steps = max(1, nu // 2000)
-    sizep = max(1, min(np_, 400))
-    p_chance = weights / weights.sum()
-    for _ in range(epochs):
-        order = rng.permutation(nu)
-        for chunk in np.array_split(order, steps):
-            pick = rng.choice(np_, sizep, p=p_chance)
-            pi, pv, pr = _take(positive, pick)
-            ui, uv, ur = _take(unlabelled, chunk)
-            ps = np.bincount(pr, w[pi] * pv, len(pick)) + bias
-            us = np.bincount(ur, w[ui] * uv, len(chunk)) + bias
-            sp, su = 1 / (1 + np.exp(-ps)), 1 / (1 + np.exp(-us))
-            # loss(+) = 1 - s, loss(-) = s; both have the slope s * (1 - s)
-            rest = su.mean() - prior * sp.mean()
-            gp = -prior * 12 * sp * (1 - sp) / len(pick)
-            if rest >= 0:
-                gu = su * (1 - su) / len(chunk)
-                gp = gp - prior * sp * (1 - sp) / len(pick)
-            else:
-                gu = -su * (1 - su) / len(chunk)
-                gp = gp + prior * sp * (1 - sp) / len(pick)
-            g = np.bincount(np.concatenate((pi, ui)), np.concatenate((gp[pr] * pv, gu[ur] * uv)), 1 << BITS).astype(np.float32)
-            on = np.flatnonzero(g)
-            g[on] += keep * w[on]
-            g2[on] += g[on] ** 2
-            w[on] -= rate * g[on] / np.sqrt(g2[on])
-            d = gp.sum() + gu.sum()
-            gb += d * d
-            bias -= rate * d / np.sqrt(gb)
-    return w, float(bias)
-
-
-def train(confirmed: list[str], cleared: list[str], unlabelled: list[str], prior: float = PRIOR) -> Model:
+def train(confirmed: list[str], cleared: list[str], unlabelled: list[str], prior: float | None = None) -> Model:
     """A model from whole texts. Which passage of a confirmed text is the bad one is learned in rounds.
 
-    The first round weighs a passage by how rare its words are in the other texts; later ones by the model so far.
+    The first round goes by how rare a passage's words are in the other texts; later ones by the model so far. The share of bad
+    texts is estimated if none is given. With fewer than ten confirmed or cleared texts it is PRIOR and the threshold is 0.
     """
-    bad = [[p for p in passages(t) if words_of(p)] for t in confirmed]
-    bad = [x for x in bad if x]
-    good = [p for t in (*cleared, *unlabelled) for p in passages(t)]
-    if not bad or not good:
+    words = Vocabulary()
+    bad, good = (Passages([words.text(t) for t in x]) for x in (confirmed, [*cleared, *unlabelled]))
+    if not len(bad) or not len(good):
         return Model(np.zeros(1 << BITS, np.float32), -1.0, 0.0)
-    seen: dict[str, int] = {}
-    for p in good:
-        ws = words_of(p)
-        for w in {*ws, *(a + " " + b for a, b in zip(ws, ws[1:]))}:
-            seen[w] = seen.get(w, 0) + 1
-    common = frozenset(w for w, k in seen.items() if " " not in w and k >= max(5, COMMON * len(good)))
-    features = Features(common)
-    n = len(good)
-
-    def rarity(p: str) -> float:
-        ws = words_of(p)
-        own = sorted((np.log((n + 1) / (seen.get(w, 0) + 0.5)) for w in ws if w != "#"), reverse=True)
-        return float(np.mean(own)) if len(own) > 1 else -1.0
-
+    # In how many of the other passages each word stands.
+    each = np.unique(np.repeat(np.arange(len(good)), good.sizes) * len(words) + good.rows)
+    seen = np.bincount(each % len(words), minlength=len(words))
+    del each
+    names = list(words)
+    common = frozenset(names[k] for k in np.flatnonzero(seen >= max(5, COMMON * len(good))))
+    spelled = features_of(names, common)
+    hashes = np.array(words.hashes, np.uint64)
+    bad.spell(hashes)
+    good.spell(hashes)
+    rare = np.log((len(good) + 1) / (seen + 0.5))
+    rare[[0, words.get("#", 0)]] = 0
+    first = np.add.reduceat(rare[bad.rows], bad.starts[:-1]) / np.maximum(3, bad.sizes)
     # A passage that good texts hold about as often as confirmed ones isn't what the reviewers meant.
-    key = lambda p: " ".join(words_of(p))
     held: dict[str, int] = {}
-    for p in good:
-        k = key(p)
+    for k in good.keys:
         held[k] = held.get(k, 0) + 1
     own: dict[str, int] = {}
-    for x in bad:
-        for k in {key(p) for p in x}:
-            own[k] = own.get(k, 0) + 1
+    for k in bad.keys:
+        own[k] = own.get(k, 0) + 1
     texts = len(cleared) + len(unlabelled)
-    meant = [[p for p in x if own[key(p)] * texts > MEANT * held.get(key(p), 0) * len(bad)] or x for x in bad]
-    owner = np.array([k for k, x in enumerate(meant) for _ in x])
-    flat = [p for x in meant for p in x]
-    csr_p = _csr([features.passage(p) for p in flat])
-    csr_u = _csr([features.passage(p) for p in good])
-    first = np.array([rarity(p) for p in flat])
-    w, bias = _fit_rounds(csr_p, owner, first, csr_u, prior)
-    return Model(w, bias, _crossed_threshold(csr_p, owner, first, csr_u, cleared, prior), common)
-
-
-def _fit_rounds(csr_p, owner: np.ndarray, score: np.ndarray, csr_u, prior: float, rounds: int = 4) -> tuple[np.ndarray, float]:
-    """Learns which passages of the confirmed texts are meant and, from them, the weights."""
-    w, bias = np.zeros(1 << BITS, np.float32), -1.0
-    for turn in range(rounds):
-        best = np.full(int(owner.max()) + 1, -np.inf)
-        np.maximum.at(best, owner, score)
-        # One passage of a text is enough; further ones count if they score nearly as high.
-        chosen = np.flatnonzero((score >= best[owner]) | ((score > 0) & (score >= best[owner] - 1.0) & (turn > 0)))
-        part = _csr([(csr_p[1][csr_p[0][k] : csr_p[0][k + 1]], csr_p[2][csr_p[0][k] : csr_p[0][k + 1]]) for k in chosen])
-        w, bias = nn_pu(part, csr_u, prior, seed=3 + turn)
-        score = _scores(csr_p, w, bias)
-    return w, bias
-
-
-def _crossed_threshold(csr_p, owner: np.ndarray, first: np.ndarray, csr_u, cleared: list[str], prior: float) -> float:
-    """The score that parts confirmed from cleared texts best by F1, each text scored by a model that hasn't seen it.
-
-    Without cleared texts, or with fewer than ten confirmed ones, it is 0.
-    """
-    n = int(owner.max()) + 1
-    if not cleared or n < 10:
-        return 0.0
-    sizes = [sum(1 for _ in passages(t)) for t in cleared]
-    side = np.repeat(np.arange(len(cleared)), sizes)
-    rows = np.arange(len(csr_u[0]) - 1)
-    scores, truth = [], []
-    for fold in (0, 1):
-        inside = np.flatnonzero(owner % 2 != fold)
-        outside = np.flatnonzero(owner % 2 == fold)
-        rest = rows[(rows >= len(side)) | (np.concatenate((side, np.full(len(rows) - len(side), -1))) % 2 != fold)]
-        part = _csr([(csr_p[1][csr_p[0][k] : csr_p[0][k + 1]], csr_p[2][csr_p[0][k] : csr_p[0][k + 1]]) for k in inside])
-        ids, values, of = _take(csr_u, rest)
-        less = (np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(rest))))), ids, values)
-        w, bias = _fit_rounds(part, np.unique(owner[inside], return_inverse=True)[1], first[inside], less, prior, rounds=2)
-        best = np.full(n, -np.inf)
-        np.maximum.at(best, owner[outside], _scores(csr_p, w, bias)[outside])
-        scores.append(best[np.unique(owner[outside])])
-        truth.append(np.ones(len(scores[-1])))
-        clear = np.full(len(cleared), -np.inf)
-        np.maximum.at(clear, side, _scores(csr_u, w, bias)[: len(side)])
-        scores.append(clear[fold::2])
-        truth.append(np.zeros(len(scores[-1])))
-    s, y = np.concatenate(scores), np.concatenate(truth)
-    s = np.maximum(s, -99.0)
-    order = np.argsort(-s)
-    hit = np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(1, len(s) + 1) + y.sum())
-    k = int(f1.argmax())
-    # Few reviews tell little: the threshold stays near the border of the risk.
-    return float(np.clip((s[order[k]] + s[order[min(k + 1, len(s) - 1)]]) / 2, *NEAR))
+    meant = np.array([own[k] * texts > MEANT * held.get(k, 0) * len(confirmed) for k in bad.keys])
+    some = np.zeros(len(confirmed), bool)
+    some[bad.owner[meant]] = True
+    inside = np.flatnonzero(meant | ~some[bad.owner])
+    everything = np.arange(len(good))
+    few = len(confirmed) < 10 or len(cleared) < 10
+    share, threshold = PRIOR if prior is None else prior, 0.0
+    if not few:
+        scores: list[list[np.ndarray]] = [[], [], []]
+        for fold in (0, 1):
+            rest = everything[(good.owner >= len(cleared)) | (good.owner % 2 != fold)]
+            w, bias, _ = _rounds(bad, inside[bad.owner[inside] % 2 != fold], first, good, rest, share, spelled, rounds=2)
+            model = Model(w, bias, 0.0, common)
+            for out, given in zip(scores, (confirmed, cleared, unlabelled)):
+                out.append(model.texts(given[fold::2]))
+        sides = [np.concatenate(x) for x in scores]
+        if prior is None and len(unlabelled):
+            share = estimated_prior(*sides)
+        threshold = best_threshold(sides[0], sides[1], share)
+    w, bias, _ = _rounds(bad, inside, first, good, everything, share, spelled)
+    return Model(w, bias, threshold, common, share)
 
 
 def verdicts(labels: DataFrame) -> DataFrame:
@@ -348,27 +455,34 @@ def verdicts(labels: DataFrame) -> DataFrame:
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Model:
-    """The model of these tables; the driver holds at most the bounded training sample."""
-    documents = documents.select("doc_id", "text").filter("text IS NOT NULL")
-    known = documents.join(verdicts(labels), "doc_id").dropDuplicates(["doc_id"])
+    """The model of these tables; the driver holds at most the bounded training sample.
+
+    The sample is chosen by hash among the ids alone; only the texts of those chosen are read.
+    """
+    ids = documents.filter("text IS NOT NULL").select("doc_id").distinct().join(verdicts(labels), "doc_id", "left")
     order = F.xxhash64(F.lit(5), "doc_id")
-    texts = lambda df, n: [r["text"] for r in df.orderBy(order).limit(n).select("text").collect()]
-    known = materialize(known, "reviewed")
-    confirmed = texts(known.filter("bad"), MOST_CONFIRMED)
-    cleared = texts(known.filter("NOT bad"), MOST_CLEARED)
-    unlabelled = texts(documents.join(verdicts(labels).filter("bad").select("doc_id"), "doc_id", "left_anti"), UNLABELLED)
-    return train(confirmed, cleared, unlabelled)
+    side = F.when(F.col("bad"), 0).when(~F.col("bad"), 1).otherwise(2)
+    chosen = None
+    for k, most in enumerate((MOST_CONFIRMED, MOST_CLEARED, UNLABELLED)):
+        part = ids.withColumn("side", side).filter(F.col("side") == k).orderBy(order, "doc_id").limit(most).select("doc_id", "side")
+        chosen = part if chosen is None else chosen.unionByName(part)
+    chosen = materialize(chosen, "review-sample")
+    # At most MOST_CONFIRMED + MOST_CLEARED + UNLABELLED ids, whatever the tables hold.
+    rows = documents.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "side").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: (r["side"], str(r["doc_id"])))
+    return train(*([r["text"] for r in rows if r["side"] == k] for k in range(3)))
 
 
 def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, source, score, bad) of every document; null, empty and blank texts score -9 and are not bad."""
+    """(doc_id, source, score, bad) of every document; null, empty and blank texts score NOTHING and are not bad."""
     model = documents.sparkSession.sparkContext.broadcast(fit(documents, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = model.value
         for batch in batches:
-            s = [work.text(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array([x > work.threshold for x in s], pa.bool_())], names=["doc_id", "source", "score", "bad"])
+            s = work.texts(batch.column(2).to_pylist())
+            bad = (s > work.threshold) & (s > NOTHING)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array(bad, pa.bool_())], names=["doc_id", "source", "score", "bad"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text").mapInArrow(run, "doc_id long, source string, score double, bad boolean")
 
