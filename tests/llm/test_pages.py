@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weftline.llm import history_dedup, main_body, repeated_lines, residue
+from weftline.llm.common import materialize
 
 DDL = "id string, url string, title string, content string, scraped_at timestamp_ntz, site string, low int, h int, t int, n int"
 T0 = dt.datetime(2025, 1, 1)
@@ -186,20 +187,65 @@ def test_decide_follows_chains(spark):
 
 
 @settings(max_examples=50, deadline=None)
-@given(st.lists(st.integers(0, 50), min_size=1, max_size=200))
-def test_paragraphs_cover_the_words(xs):
+@given(st.lists(st.integers(0, 50), min_size=1, max_size=400), st.integers(0, 400))
+def test_sketches_hold_runs_of_the_body(xs, at):
     h = np.array(xs, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    keys, sizes = history_dedup.paragraphs(h, 16)
-    assert sizes.sum() == len(xs) and len(keys) == len(sizes) and (sizes > 0).all()
+    own = set(history_dedup.runs(h, 6, 10**6).tolist())
+    part = h[at : at + 100]
+    if len(part) >= 6:
+        assert set(history_dedup.runs(part, 6, 10**6).tolist()) <= own
+    assert len(history_dedup.sketch(h)) <= 48 and set(history_dedup.runs(h, 6, 32).tolist()) <= own
 
 
-def test_history_in_batches(spark, tmp_path):
-    def signed(texts, day):
-        d = spark.createDataFrame([(k, f"https://{k}.example", "t", v, T0 + dt.timedelta(days=day), *[None] * 5) for k, v in texts.items()], DDL)
-        low, shared = main_body.style_tree(d.select(F.lit("x").alias("site"), "content"))
-        return history_dedup.signatures(d, low, spark.sparkContext.broadcast(main_body.load_cutter(shared)))
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 5), max_size=60), st.lists(st.integers(0, 5), max_size=60))
+def test_common_words_in_sequence(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for k, y in enumerate(b):
+            new.append(row[k] + 1 if x == y else max(new[-1], row[k + 1]))
+        row = new
+    assert history_dedup.common_in_sequence(a, b) == row[-1]
 
+
+def signed(spark, texts, day):
+    d = spark.createDataFrame([(k, f"https://{k}.example", "t", v, T0 + dt.timedelta(days=day, minutes=m), *[None] * 5) for m, (k, v) in enumerate(texts.items())], DDL)
+    low, shared = main_body.style_tree(d.select(F.lit("x").alias("site"), "content"))
+    return materialize(history_dedup.signatures(d, low, spark.sparkContext.broadcast(main_body.load_cutter(shared))), "signed")
+
+
+def test_history_in_batches(spark, tmp_path, monkeypatch):
     h = history_dedup.History(spark, str(tmp_path / "h"), buckets=4)
     a, b = " ".join(words(200, 1)), " ".join(words(200, 2))
-    assert sorted(r[0] for r in h.accept(signed({"a": a, "b": b, "c": a}, 0)).collect()) in (["a", "b"], ["b", "c"])
-    assert [r[0] for r in h.accept(signed({"d": a.upper(), "e": b + " more words here", "f": " ".join(words(200, 3))}, 1)).collect()] == ["f"]
+    refused = lambda texts, day: sorted(r[0] for r in h.accept(signed(spark, texts, day)).collect())
+    assert refused({"a": a, "b": b, "c": a, "b2": b + " more words"}, 0) == ["b2", "c"]
+    # A load that ends halfway adds nothing and can be given again.
+    with monkeypatch.context() as m:
+        m.setattr(h, "_folder", lambda: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            h.accept(signed(spark, {"x": " ".join(words(200, 9))}, 1))
+    held = h.held("bodies").count()
+    monkeypatch.setattr(h, "_append", lambda *x, done=[], real=h._append: 1 / 0 if done else done.append(real(*x)))
+    with pytest.raises(ZeroDivisionError):
+        h.accept(signed(spark, {"x": " ".join(words(200, 9))}, 1))
+    monkeypatch.undo()
+    assert h.held("bodies").count() == held == 2 and h.held("exact").count() == 3
+    new = {"d": a.upper(), "e": b + " more words here", "f": " ".join(words(200, 3)), "f2": " ".join(words(200, 3)), "x": " ".join(words(200, 9)), "b": b}
+    assert refused(new, 2) == ["d", "e", "f2"]
+    # Another session's view of the same folder goes on from there; a copy of what was refused is refused as well.
+    h.drop()
+    h = history_dedup.History(spark, str(tmp_path / "h"), buckets=4)
+    assert len(h.loads()) == 2 and refused({"g": b + " more words here", "k": " ".join(words(200, 4))}, 3) == ["g"]
+
+
+@pytest.mark.parametrize("loads", [1, 4])
+def test_loads_give_the_same_result(spark, loads):
+    rnd, rows, want = random.Random(4), [], set()
+    for g in range(6):
+        base = words(120, 300 + g)
+        for day in range(6):
+            w = [x if rnd.random() > 0.05 else f"n{day}{g}" for x in base]
+            rows.append((f"d{g}-{day}", f"https://s{g}.example/{day}", "t", " ".join(w), T0 + dt.timedelta(days=day, minutes=g), *[None] * 5))
+            want |= {f"d{g}-{day}"} if day else set()
+    assert {r["id"] for r in history_dedup.repeated_records(spark.createDataFrame(rows, DDL), loads=loads).collect()} == want

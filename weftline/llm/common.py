@@ -1,57 +1,24 @@
-"""What the corpus operators share: the shared folder, written stages, guarded broadcasts, site names."""
+"""What the corpus operators share: written stages, guarded broadcasts, site names."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_written: list[tuple[object, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one is set only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        held = spark.sparkContext.getCheckpointDir()
-        path = held or tempfile.mkdtemp(prefix="weftline-")
-        if not held:
-            spark.sparkContext.setCheckpointDir(path)
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def _drop_written() -> None:
-    for jvm_path, conf in _written:
-        try:
-            jvm_path.getFileSystem(conf).delete(jvm_path, True)
-        except Exception:  # noqa: BLE001 - the session may have ended already
-            pass
-    _written.clear()
-
-
-atexit.register(_drop_written)
+from weftline.sources.staging import materialize, row_bytes, shared_dir  # noqa: F401 - handed on to the operators
 
+#: Tables of unproven size are broadcast up to so many bytes of rows.
+BROADCAST_BYTES = 16 << 20
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read again: a cut in the lineage that outlives any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weftline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    _written.append((jvm.org.apache.hadoop.fs.Path(path), spark.sparkContext._jsc.hadoopConfiguration()))
-    return spark.read.schema(df.schema).parquet(path)
 
+def fits_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """Whether a table's rows hold at most ``most`` bytes, arrays and strings counted by their lengths. Give it a written table."""
+    return (df.agg(F.sum(row_bytes(df.schema)).alias("n")).first()["n"] or 0) <= most
 
-def guarded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if a count shows at most ``max_rows`` rows, else as it is (shuffle join).
 
-    Give it a written table: the count then reads only file footers.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def guarded_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it fits, else as it is (shuffle join)."""
+    return F.broadcast(df) if fits_broadcast(df, most) else df
 
 
 def site_of(url: Column) -> Column:

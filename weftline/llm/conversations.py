@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import guarded_broadcast, materialize
 
-HOT, BROADCAST_ROWS = 100_000, 200_000
+HOT = 100_000
 REPEAT_SECONDS = 10
 #: What a score has for another speaker, at most for words, and less for each place back. Time never favours the older turn,
 #: so further back than HORIZON no turn can win against the one directly before.
@@ -71,7 +71,7 @@ def turns(messages: DataFrame, *, with_content: bool = False, for_links: bool =
     rank = F.when(F.col("role") == "s", 0).when(F.col("role") == "u", 1).when(F.col("role") == "a", 2).otherwise(3)
     if any_hot:
         minute = F.coalesce(F.unix_micros(F.col("t").cast("timestamp")) / 60_000_000, F.lit(-1.0)).cast("long") + 1
-        one = one.join(guarded_broadcast(hot, BROADCAST_ROWS), "c", "left").withColumn("part", F.when(F.col("hot"), minute).otherwise(F.lit(0).cast("long"))).drop("hot")
+        one = one.join(guarded_broadcast(hot), "c", "left").withColumn("part", F.when(F.col("hot"), minute).otherwise(F.lit(0).cast("long"))).drop("hot")
     else:
         one = one.withColumn("part", F.lit(0).cast("long"))
     return Turns(one.withColumn("rank", rank), any_hot)
@@ -86,7 +86,7 @@ def with_previous(turns: Turns, value: Column, name: str, back: int = 1) -> Turn
     # Borders: the last row of the part before. Only hot conversations have parts above 0.
     ends = rows.filter("part > 0").groupBy("c", "part").agg(F.max_by(value, F.struct(*_ORDER)).alias("_end"))
     ends = ends.withColumn("_end", F.lag("_end").over(Window.partitionBy("c").orderBy("part"))).filter("_end IS NOT NULL")
-    out = out.join(guarded_broadcast(materialize(ends, "part-ends"), BROADCAST_ROWS), ["c", "part"], "left")
+    out = out.join(guarded_broadcast(materialize(ends, "part-ends")), ["c", "part"], "left")
     return turns.over(out.withColumn(name, F.when(F.col(name).isNull(), F.col("_end")).otherwise(F.col(name))).drop("_end"))
 
 
@@ -118,7 +118,7 @@ def reply_links(messages: DataFrame) -> DataFrame:
     numbered = rows.rows.withColumn("n", n)
     if rows.hot:
         before = rows.rows.filter("part > 0").groupBy("c", "part").count().withColumn("_before", F.sum("count").over(Window.partitionBy("c").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).drop("count")
-        numbered = numbered.join(guarded_broadcast(materialize(before, "part-sizes"), BROADCAST_ROWS), ["c", "part"], "left").withColumn("n", F.col("n") + F.coalesce("_before", F.lit(0)))
+        numbered = numbered.join(guarded_broadcast(materialize(before, "part-sizes")), ["c", "part"], "left").withColumn("n", F.col("n") + F.coalesce("_before", F.lit(0)))
     block = F.floor((F.col("n") - 1) / BLOCK)
     last = F.floor((F.col("n") - 1 + HORIZON) / BLOCK)
     spread = numbered.select("c", "id", "role", "t", "words", "mention", "n", block.alias("own"), F.explode(F.sequence(block, last)).alias("block"))
@@ -161,7 +161,7 @@ def rebuilt(messages: DataFrame, conversations: DataFrame) -> DataFrame:
     kept = merged(messages, with_content=True)
     rows, w = kept.rows.join(whole, "c", "left_semi"), kept.window()
     before = rows.filter("part > 0").groupBy("c", "part").count().withColumn("_before", F.sum("count").over(Window.partitionBy("c").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).drop("count")
-    rows = rows.withColumn("n", F.row_number().over(w)).join(guarded_broadcast(materialize(before, "part-sizes"), BROADCAST_ROWS), ["c", "part"], "left")
+    rows = rows.withColumn("n", F.row_number().over(w)).join(guarded_broadcast(materialize(before, "part-sizes")), ["c", "part"], "left")
     speaker = F.when(F.col("role") == "u", "user").when(F.col("role") == "a", "assistant").otherwise("system")
     return rows.select(F.col("c").alias("conversation_id"), (F.col("n") + F.coalesce("_before", F.lit(0)) - 1).cast("long").alias("position"), speaker.alias("role"), "id", "content")
 
@@ -170,6 +170,6 @@ def reply_pairs(messages: DataFrame) -> DataFrame:
     """(id, question, answer) of assistant rows directly after a user row, in conversations whose rows all have a time."""
     rows = merged(messages, with_content=True)
     timeless = materialize(messages.filter("created_at IS NULL AND conversation_id IS NOT NULL").select(F.col("conversation_id").alias("c")).distinct(), "timeless")
-    rows = rows.over(rows.rows.join(guarded_broadcast(timeless, BROADCAST_ROWS), "c", "left_anti"))
+    rows = rows.over(rows.rows.join(guarded_broadcast(timeless), "c", "left_anti"))
     rows = with_previous(rows, F.struct("role", "content"), "before").rows
     return rows.filter("role = 'a' AND before.role = 'u'").select("id", F.col("before.content").alias("question"), F.col("content").alias("answer"))

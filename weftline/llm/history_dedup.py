@@ -1,88 +1,75 @@
-"""New batches against everything accepted before: exact hashes, paragraph hashes, coverage by earlier holders.
-
-The body of a page is a sequence of words. It is cut where the words themselves say so (so that line breaks, case and
-punctuation don't matter) into paragraphs of about sixteen and, a second time, about sixty-four words. Each paragraph
-hash knows its earliest holder. A record is compared only with the holders of at least a twentieth of its words, of
-which there are at most forty, however many records share a paragraph. Copies with scattered changes share no whole
-paragraph: every body also has a sketch, the GRAMS smallest hashes of its runs of three words, and a record is compared
-with every earlier one that has some of the rarest shared runs of its sketch. Exact copies are settled by their hash before.
+"""New batches against everything accepted before: exact hashes, hashes of short paragraphs, word-for-word agreement.
+
+``History`` keeps three tables, bucketed by hash: the exact hash of every body judged, the paragraph hashes of the accepted
+bodies, and their words. A batch meets only the rows of its own buckets; the history is never read as a whole. What a batch
+adds becomes visible all at once, by one marker.
+
+Paragraphs are short and overlap, so that scattered changes leave some whole: the runs of LONG_RUN words, of short bodies also
+those of SHORT_RUN. A body keeps those of least hash (a bottom-k sketch). It is compared with the earliest holders of its
+paragraphs, and with all earlier bodies that hold at least MET of the RAREST of its sketch that others hold too; the longest
+common subsequence of words decides.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import guarded_broadcast, materialize, site_of
+from weftline.llm.common import materialize, shared_dir, site_of
 from weftline.llm.main_body import Cutter, load_cutter, split_lines, style_tree, with_low
 
-LEAST_CHARS, SAME, HOLDER_SHARE = 200, 0.8, 0.05
-FINE, COARSE = 16, 64
-#: Size of a sketch, and how many of its rarest shared runs of words a record looks for; it is compared where so many are met.
-GRAMS, RAREST, MET = 64, 12, 3
-BROADCAST_ROWS = 500_000
+LEAST_CHARS, SAME = 200, 0.8
+LONG_RUN, SHORT_RUN, SHORT_BODY = 6, 3, 200
+#: Sizes of the sketches of long and of short runs; how many of its rarest shared runs a body looks for, and how many must meet.
+LONG_SKETCH, SHORT_SKETCH, RAREST, MET = 32, 16, 8, 2
+#: How many paragraphs of a body must have the same earliest holder for a comparison with that.
+LED = 4
+#: Into how many loads of whole days p4_found divides a table, and the buckets of its history.
+LOADS, BUCKETS = 3, 12
 _WORD = re.compile(r"[^\W_]+")
 
 
-class Words:
+class Words(dict):
     """64-bit hashes of words, remembered."""
 
-    def __init__(self) -> None:
-        self._held: dict[str, int] = {}
+    def __missing__(self, word: str) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
 
     def of(self, text: str) -> np.ndarray:
-        held = self._held
-        if len(held) > 300_000:
-            held.clear()
+        if len(self) > 300_000:
+            self.clear()
         words = _WORD.findall(text.lower())
-        out = []
-        for w in words:
-            h = held.get(w)
-            if h is None:
-                held[w] = h = xxhash.xxh3_64_intdigest(w)
-            out.append(h)
-        return np.array(out, np.uint64)
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def paragraphs(h: np.ndarray, mean: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and lengths of the stretches between the places that the words choose (about one in ``mean``)."""
-    with np.errstate(over="ignore"):
-        n = len(h)
-        mixed = (h ^ (h >> np.uint64(29))) * _MIX
-        near = mixed.copy()
-        near[1:] += mixed[:-1] * np.uint64(31)
-        ends = np.flatnonzero((near >> np.uint64(40)) % np.uint64(mean) == 0) + 1
-        if not len(ends) or ends[-1] != n:
-            ends = np.append(ends, n)
-        starts = np.concatenate(([0], ends[:-1]))
-        # A polynomial hash of each stretch out of running powers: order counts.
-        size = ends - starts
-        place = np.arange(n, dtype=np.uint64) - np.repeat(starts.astype(np.uint64), size)
-        weight = (place * np.uint64(2) + np.uint64(1)) * _MIX
-        sums = np.add.reduceat((mixed ^ (mixed >> np.uint64(31))) * (weight ^ (weight >> np.uint64(33)) | np.uint64(1)), starts)
-        return (sums ^ (np.uint64(mean) * _MIX)).view(np.int64), size.astype(np.int32)
-
-
-def sketch(h: np.ndarray) -> np.ndarray:
-    """The GRAMS smallest hashes of the runs of three words; of a shorter body the hash of its words."""
-    n = min(3, len(h))
+def runs(h: np.ndarray, length: int, most: int) -> np.ndarray:
+    """The ``most`` least hashes of the runs of ``length`` words; of a shorter body the hash of all its words."""
+    n = min(length, len(h))
     with np.errstate(over="ignore"):
-        g = h[: len(h) - n + 1].copy()
+        g = h[: len(h) - n + 1] + np.uint64(length)
         for k in range(1, n):
             g = (g ^ (g >> np.uint64(31))) * _MIX + h[k : len(h) - n + 1 + k]
         g = (g ^ (g >> np.uint64(29))) * _MIX
-        return np.unique(g ^ (g >> np.uint64(32)))[:GRAMS].view(np.int64)
+        g ^= g >> np.uint64(32)
+    return np.unique(g)[:most].view(np.int64)
+
+
+def sketch(h: np.ndarray) -> np.ndarray:
+    """A body's paragraph hashes."""
+    long = runs(h, LONG_RUN, LONG_SKETCH)
+    return np.concatenate((long, runs(h, SHORT_RUN, SHORT_SKETCH))) if len(h) < SHORT_BODY else long
 
 
 def body_of(content: str, cutter: Cutter, low: set[int]) -> str:
@@ -91,20 +78,17 @@ def body_of(content: str, cutter: Cutter, low: set[int]) -> str:
     return "\n".join(x.strip() for i, x in enumerate(lines) if i not in gone and x.strip())
 
 
-_SIGNED = "id string, t timestamp_ntz, h long, n int, exact long, parts array<long>, sizes array<int>, grams array<long>"
-
-
-def _pages(data: DataFrame) -> DataFrame:
-    return data.select("id", site_of(F.col("url")).alias("site"), "content", F.col("scraped_at").cast("timestamp_ntz").alias("t"), F.xxhash64("id").alias("h"))
-
-
 def signatures(data: DataFrame, low: DataFrame, cutter) -> DataFrame:
-    """Hashes of every judged body. Bodies under LEAST_CHARS characters, null and blank content have none."""
+    """(id, t, h, exact, runs, words) of every judged body: hashes of the id, the whole body, its paragraphs and its words.
+
+    Bodies under LEAST_CHARS characters, null and blank content have none.
+    """
+    pages = data.select("id", site_of(F.col("url")).alias("site"), "content", F.col("scraped_at").cast("timestamp_ntz").alias("t"), F.xxhash64("id").alias("h"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work, words = cutter.value, Words()
         for batch in batches:
-            keep, n, exact, parts, sizes, grams = [], [], [], [], [], []
+            keep, exact, marks, spelled = [], [], [], []
             sets: dict[str, set[int]] = {}
             lows = batch.column(5)
             for k, (site, content) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
@@ -118,19 +102,29 @@ def signatures(data: DataFrame, low: DataFrame, cutter) -> DataFrame:
                 h = words.of(body)
                 if not len(h):
                     continue
-                a, b = paragraphs(h, FINE), paragraphs(h, COARSE)
                 keep.append(k)
-                n.append(len(h))
                 exact.append(xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63))
-                parts.append(np.concatenate((a[0], b[0])))
-                sizes.append(np.concatenate((a[1], b[1])))
-                grams.append(sketch(h))
+                marks.append(sketch(h))
+                spelled.append((h & np.uint64(0x7FFFFFFF)).astype(np.int32))
             rows = batch.take(pa.array(keep, pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), rows.column(3), rows.column(4), pa.array(n, pa.int32()), pa.array(exact, pa.int64()), pa.array(parts, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(grams, pa.list_(pa.int64()))],
-                names=["id", "t", "h", "n", "exact", "parts", "sizes", "grams"])
+                [rows.column(0), rows.column(3), rows.column(4), pa.array(exact, pa.int64()), pa.array(marks, pa.list_(pa.int64())), pa.array(spelled, pa.list_(pa.int32()))], names=["id", "t", "h", "exact", "runs", "words"])
+
+    return with_low(pages, low).select("id", "site", "content", "t", "h", "low").mapInArrow(sign, "id string, t timestamp_ntz, h long, exact long, runs array<long>, words array<int>")
+
 
-    return with_low(_pages(data), low).select("id", "site", "content", "t", "h", "low").mapInArrow(sign, _SIGNED)
+def common_in_sequence(a: list, b: list) -> int:
+    """Length of the longest common subsequence: a bit for each place of ``a``, one addition for each word of ``b``."""
+    places: dict = {}
+    for k, w in enumerate(a):
+        places[w] = places.get(w, 0) | (1 << k)
+    full = (1 << len(a)) - 1
+    free = full
+    for w in b:
+        met = free & places.get(w, 0)
+        if met:
+            free = ((free + met) | (free - met)) & full
+    return len(a) - free.bit_count()
 
 
 def agreement(a: np.ndarray, b: np.ndarray, least: float = SAME) -> float:
@@ -138,134 +132,178 @@ def agreement(a: np.ndarray, b: np.ndarray, least: float = SAME) -> float:
     total = len(a) + len(b)
     if not total:
         return 1.0
-    common = sum((Counter(a.tolist()) & Counter(b.tolist())).values())
-    if 2 * common < least * total:
+    if 2 * min(len(a), len(b)) < least * total:
         return 0.0
-    m = SequenceMatcher(None, a.tolist(), b.tolist(), autojunk=False)
-    return 2 * sum(x.size for x in m.get_matching_blocks()) / total
-
-
-def _verified(pairs: DataFrame, data: DataFrame, low: DataFrame, cutter) -> DataFrame:
-    """The pairs whose bodies agree word for word in sequence; only the pages in question are read out again."""
-    wanted = materialize(pairs.select(F.col("h")).union(pairs.select(F.col("to_h"))).distinct(), "dedup-wanted")
-    pages = with_low(_pages(data).join(guarded_broadcast(wanted, BROADCAST_ROWS), "h", "left_semi"), low)
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work, words = cutter.value, Words()
-        for batch in batches:
-            out = []
-            for k, (site, content) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                body = body_of(content or "", work, set(batch.column(3)[k].as_py() or ()))
-                out.append((words.of(body) & np.uint64(0x7FFFFFFF)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["h", "words"])
-
-    spelled = materialize(pages.select("h", "site", "content", "low").mapInArrow(spell, "h long, words array<int>").dropDuplicates(["h"]), "dedup-words")
-    both = pairs.join(spelled, "h").join(spelled.select(F.col("h").alias("to_h"), F.col("words").alias("to_words")), "to_h")
+    a, b = a.tolist(), b.tolist()
+    if 2 * sum((Counter(a) & Counter(b)).values()) < least * total:
+        return 0.0
+    return 2 * common_in_sequence(a, b) / total
 
-    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column(2), batch.column(3)
-            ok = [agreement(a[k].values.to_numpy(), b[k].values.to_numpy()) >= SAME for k in range(batch.num_rows)]
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("h", "to_h", "words", "to_words").mapInArrow(hold, "h long, to_h long")
+def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = batch.column(3), batch.column(4)
+        ok = [agreement(a[k].values.to_numpy(), b[k].values.to_numpy()) >= SAME for k in range(batch.num_rows)]
+        yield batch.select([0, 1, 2]).filter(pa.array(ok, pa.bool_()))
 
 
 def decide(edges: DataFrame) -> DataFrame:
     """(h) of the records that aren't accepted. ``edges``: h, to_h, where to_h is an earlier record of the same content.
 
-    A record is accepted if none of its earlier ones was. Each round settles every record whose earlier ones are settled,
-    so it takes as many rounds as the longest chain of differing records.
+    A record is accepted if none of its earlier ones was. Each round settles every record that has an earlier one without open
+    edges, and takes what is settled out; so it takes as many rounds as the longest chain of accepted and refused records.
     """
-    open_ = edges
-    cases = accepted = None
+    open_, cases = edges, None
     while True:
-        froms = open_.select("h").distinct()
-        roots = open_.select(F.col("to_h").alias("h")).distinct().join(froms, "h", "left_anti")
-        accepted = materialize(roots, "dedup-accepted")
-        now = materialize(open_.join(accepted.withColumnRenamed("h", "to_h"), "to_h", "left_semi").select("h").distinct(), "dedup-cases")
+        waits = open_.select(F.col("h").alias("to_h"), F.lit(True).alias("waits")).distinct()
+        now = materialize(open_.join(waits, "to_h", "left").filter("waits IS NULL").select("h").distinct(), "dedup-cases")
         cases = now if cases is None else cases.unionByName(now)
-        # What is settled goes: edges of cases, and edges to cases; a record left without edges is accepted.
-        rest = open_.join(now, "h", "left_anti").join(now.withColumnRenamed("h", "to_h"), "to_h", "left_anti").select("h", "to_h")
-        open_ = materialize(rest, "dedup-open")
+        open_ = materialize(open_.join(now, "h", "left_anti").join(now.withColumnRenamed("h", "to_h"), "to_h", "left_anti").select("h", "to_h"), "dedup-open")
         if open_.isEmpty():
             return cases.distinct()
 
 
-def alike(heads: DataFrame) -> DataFrame:
-    """(h, to_h) of the records that share rare runs of words with an earlier one. ``heads``: h, t, grams, one row per record.
+def _with_leaders(holders: DataFrame) -> DataFrame:
+    """(h, to_h, new) of new records and the earliest holders of their paragraphs that lead at least LED of them."""
+    leader = holders.groupBy("run").agg(F.min(F.struct("new", "t", "h")).alias("r")).select("run", F.col("r.new").alias("to_new"), F.col("r.t").alias("to_t"), F.col("r.h").alias("to_h"))
+    met = holders.filter("new").select("run", "h", "t").join(leader, "run").filter("to_h <> h AND (to_t < t OR NOT to_new)")
+    return met.groupBy("h", "to_h").agg(F.count_distinct("run").alias("met"), F.bool_and("to_new").alias("new")).filter(F.col("met") >= LED).select("h", "to_h", "new")
 
-    A run that one record alone has leads nowhere, so the rarest are sought among the others; a changed word makes its runs such.
-    """
-    grams = heads.select("h", "t", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
-    held = materialize(grams.groupBy("gram").agg(F.count("h").alias("count"), F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("gram", "count"), "gram-counts")
-    rarest = F.slice(F.array_sort(F.collect_set(F.struct("count", "gram"))), 1, RAREST)
-    sought = grams.join(guarded_broadcast(held, 4 * BROADCAST_ROWS), "gram").groupBy("h", "size").agg(F.max("t").alias("t"), rarest.alias("r")).select("h", "t", "size", F.explode("r.gram").alias("gram"))
-    met = materialize(sought, "rare-grams").join(grams.select("gram", F.col("h").alias("to_h"), F.col("t").alias("to_t")), "gram").filter("to_t < t AND to_h <> h")
-    # Short bodies have few runs.
-    least = F.least(F.lit(MET), F.lit(1) + F.floor(F.col("size") / 16))
-    return met.groupBy("h", "to_h", "size").agg(F.size(F.collect_set("gram")).alias("met")).filter(F.col("met") >= least).select("h", "to_h")
 
-
-def repeated_records(data: DataFrame) -> DataFrame:
-    """(id) of every record with the same content as an accepted record of an earlier scraped_at.
-
-    Rows of one id are one record. Null times never count as earlier; records of equal time don't exclude each other.
-    """
-    pages = data.select(site_of(F.col("url")).alias("site"), "content")
-    low, shared = style_tree(pages)
-    cutter = data.sparkSession.sparkContext.broadcast(load_cutter(shared))
-    signed = materialize(signatures(data, low, cutter), "signatures")
-    key = F.struct("t", "h")
-    groups = signed.filter("t IS NOT NULL").groupBy("exact").agg(F.min(key).alias("first"), F.max("h").alias("a"), F.min("h").alias("b")).filter("a <> b").select("exact", "first")
-    groups = materialize(groups, "exact-groups")
-    marked = signed.select("id", "t", "h", "n", "exact", "parts", "sizes", "grams").join(guarded_broadcast(groups, BROADCAST_ROWS), "exact", "left")
-    copies = marked.filter("first.h <> h AND first.t < t").select("id")
-    heads = marked.filter("t IS NOT NULL AND (first IS NULL OR first.h = h)")
-    parts = heads.select("t", "h", "n", F.explode(F.arrays_zip("parts", "sizes")).alias("p")).select("t", "h", "n", F.col("p.parts").alias("part"), F.col("p.sizes").alias("size"))
-    holders = parts.groupBy("part").agg(F.min(key).alias("first"), F.max("h").alias("a"), F.min("h").alias("b")).filter("a <> b").select("part", "first")
-    holders = materialize(holders, "part-holders")
-    shared_parts = parts.join(guarded_broadcast(holders, 4 * BROADCAST_ROWS), "part").filter("first.h <> h AND first.t < t")
-    # Both cuts cover the text once, so a holder's share is counted of twice its words.
-    pairs = shared_parts.groupBy("h", F.col("first.h").alias("to_h")).agg(F.sum("size").alias("common"), F.min("n").alias("n")).filter(F.col("common") >= F.col("n") * 2 * HOLDER_SHARE).select("h", "to_h")
-    pairs = materialize(pairs.union(alike(heads)).distinct(), "dedup-pairs")
-    edges = materialize(_verified(pairs, data, low, cutter), "dedup-edges")
-    if edges.isEmpty():
-        return copies.distinct()
-    near = decide(edges)
-    # A copy of a record is a case whether or not that record is one; near copies are cases by the records they are like.
-    return copies.unionByName(signed.select("id", "h").join(guarded_broadcast(materialize(near, "dedup-near"), BROADCAST_ROWS), "h", "left_semi").select("id")).distinct()
+def _with_rarest(holders: DataFrame, asking: DataFrame | None = None) -> DataFrame:
+    """(h, to_h, new) of new records, or of those ``asking``, and all earlier holders of at least MET of their rarest shared paragraphs."""
+    shared = holders.groupBy("run").agg(F.count("*").alias("n"), F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("run", "n")
+    mine = holders.filter("new").select("run", "h", "t")
+    if asking is not None:
+        mine = mine.join(asking, "h", "left_semi")
+    rarest = F.slice(F.array_sort(F.collect_set(F.struct("n", "run"))), 1, RAREST)
+    sought = mine.join(shared, "run").groupBy("h").agg(F.min("t").alias("t"), rarest.alias("r")).select("h", "t", F.explode("r.run").alias("run"))
+    met = sought.join(holders.select("run", F.col("h").alias("to_h"), F.col("t").alias("to_t"), F.col("new").alias("to_new")), "run").filter("to_h <> h AND (to_t < t OR NOT to_new)")
+    return met.groupBy("h", "to_h").agg(F.count_distinct("run").alias("met"), F.bool_and("to_new").alias("new")).filter(F.col("met") >= MET).select("h", "to_h", "new")
 
 
 class History:
-    """Hashes of everything accepted, in tables split into buckets by hash, so that a batch meets only its own buckets.
+    """Hashes of everything judged and accepted, in tables bucketed by hash: a batch meets only its own buckets.
 
-    p4_found doesn't run through it, and it does less: no word check, and within a batch only exact copies are found.
+    Every row carries its load; a load counts once its marker is written, so that one which ended halfway adds nothing and can be
+    given again. A folder that isn't there is an empty history; any other failure to read is one.
     """
 
-    def __init__(self, spark, path: str, buckets: int = 64) -> None:
-        self.spark, self.path, self.buckets = spark, path, buckets
-
-    def _held(self, name: str, ddl: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(ddl).parquet(f"{self.path}/{name}")
-        except Exception:  # noqa: BLE001 - nothing was accepted yet
-            return self.spark.createDataFrame([], ddl)
-
-    def accept(self, signed: DataFrame, covered: float = 0.7) -> DataFrame:
-        """(id) of the rows of ``signed`` (see ``signatures``) that are new; their hashes are appended.
-
-        A row is held already if its exact hash is, or if one accepted record holds ``covered`` of its paragraphs' words.
+    _TABLES = {"exact": ("exact long, h long, load string", "exact"), "runs": ("run long, h long, t timestamp_ntz, load string", "run"), "bodies": ("h long, words array<int>, load string", "h")}
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64) -> None:
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        # The catalog's names for the tables under this path.
+        self.name = "weftline_history_" + format(xxhash.xxh3_64_intdigest(self.path), "x")
+        for t, (ddl, key) in self._TABLES.items():
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name}_{t} ({ddl}) USING parquet CLUSTERED BY ({key}) INTO {buckets} BUCKETS LOCATION '{self.path}/{t}'")
+
+    def _folder(self):
+        done = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/loads")
+        return done, done.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def loads(self) -> list[str]:
+        """The loads that count."""
+        done, fs = self._folder()
+        return sorted(f.getPath().getName() for f in fs.listStatus(done)) if fs.exists(done) else []
+
+    def held(self, table: str) -> DataFrame:
+        """The rows of the loads that count."""
+        return self.spark.table(f"{self.name}_{table}").filter(F.col("load").isin(self.loads()))
+
+    def _append(self, table: str, rows: DataFrame, load: str) -> None:
+        ddl, key = self._TABLES[table]
+        rows.withColumn("load", F.lit(load)).select(*[c.split()[0] for c in ddl.split(", ")]).repartition(self.buckets, key).write.insertInto(f"{self.name}_{table}")
+
+    def drop(self) -> None:
+        """Takes the tables out of the catalog; their files stay."""
+        for t in self._TABLES:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{t}")
+
+    def _agreeing(self, pairs: DataFrame, words: DataFrame) -> DataFrame:
+        """Those of ``pairs`` (h, to_h, new) that agree word for word, with the words of the batch (h, words) and of the history."""
+        pairs = materialize(pairs, "batch-pairs")
+        wanted = pairs.filter("NOT new").select(F.col("to_h").alias("h")).distinct()
+        theirs = words.unionByName(self.held("bodies").select("h", "words").join(wanted, "h", "left_semi"))
+        both = pairs.join(words, "h").join(theirs.select(F.col("h").alias("to_h"), F.col("words").alias("to_words")), "to_h")
+        return both.select("h", "to_h", "new", "words", "to_words").mapInArrow(_agree, "h long, to_h long, new boolean").distinct()
+
+    def _refused(self, edges: DataFrame) -> DataFrame:
+        """(h) of the records that are like an accepted one; all records of the history are accepted."""
+        known = edges.filter("NOT new").select("h").distinct()
+        among = edges.filter("new").select("h", "to_h").join(known, "h", "left_anti").join(known.withColumnRenamed("h", "to_h"), "to_h", "left_anti")
+        return materialize(known.unionByName(decide(materialize(among, "batch-open"))), "batch-near")
+
+    def accept(self, signed: DataFrame) -> DataFrame:
+        """(id) of the records of a batch of ``signatures`` that aren't accepted; what is new of the others is appended.
+
+        Rows of one id are one record. A record with an accepted one of an earlier time and the same content, in the history or in
+        the batch, isn't accepted; everything in the history counts as earlier. Null times are neither judged nor kept. Give it a
+        written table.
         """
-        bucket = lambda c: F.pmod(c, F.lit(self.buckets)).cast("int").alias("bucket")
-        exact = self._held("exact", "exact long, h long, bucket int")
-        parts = self._held("parts", "part long, h long, bucket int").withColumnRenamed("h", "holder")
-        batch = signed.withColumn("rank", F.row_number().over(__import__("pyspark.sql.window", fromlist=["Window"]).Window.partitionBy("exact").orderBy("t", "h"))).filter("rank = 1").drop("rank")
-        fresh = batch.withColumn("bucket", bucket(F.col("exact"))).join(exact.select("bucket", "exact"), ["bucket", "exact"], "left_anti").drop("bucket")
-        fresh = materialize(fresh, "batch-fresh")
-        own = fresh.select("h", "n", F.explode(F.arrays_zip("parts", "sizes")).alias("p")).select("h", "n", F.col("p.parts").alias("part"), F.col("p.sizes").alias("size"), bucket(F.col("p.parts")))
-        held = own.join(parts, ["bucket", "part"]).groupBy("h", "holder").agg(F.sum("size").alias("common"), F.min("n").alias("n")).filter(F.col("common") >= 2 * covered * F.col("n"))
-        new = materialize(fresh.join(held.select("h").distinct(), "h", "left_anti"), "batch-new")
-        new.select("exact", "h", bucket(F.col("exact"))).write.mode("append").partitionBy("bucket").parquet(f"{self.path}/exact")
-        new.select(F.explode("parts").alias("part"), "h").select("part", "h", bucket(F.col("part"))).write.mode("append").partitionBy("bucket").parquet(f"{self.path}/parts")
-        return new.select("id")
+        load = uuid.uuid4().hex
+        signed = signed.filter("t IS NOT NULL")
+        key = F.struct("t", "h")
+        # Full copies: of a body judged before, or of the first of its kind in the batch.
+        first = signed.groupBy("exact").agg(F.min(key).alias("first"))
+        before = self.held("exact").select("exact", F.col("h").alias("before"))
+        first = materialize(first.join(before, "exact", "left"), "batch-exact")
+        marked = signed.select("id", "h", "t", "exact").join(first, "exact")
+        copies = marked.filter(F.when(F.col("before").isNotNull(), F.col("before") != F.col("h")).otherwise((F.col("first.h") != F.col("h")) & (F.col("first.t") < F.col("t")))).select("id")
+        heads = first.filter("before IS NULL").select(F.col("first.h").alias("h"), F.col("first.t").alias("t"), "exact")
+        own = materialize(signed.select("h", "t", "runs", "words").join(heads.select("h", "t"), ["h", "t"], "left_semi"), "batch-heads")
+        # Shared paragraphs: those of the batch, and the accepted ones in the same buckets.
+        mine = own.select("h", "t", F.explode("runs").alias("run"))
+        held = self.held("runs").select("run", F.col("h"), F.col("t")).join(mine.select("run").distinct(), "run", "left_semi")
+        holders = materialize(mine.select("run", "h", "t", F.lit(True).alias("new")).unionByName(held.select("run", "h", "t", F.lit(False).alias("new"))), "batch-runs")
+        words = own.select("h", "words")
+        # First the earliest holders of its paragraphs, of which a body has few and a group of copies one; then, without the
+        # records these settle, all earlier holders of its rarest ones.
+        edges = materialize(self._agreeing(_with_leaders(holders), words), "batch-leaders")
+        led = edges.select("h").distinct()
+        edges = materialize(edges.unionByName(self._agreeing(_with_rarest(holders.join(led, "h", "left_anti")), words)), "batch-edges")
+        near = self._refused(edges)
+        while True:
+            # Who is accepted though like a refused record looks again, among accepted ones alone.
+            doubtful = materialize(edges.join(near, "h", "left_anti").join(near.withColumnRenamed("h", "to_h"), "to_h", "left_semi").select("h").distinct(), "batch-doubtful")
+            if doubtful.isEmpty():
+                break
+            again = _with_rarest(holders.join(near, "h", "left_anti"), doubtful).join(edges.select("h", "to_h"), ["h", "to_h"], "left_anti")
+            found = materialize(self._agreeing(again, words), "batch-again")
+            if found.isEmpty():
+                break
+            edges = materialize(edges.unionByName(found), "batch-edges")
+            near = self._refused(edges)
+        self._append("exact", heads.select("exact", "h"), load)
+        fresh = own.join(near, "h", "left_anti")
+        self._append("runs", fresh.select("h", "t", F.explode("runs").alias("run")).distinct(), load)
+        self._append("bodies", fresh.dropDuplicates(["h"]).select("h", "words"), load)
+        done, fs = self._folder()
+        fs.create(self.spark._jvm.org.apache.hadoop.fs.Path(done, load)).close()
+        # Copies of a record that isn't accepted aren't either: a near one's exact copies are copies of their first.
+        return copies.unionByName(signed.select("id", "h").join(near, "h", "left_semi").select("id")).distinct()
+
+
+def repeated_records(data: DataFrame, *, loads: int = LOADS) -> DataFrame:
+    """(id) of every record with the same content as an accepted record of an earlier scraped_at.
+
+    The table goes through a new ``History`` in ``loads`` loads of whole days, each against what was accepted before and within
+    itself; more loads give the same result. Rows of one id are one record. Null times are never cases and never count as
+    earlier; records of equal time don't exclude each other. An empty table gives no rows.
+    """
+    spark = data.sparkSession
+    pages = data.select(site_of(F.col("url")).alias("site"), "content")
+    low, shared = style_tree(pages)
+    cutter = spark.sparkContext.broadcast(load_cutter(shared))
+    signed = materialize(signatures(data, low, cutter), "signatures")
+    day = F.datediff(F.col("t").cast("date"), F.lit("1970-01-01").cast("date"))
+    lo, hi = signed.agg(F.min(day), F.max(day)).first()
+    if lo is None:
+        return signed.select("id").limit(0)
+    history = History(spark, f"{shared_dir(spark)}/weftline/history-{uuid.uuid4().hex}", BUCKETS)
+    size, cases = max(1, -(-(hi - lo + 1) // loads)), None
+    for start in range(lo, hi + 1, size):
+        refused = materialize(history.accept(signed.filter(day.between(start, start + size - 1))), "load-cases")
+        cases = refused if cases is None else cases.unionByName(refused)
+    history.drop()
+    return cases.distinct()

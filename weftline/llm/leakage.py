@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import guarded_broadcast, materialize
+from weftline.llm.common import BROADCAST_BYTES, guarded_broadcast, materialize
 
 #: Masks over neighbouring words: six words that must agree, in a row or around one or two that needn't.
 MASKS = ("111111", "1110111", "11011011", "10110111")
@@ -186,11 +186,11 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 
     hits = materialize(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(find, "doc_id long, at array<int>, seed array<long>, parts array<long>"), "leak-hits")
     each = hits.select("doc_id", F.explode(F.arrays_zip("at", "seed")).alias("x")).select("doc_id", F.col("x.at").alias("at"), F.col("x.seed").alias("seed"))
-    lines = each.join(guarded_broadcast(windows, LOOKUP_ROWS), "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
+    lines = each.join(guarded_broadcast(windows, 4 * BROADCAST_BYTES), "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
     lines = lines.groupBy("doc_id", "item_id", "shift").agg(F.count("*").alias("n"))
     # An agreement of LEAST_WORDS with odd changes holds several windows on one line or on two neighbouring ones; one window alone is a shared turn of phrase.
     lines = lines.filter("n > 1").groupBy("doc_id", "item_id").agg(F.collect_list("shift").alias("shifts"))
-    both = lines.join(hits.select("doc_id", F.col("parts").alias("document")).dropDuplicates(["doc_id"]), "doc_id").join(guarded_broadcast(cut, 100_000), "item_id")
+    both = lines.join(hits.select("doc_id", F.col("parts").alias("document")).dropDuplicates(["doc_id"]), "doc_id").join(guarded_broadcast(cut), "item_id")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

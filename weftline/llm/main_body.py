@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import guarded_broadcast, materialize, site_of
+from weftline.llm.common import fits_broadcast, guarded_broadcast, materialize, site_of
 
 #: A content node is furniture below this importance, if it also stands on this share of the pages and on so many.
 IMPORTANCE, SHARE, LEAST = 0.5, 0.01, 3
@@ -30,7 +30,8 @@ BODY_NEXT, BODY_PREV = 0.6, 0.12
 ALONE_NEXT, ALONE_PREV, ALONE_LEAST = 0.4, 0.08, 40
 #: A line that recurs within sites is furniture of any site from this share of all pages on.
 ANYWHERE = 0.003
-TREE_ROWS = 2_000_000
+#: Pages of one site go to so many tasks where the furniture of all sites is too much for a broadcast.
+SALTS = 32
 
 
 _ASCII_OTHER = bytes(i for i in range(128) if not chr(i).isalpha())
@@ -147,7 +148,7 @@ def style_tree(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     content = nodes.filter("kind = 1")
     importance = F.lit(1.0) - F.log(F.col("n")) / F.log(F.greatest(F.col("m"), F.lit(2)))
     low = (
-        content.join(guarded_broadcast(sizes, TREE_ROWS), "site")
+        content.join(guarded_broadcast(sizes), "site")
         .filter((importance < IMPORTANCE) & (F.col("n") >= F.col("m") * SHARE))
         .groupBy("site").agg(F.collect_list("node").alias("low"))
     )
@@ -225,8 +226,12 @@ def load_cutter(shared: DataFrame) -> Cutter:
 
 
 def with_low(pages: DataFrame, low: DataFrame) -> DataFrame:
-    """Pages with their site's furniture nodes as an array ``low``."""
-    return pages.withColumn("site", F.coalesce("site", F.lit(""))).join(guarded_broadcast(low, 20_000), "site", "left")
+    """Pages with their site's furniture nodes as an array ``low``; a hot site's pages are split by a salt if they are shuffled."""
+    pages = pages.withColumn("site", F.coalesce("site", F.lit("")))
+    if fits_broadcast(low):
+        return pages.join(F.broadcast(low), "site", "left")
+    salted = low.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return pages.withColumn("_salt", F.pmod(F.xxhash64("content"), F.lit(SALTS)).cast("int")).join(salted, ["site", "_salt"], "left").drop("_salt")
 
 
 def outside_lines(data: DataFrame) -> DataFrame:

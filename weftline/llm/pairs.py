@@ -21,7 +21,6 @@ from weftline.llm.common import guarded_broadcast, materialize
 from weftline.llm.conversations import reply_pairs
 
 OPENING_WORDS, BANDS, ROWS_OF_BAND, SIMILAR = 8, 8, 2, 0.6
-BROADCAST_ROWS = 300_000
 
 _LETTER = re.compile(r"[\W_]+")
 _INVISIBLE = re.compile(r"[​-‏⁠﻿­]")
@@ -389,7 +388,7 @@ def _defects(pairs: DataFrame) -> DataFrame:
     rate = F.max(F.when((F.col("n") >= 4) | (F.col("k") == 1), F.struct("k", ((F.col("ends") + 0.0) / F.greatest(F.col("n"), F.lit(1))).alias("rate"), "n")))
     judged = known.groupBy("pair_source", "pair_id").agg(rate.alias("r"), F.max("open").alias("open"), F.max("whole").alias("whole"))
     cut = judged.filter(F.col("open") | (~F.col("whole") & (F.col("r.rate") < 0.1))).select("pair_source", "pair_id", F.lit(True).alias("cut"))
-    refused = assessed.filter("opening IS NOT NULL").join(guarded_broadcast(refusing, BROADCAST_ROWS), "opening").filter("cue OR hole").select("pair_source", "pair_id", F.lit(True).alias("refused")).distinct()
+    refused = assessed.filter("opening IS NOT NULL").join(guarded_broadcast(refusing), "opening").filter("cue OR hole").select("pair_source", "pair_id", F.lit(True).alias("refused")).distinct()
     out = assessed.select("pair_source", "pair_id", "defect").join(refused, ["pair_source", "pair_id"], "left").join(cut, ["pair_source", "pair_id"], "left")
     kind = F.coalesce("defect", F.when(F.col("refused"), "refusal"), F.when(F.col("cut"), "truncated"))
     return out.select("pair_source", "pair_id", kind.alias("defect")).filter("defect IS NOT NULL")

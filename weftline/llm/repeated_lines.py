@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from weftline.llm.common import guarded_broadcast, letters_of, materialize, page_lines, site_of
 
 LEAST_PAGES, LEAST_SHARE, FDR = 5, 0.1, 0.05
-#: Excess lines are broadcast up to this number, else joined by shuffle.
-BROADCAST_ROWS = 500_000
 
 
 def _xlogx(x: Column, y: Column) -> Column:
@@ -57,7 +55,7 @@ def excess_lines(data: DataFrame, *, least_pages: int = LEAST_PAGES, least_share
     counts = lines.groupBy("s", "line").agg(F.count_distinct("page").alias("pages"))
     counts = materialize(counts.groupBy(F.when(F.col("pages") >= least_pages, F.col("s")).alias("s"), "line").agg(F.sum("pages").alias("pages"), F.count("*").alias("pairs")).filter(
         (F.col("s").isNotNull()) | (F.col("pairs") > 1)), "line-counts")
-    small = guarded_broadcast(materialize(sizes.withColumn("s", F.xxhash64("site")), "site-sizes"), BROADCAST_ROWS)
+    small = guarded_broadcast(materialize(sizes.withColumn("s", F.xxhash64("site")), "site-sizes"))
     frequent = counts.filter("s IS NOT NULL").join(small, "s").withColumn("dense", F.col("pages") >= F.col("site_pages") * least_share)
     all_pages = sizes.agg(F.sum("site_pages").alias("all_pages"))
     # The background: the line's pages outside the sites where it is dense, out of all pages of other sites. Where there are
@@ -86,7 +84,7 @@ def repeated_lines(data: DataFrame) -> DataFrame:
     """(id, line_no) of the significant excess lines; rows of one id give each line once."""
     found = excess_lines(data).filter("significant").select("site", "line")
     lines = _numbered(data).filter("site IS NOT NULL").select("id", "site", "line_no", F.xxhash64(letters_of(F.col("text"))).alias("line"))
-    hits = lines.join(guarded_broadcast(materialize(found, "excess-lines"), BROADCAST_ROWS), ["site", "line"], "left_semi")
+    hits = lines.join(guarded_broadcast(materialize(found, "excess-lines")), ["site", "line"], "left_semi")
     return hits.select("id", "line_no").distinct()
 
 
@@ -95,6 +93,6 @@ def remove_repeated(data: DataFrame) -> DataFrame:
     found = materialize(excess_lines(data).filter("significant").select("site", "line"), "excess-lines")
     pages = data.select("id", "url", "content").groupBy("id").agg(F.min_by("url", "content").alias("url"), F.min("content").alias("content"))
     lines = _numbered(pages).withColumn("line", F.xxhash64(letters_of(F.col("text"))))
-    kept = lines.join(guarded_broadcast(found, BROADCAST_ROWS), ["site", "line"], "left_anti")
+    kept = lines.join(guarded_broadcast(found), ["site", "line"], "left_anti")
     body = kept.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("body"))
     return pages.select("id", F.col("content").isNull().alias("none")).join(body, "id", "left").select("id", F.when(~F.col("none"), F.coalesce("body", F.lit(""))).alias("content"))

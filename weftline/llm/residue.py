@@ -139,7 +139,7 @@ def residue_pages(data: DataFrame) -> DataFrame:
     small = seen.filter("few AND NOT residue")
     # Host evidence: how many of a body's twins, over all hosts, show a cue; a body on several pages says nothing of its own.
     twins = small.groupBy("body").agg(F.count_distinct("id").alias("pages"), F.avg((F.col("cue") != "none").cast("double")).alias("cued"))
-    judged = small.join(guarded_broadcast(twins, 200_000), "body", "left")
+    judged = small.join(guarded_broadcast(materialize(twins, "residue-twins")), "body", "left")
     empty = (F.col("cue") != "none") | ((F.col("mismatch") > 0.8) & (F.col("pages") > 1) & (F.col("cued") > 0.5))
     bad = judged.filter(empty).select("id", F.when(F.col("cue") != "none", F.col("cue")).otherwise("duplicated").alias("reason"))
     return seen.filter("residue").select("id", F.lit("placeholder").alias("reason")).unionByName(bad).groupBy("id").agg(F.min("reason").alias("reason"))
