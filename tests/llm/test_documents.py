@@ -67,6 +67,18 @@ def test_leaks(spark):
     assert leakage.found_leaks(d, e.limit(0)).count() == leakage.found_leaks(d.limit(0), e).count() == 0
 
 
+@pytest.mark.parametrize("lookup", [3, 10**6])
+def test_short_items_are_found_whole(spark, monkeypatch, lookup):
+    monkeypatch.setattr(leakage, "LOOKUP_ROWS", lookup)
+    rnd = random.Random(8)
+    items = {n: " ".join(f"w{n}x{k}" for k in range(n)) for n in (1, 2, 3, 4, 5, 6, 7, 8, 12, 19)} | {100: "- one, two -- three!"}
+    around = lambda t: f"{sentence(rnd, 30)} {t.upper()}. {sentence(rnd, 5)} {t} {sentence(rnd, 9)}"
+    docs = {**{n: around(t) for n, t in items.items()}, **{200 + n: around(" ".join(t.split()[:-1])) for n, t in items.items() if n > 1}}
+    d = spark.createDataFrame([*docs.items()], "doc_id long, text string")
+    e = spark.createDataFrame([*items.items()], "item_id long, text string")
+    assert {tuple(r) for r in leakage.found_leaks(d, e).collect()} == {(n, n) for n in items}
+
+
 def test_leaks_without_lookup_table(spark, monkeypatch):
     monkeypatch.setattr(leakage, "LOOKUP_ROWS", 3)
     rnd = random.Random(6)

@@ -22,6 +22,8 @@ from weftline.llm.common import BROADCAST_BYTES, guarded_broadcast, materialize
 
 #: Masks over neighbouring words: six words that must agree, in a row or around one or two that needn't.
 MASKS = ("111111", "1110111", "11011011", "10110111")
+#: An item of fewer words has at most one window of these masks: its mask is all of it.
+SHORT = 7
 LEAST_WORDS, WORDS_PER_CHANGE = 20, 9
 #: Up to this number of item windows, corpus windows are first looked up in a broadcast table; beyond it all are joined.
 LOOKUP_ROWS = 2_000_000
@@ -49,25 +51,42 @@ def plain(text: str) -> str:
     return _APOSTROPHE.sub("", text).casefold()
 
 
-class Words:
+class Words(dict):
     """Hashes of normalised words, remembered."""
 
-    def __init__(self) -> None:
-        self.held: dict[str, int] = {}
+    def __missing__(self, word: str) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
 
     def of(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint64)
-        held = self.held
-        if len(held) > 300_000:
-            held.clear()
-        out = []
-        for w in _GAP.findall(plain(text)):
-            h = held.get(w)
-            if h is None:
-                held[w] = h = xxhash.xxh3_64_intdigest(w)
-            out.append(h)
-        return np.array(out, np.uint64)
+        if len(self) > 300_000:
+            self.clear()
+        words = _GAP.findall(plain(text))
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+class Lookup:
+    """Which seeds are known: a bitmap answers for nearly all of those that aren't, a sorted table for the rest."""
+
+    BITS = 24
+
+    def __init__(self, seeds: np.ndarray) -> None:
+        self.table = np.unique(seeds)
+        self.marked = np.zeros(1 << self.BITS, bool)
+        self.marked[self._place(self.table)] = True
+
+    def _place(self, seeds: np.ndarray) -> np.ndarray:
+        return seeds.view(np.uint64) >> np.uint64(64 - self.BITS)
+
+    def hits(self, seeds: np.ndarray) -> np.ndarray:
+        """Places of the known ones."""
+        near = np.flatnonzero(self.marked[self._place(seeds)])
+        if not len(near):
+            return near
+        at = np.searchsorted(self.table, seeds[near])
+        return near[self.table[np.minimum(at, len(self.table) - 1)] == seeds[near]]
 
 
 def seeds(h: np.ndarray, mask: str, number: int) -> np.ndarray:
@@ -84,6 +103,11 @@ def seeds(h: np.ndarray, mask: str, number: int) -> np.ndarray:
         return out.view(np.int64)
 
 
+def whole_mask(length: int) -> tuple[int, str]:
+    """Number and mask of a whole item of so many words."""
+    return len(MASKS) + length, "1" * length
+
+
 def overlap(item: np.ndarray, words: np.ndarray, document: np.ndarray, shift: int) -> int:
     """Words of the item in its longest stretch that agrees with the document moved by ``shift``, but for odd changes.
 
@@ -113,6 +137,18 @@ def overlap(item: np.ndarray, words: np.ndarray, document: np.ndarray, shift: in
     return best
 
 
+def longest(item: np.ndarray, words: np.ndarray, document: np.ndarray, shifts: np.ndarray) -> int:
+    """The best ``overlap`` over all shifts; those with the most agreeing words first, until no other can be better."""
+    same = [int((item[max(0, -s) : len(document) - s] == document[max(0, s) : max(0, s) + len(item[max(0, -s) : len(document) - s])]).sum()) for s in map(int, shifts)]
+    best, bare = 0, int(words[-1]) + 1 - len(np.unique(words))
+    for k in np.argsort(same)[::-1]:
+        # A stretch has at most one changed part in WORDS_PER_CHANGE, and perhaps the written words without a part.
+        if same[k] * WORDS_PER_CHANGE <= (best - bare) * (WORDS_PER_CHANGE - 1):
+            break
+        best = max(best, overlap(item, words, document, int(shifts[k])))
+    return best
+
+
 _ITEM_WORD = re.compile(r"\S+")
 
 
@@ -146,14 +182,16 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
         for batch in batches:
             for i, parts in zip(batch.column(0).to_pylist(), batch.column(1)):
                 h = parts.values.to_numpy().view(np.uint64)
-                for number, mask in enumerate(MASKS):
+                for number, mask in enumerate(MASKS) if len(h) >= SHORT else [whole_mask(len(h))]:
                     s = seeds(h, mask, number)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i), pa.int64()), pa.array(s), pa.array(np.arange(len(s), dtype=np.int32))], names=["item_id", "seed", "item_at"])
 
     windows = materialize(cut.select("item_id", "parts").mapInArrow(item_windows, "item_id long, seed long, item_at int"), "item-windows")
     known = None
     if windows.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS:
-        known = spark.sparkContext.broadcast(np.unique(np.array([r[0] for r in windows.select("seed").distinct().collect()], np.int64)))
+        known = spark.sparkContext.broadcast(Lookup(windows.select("seed").toArrow().column(0).to_numpy()))
+    # Fewer than SHORT lengths at most.
+    short = sorted(r[0] for r in cut.select(F.size("parts").alias("n")).filter((F.col("n") > 0) & (F.col("n") < SHORT)).distinct().collect())
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = Words()
@@ -163,17 +201,13 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 h = work.of(text)
                 found_at, found = [], []
-                for number, mask in enumerate(MASKS):
+                for number, mask in [*enumerate(MASKS), *map(whole_mask, short)]:
                     s = seeds(h, mask, number)
                     if not len(s):
                         continue
-                    if table is None:
-                        hit = np.arange(len(s))
-                    elif len(table):
-                        place = np.searchsorted(table, s)
-                        hit = np.flatnonzero(table[np.minimum(place, len(table) - 1)] == s)
-                    else:
-                        hit = np.zeros(0, np.int64)
+                    hit = np.arange(len(s)) if table is None else table.hits(s)
+                    if number >= len(MASKS) and len(hit):  # a short item stands in a text or doesn't: its first place is enough
+                        hit = hit[np.unique(s[hit], return_index=True)[1]]
                     found_at.append(hit.astype(np.int32))
                     found.append(s[hit])
                 if sum(map(len, found)):
@@ -189,7 +223,9 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     lines = each.join(guarded_broadcast(windows, 4 * BROADCAST_BYTES), "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
     lines = lines.groupBy("doc_id", "item_id", "shift").agg(F.count("*").alias("n"))
     # An agreement of LEAST_WORDS with odd changes holds several windows on one line or on two neighbouring ones; one window alone is a shared turn of phrase.
-    lines = lines.filter("n > 1").groupBy("doc_id", "item_id").agg(F.collect_list("shift").alias("shifts"))
+    brief = guarded_broadcast(cut.filter(F.size("parts") < SHORT).select("item_id", F.lit(True).alias("brief"))) if short else None
+    lines = lines.join(brief, "item_id", "left").filter("n > 1 OR brief") if short else lines.filter("n > 1")
+    lines = lines.groupBy("doc_id", "item_id").agg(F.collect_list("shift").alias("shifts"))
     both = lines.join(hits.select("doc_id", F.col("parts").alias("document")).dropDuplicates(["doc_id"]), "doc_id").join(guarded_broadcast(cut), "item_id")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,8 +233,8 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
             best, whole = [], []
             for k in range(batch.num_rows):
                 document, item, numbers = (batch.column(c)[k].values.to_numpy() for c in (3, 4, 5))
-                best.append(max(overlap(item, numbers, document, int(s)) for s in batch.column(2)[k].values.to_numpy()))
-                whole.append(int(numbers[-1]) + 1 if len(numbers) else 0)
+                best.append(longest(item, numbers, document, batch.column(2)[k].values.to_numpy()))
+                whole.append(int(numbers[-1] - numbers[0]) + 1 if len(numbers) else 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(best, pa.int32()), pa.array(whole, pa.int32())], names=["doc_id", "item_id", "words", "all_words"])
 
     measured = both.select("doc_id", "item_id", "shifts", "document", "parts", "numbers").mapInArrow(measure, "doc_id long, item_id long, words int, all_words int")
