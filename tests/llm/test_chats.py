@@ -174,3 +174,18 @@ def test_held_out_accuracy():
     got = model.decode([w for w, _ in held])
     right = sum(int((g == y).sum()) for g, (_, y) in zip(got, held))
     assert right / sum(len(y) for _, y in held) > 0.97
+
+
+def test_interleaved_threads_form_trees(spark):
+    t = lambda k: dt.datetime(2025, 3, 1, 10, 0, k)
+    said = [("u", "hostel mess timings for vegetarian breakfast"), ("u", "refund deadline after semester withdrawal"), ("a", "vegetarian breakfast timings in the hostel mess: seven"),
+            ("a", "withdrawal before the deadline gives the refund of the semester"), ("u", "breakfast timings on holidays, hostel mess"), ("a", "holidays: hostel mess breakfast at eight")]
+    two = [(f"m{k}", "two", x, r, t(k)) for k, (r, x) in enumerate(said)]
+    one = [(f"n{k}", "one", x, r, t(k)) for k, (r, x) in enumerate([("user", "hello there"), ("assistant", "good morning"), ("user", "and the fee"), ("assistant", "ten thousand")])]
+    d = spark.createDataFrame([(i, c, x, {"u": "user", "a": "ai"}.get(r, r), s) for i, c, x, r, s in two + one], "id string, conversation_id string, content string, role string, created_at timestamp_ntz")
+    parents = {r["id"]: r["parent"] for r in C.reply_links(d).collect()}
+    assert (parents["m0"], parents["m1"], parents["m2"], parents["m3"], parents["m5"]) == (None, None, "m0", "m1", "m4")
+    trees = {(r["conversation_id"], r["root"]): (r["turns"], r["depth"], r["leaves"]) for r in C.reply_trees(d).collect()}
+    assert trees["one", "n0"] == (4, 4, 1) and trees["two", "m1"][0] == 2 and trees["two", "m0"][0] == 4 and len(trees) == 3
+    ids = spark.createDataFrame([("one",), ("two",)], "id string")
+    assert [r[0] for r in C.broken_conversations(d, ids).collect()] == ["two"] and C.reply_trees(d.limit(0)).count() == 0

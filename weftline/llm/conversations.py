@@ -1,9 +1,10 @@
 """Rebuilding conversations from message rows.
 
-Repeated deliveries are merged and the rows of a conversation are put in order. A conversation is whole if its turns alternate
-from a user to an assistant; this rule alone decides p3_found and p3_rebuilt. Beside it, ``reply_links`` gives every turn its
-likeliest parent, scored by time, mention, speaker and lexical overlap; no trees are formed of the links. Ordering works on a conversation at a time, and on minutes
-of it where a conversation has more than HOT rows, with the borders joined afterwards.
+Repeated deliveries are merged and the rows of a conversation are put in order. Every turn gets its likeliest parent among the
+turns before it, scored by time, mention, speaker and lexical overlap; a turn that nothing before it is likely to have asked for
+is a root. The links form trees. A conversation whose turns are one chain of links, from a user to an assistant and so on, is
+whole; where the links branch, or leave several roots, the exact rule of alternating turns follows. Ordering works on a
+conversation at a time, and on minutes of it where a conversation has more than HOT rows, with the borders joined afterwards.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ REPEAT_SECONDS = 10
 #: What a score has for another speaker, at most for words, and less for each place back. Time never favours the older turn,
 #: so further back than HORIZON no turn can win against the one directly before.
 SPEAKER, OVERLAP, PLACE = 2.0, 1.2, 0.05
+#: A link needs this score: another speaker, or a recent turn with words in common.
+LINKED = 1.5
 HORIZON = 1 + round((SPEAKER + OVERLAP) / PLACE)
 #: Turns are looked through in blocks of so many, each with the HORIZON turns before it.
 BLOCK = 2000
@@ -106,16 +109,14 @@ def _score(p: Column) -> Column:
     return F.when(p["role"] != F.col("role"), SPEAKER).otherwise(0.0) + F.exp(-F.greatest(seconds, F.lit(0.0)) / 600) + common + F.when(F.col("mention"), (OVERLAP - 1) * common).otherwise(0.0)
 
 
-def reply_links(messages: DataFrame) -> DataFrame:
-    """(conversation_id, id, role, created_at, parent, score) of every turn of a user or assistant; roots have no parent.
+def _linked(rows: Turns) -> DataFrame:
+    """(c, id, role, t, n, before, best) of the turns of users and assistants: number, role of the turn before, likeliest parent.
 
     A turn's candidates are all turns before it of its conversation that can win: the HORIZON turns before. Turns are
     numbered, and a block of a conversation takes the last turns of the block before along.
     """
-    rows = merged(messages, for_links=True)
     rows = rows.over(rows.rows.filter("role IN ('u', 'a') AND t IS NOT NULL"))
-    n = F.row_number().over(rows.window())
-    numbered = rows.rows.withColumn("n", n)
+    numbered = rows.rows.withColumn("n", F.row_number().over(rows.window()))
     if rows.hot:
         before = rows.rows.filter("part > 0").groupBy("c", "part").count().withColumn("_before", F.sum("count").over(Window.partitionBy("c").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).drop("count")
         numbered = numbered.join(guarded_broadcast(materialize(before, "part-sizes")), ["c", "part"], "left").withColumn("n", F.col("n") + F.coalesce("_before", F.lit(0)))
@@ -125,24 +126,52 @@ def reply_links(messages: DataFrame) -> DataFrame:
     near = Window.partitionBy("c", "block").orderBy("n").rowsBetween(-HORIZON, -1)
     seen = spread.withColumn("earlier", F.collect_list(F.struct("id", "role", "t", "words", "n")).over(near)).filter("block = own")
     # Nearer candidates win ties.
-    scored = F.transform("earlier", lambda p: F.struct((_score(p) - PLACE * (F.col("n") - p["n"])).alias("score"), p["n"].alias("near"), p["id"].alias("parent")))
-    linked = seen.withColumn("best", F.array_max(scored))
+    scored = F.transform("earlier", lambda p: F.struct((_score(p) - PLACE * (F.col("n") - p["n"])).alias("score"), p["n"].alias("near"), p["id"].alias("parent"), p["role"].alias("role")))
+    best = F.array_max(scored)
+    return seen.select("c", "id", "role", "t", "n", F.try_element_at("earlier", F.lit(-1))["role"].alias("before"), F.when(best["score"] >= LINKED, best).alias("best"))
+
+
+def reply_links(messages: DataFrame) -> DataFrame:
+    """(conversation_id, id, role, created_at, parent, score) of every turn of a user or assistant; roots have no parent.
+
+    Rows without a time or of another role have no link. An empty table gives no rows.
+    """
+    linked = _linked(merged(messages, for_links=True))
     return linked.select(F.col("c").alias("conversation_id"), "id", "role", F.col("t").alias("created_at"), F.col("best.parent").alias("parent"), F.round("best.score", 6).alias("score"))
 
 
-def _faults(messages: DataFrame) -> DataFrame:
-    """(c, whole) of every conversation with rows: neighbouring turns must alternate and run from a user to an assistant."""
-    rows = merged(messages)
-    bad = F.max(F.col("t").isNull() | (F.col("role") == "x") | ~F.col("filled")).alias("bad")
-    broken = F.max((F.col("role") != "s") & (F.col("role") == F.coalesce(F.col("parent_role"), F.lit("a")))).alias("broken")
-    last = F.max_by(F.when(F.col("role") != "s", F.col("role")), F.when(F.col("role") != "s", F.struct(*_ORDER))).alias("last")
-    if rows.hot:
-        said = with_previous(rows.over(rows.rows.filter("role <> 's'")), F.col("role"), "parent_role").rows
-        both = rows.rows.groupBy("c").agg(bad).join(said.groupBy("c").agg(broken, last), "c", "left")
-    else:
-        spoken = F.last(F.when(F.col("role") != "s", F.col("role")), ignorenulls=True).over(rows.window().rowsBetween(Window.unboundedPreceding, -1))
-        both = rows.rows.withColumn("parent_role", spoken).groupBy("c").agg(bad, broken, last)
-    return both.select("c", (~F.col("bad") & ~F.coalesce("broken", F.lit(True)) & F.coalesce(F.col("last") == "a", F.lit(False))).alias("whole"))
+def reply_trees(messages: DataFrame) -> DataFrame:
+    """(conversation_id, root, turns, depth, leaves) of every tree of links.
+
+    Every turn takes its parent's ancestor for its own, which doubles the way each time, until all have come to their roots.
+    """
+    links = materialize(reply_links(messages).select("conversation_id", "id", "parent"), "reply-links")
+    at = links.select("conversation_id", "id", F.coalesce("parent", "id").alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"))
+    while True:
+        far = at.select("conversation_id", F.col("id").alias("root"), F.col("root").alias("up"), F.col("depth").alias("more"))
+        step = materialize(at.join(far, ["conversation_id", "root"]).select("conversation_id", "id", F.col("up").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")), "reply-roots")
+        at = step.drop("moved")
+        if step.filter("moved").isEmpty():
+            break
+    parents = links.filter("parent IS NOT NULL").select("conversation_id", F.col("parent").alias("id"), F.lit(1).alias("asked")).distinct()
+    trees = at.join(parents, ["conversation_id", "id"], "left").groupBy("conversation_id", "root")
+    return trees.agg(F.count("*").alias("turns"), (F.max("depth") + 1).alias("depth"), F.count_if(F.col("asked").isNull()).alias("leaves"))
+
+
+def _judged(messages: DataFrame) -> DataFrame:
+    """(c, whole) of every conversation with rows, by its links; by exact order where they are no single chain."""
+    all_ = merged(messages, for_links=True)
+    rows = all_.over(materialize(all_.rows, "merged-turns"))
+    bad = rows.rows.groupBy("c").agg(F.max(F.col("t").isNull() | (F.col("role") == "x") | ~F.col("filled")).alias("bad"))
+    turns_ = _linked(rows)
+    linked = F.col("best").isNotNull()
+    # In a chain every turn but the first has a parent, no two the same one: in order, each is the child of the one before.
+    trees = turns_.groupBy("c").agg(
+        F.count("*").alias("turns"), F.count_if(~linked).alias("roots"), F.count_if(linked & (F.col("best.near") == F.col("n") - 1) & (F.col("best.role") != F.col("role"))).alias("chained"),
+        F.bool_and(F.col("role") != F.coalesce("before", F.lit("a"))).alias("alternate"), F.min_by("role", "n").alias("first"), F.max_by("role", "n").alias("last"))
+    chain = (F.col("roots") == 1) & (F.col("chained") == F.col("turns") - 1)
+    whole = (F.col("first") == "u") & (F.col("last") == "a") & (chain | F.col("alternate"))
+    return bad.join(trees, "c", "left").select("c", (~F.col("bad") & F.coalesce(whole, F.lit(False))).alias("whole"))
 
 
 def broken_conversations(messages: DataFrame, conversations: DataFrame) -> DataFrame:
@@ -151,13 +180,13 @@ def broken_conversations(messages: DataFrame, conversations: DataFrame) -> DataF
     Conversations without rows are broken. A null id is none. Empty tables give no rows.
     """
     ids = conversations.select(F.col("id").alias("c")).union(messages.select(F.col("conversation_id").alias("c"))).filter("c IS NOT NULL").distinct()
-    whole = _faults(messages).filter("whole").select("c")
+    whole = _judged(messages).filter("whole").select("c")
     return ids.join(whole, "c", "left_anti").select(F.col("c").alias("conversation_id"))
 
 
 def rebuilt(messages: DataFrame, conversations: DataFrame) -> DataFrame:
     """(conversation_id, position, role, id, content) of the turns of whole conversations, in order."""
-    whole = _faults(messages).filter("whole").select("c")
+    whole = _judged(messages).filter("whole").select("c")
     kept = merged(messages, with_content=True)
     rows, w = kept.rows.join(whole, "c", "left_semi"), kept.window()
     before = rows.filter("part > 0").groupBy("c", "part").count().withColumn("_before", F.sum("count").over(Window.partitionBy("c").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).drop("count")

@@ -34,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_found": _query("conversations", "broken_conversations", "messages", "conversations"),
         "p3_rebuilt": _query("conversations", "rebuilt", "messages", "conversations"),
         "p3_links": _query("conversations", "reply_links", "messages"),
+        "p3_trees": _query("conversations", "reply_trees", "messages"),
         "p4_found": _query("history_dedup", "repeated_records", "university_data"),
         "p5_found": _query("residue", "found_pages", "university_data"),
         "p5_reasons": _query("residue", "residue_pages", "university_data"),
