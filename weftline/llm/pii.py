@@ -21,7 +21,7 @@ KINDS = ("email", "phone", "id_number", "address", "name")
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 #: Words on this share of all messages or more are known to be no names; that bounds their number.
 COMMON_SHARE = 0.001
-EXAMPLES = 4000
+EXAMPLES = 6000
 
 _CJK = "぀-ヿ一-鿿"
 TOKEN = re.compile(rf"[{_CJK}]+|" r"https?://\S+|www\.\S+|[^\s@<>()\[\],;:\"]+@[^\s@<>()\[\],;:\"]*[^\W_]|" rf"(?:(?![{_CJK}])[^\W_])+(?:['’](?:(?![{_CJK}])[^\W_])+)*|[^\w\s]|_")
@@ -37,7 +37,7 @@ def tokens_of(text: str) -> list[tuple[int, int]]:
 
 def _shape(token: str) -> str:
     out = []
-    for c in token[:24]:
+    for c in token:
         s = "9" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c
         if not out or out[-1] != s or not s.isalnum():
             out.append(s)
@@ -83,45 +83,70 @@ class Features:
         return _features(token, self.common)
 
 
-# The labelled table: carriers with slots, and what fills them. Everything in it is invented.
-_NAME_CARRIERS = """My name is {n}.|my name is {n}|I am {n}.|i am {n}|This is {n} from the {s} batch.|this is {n}|Je m'appelle {n}.|Ich heiße {n}.|Me llamo {n}.|मेरा नाम {n} है।|mera naam {n} hai|name: {n}|Name - {n}
-hi {n} here,|Hi, {n} here.|hello {n} this side|I spoke to {t} {n} yesterday.|I spoke to {n} yesterday.|Please ask {n} about it.|please ask {t} {n} about it|Kindly add {t} {n} to the list.|Kindly add {n} to the list.|Regards, {n}|Regards, {t} {n}.
-Thanks, {n}|- {n}|Yours, {n}|The form was filled by my brother {n}.|The form was filled by my sister {n}.|my father {n} will pay|My mother {n} signed it.|(asked on behalf of {n})|on behalf of {n}|{n} asked me to write.|Student: {n}|Applicant name: {n}
-signed, {n}|Contact {n} please.|I share a room with {n}.|my friend {n} said so|Tell {n} that I called.|Guardian: {n}|{t} {n} told me to ask here.|cc {n}|Dear {t} {n},|Mr. {n} has the key.|I'm {n}|You can also ring my father {n}, {p}.|Met {n} at the desk.|{n} wrote this
-My roommate {n} has no card.|मेरे भाई {n} ने फॉर्म भरा।|Thank you, {n}.|It was {n} who paid.""".replace("\n", "|").split("|")
-_PHONE_CARRIERS = """Call me on {p}.|call {p}|my number is {p}|My number is {p}.|Reach me at {p} after six.|Phone: {p}|phone {p}|tel:{p}|Tel. {p}|Mob {p}|mob: {p}|whatsapp {p}|WhatsApp {p}|मेरा नंबर {p} है।|fax and phone {p}|You can also ring my father, {p}.|ring {p}
-({p})|contact no {p}|Mobile {p}|cell {p}|text me at {p}|Mi número es {p}.|Meine Nummer ist {p}.|Mon numéro est le {p}.|Ph: {p}|mera number {p} hai|sms to {p} please|My landline is {p}, thanks.|{p} is my number""".replace("\n", "|").split("|")
-_MAIL_CARRIERS = """Write to me at {m}.|My mail is {m}|my email is {m}|please send it to {m} today|Email: {m}|Email: <{m}>|({m})|(<{m}>)|mailto:{m}|cc {m}|I registered with {m} but got no code.|e-mail {m}|send a copy to {m}|Mi correo es {m}.|मेरा ईमेल {m} है।|id is {m}
-contact {m} please|Reply to {m}|{m} is my address|my gmail {m}|mail me: {m}""".replace("\n", "|").split("|")
-_ID_CARRIERS = """For the record, identity card no. {i}.|passport {i}|Passport no. {i}.|Passport {i}.|(passport no. {i})|(my passport number is {i})|travelling on passport {i}|Details: travelling on passport {i}|Details: national ID {i}|national ID {i}|ID card number: {i}|Details: ID card number: {i}
-For the record, driving licence {i}.|driving licence {i}|DL no {i}|They asked for proof; enrolment no. {i}.|enrolment no. {i}|Details: enrolment no. {i}|(student ID: {i})|student ID {i}|PAN {i}|my PAN is {i}|tax number {i}|Tax ID: {i}|(tax ID {i})|taxpayer no. {i}|For the record, passport {i}.|They asked for proof; passport {i}.
-roll no. {i}|my roll number is {i}|registration no. {i}|Aadhaar {i}|aadhaar no: {i}|social security no. {i}|voter card {i}|licence number {i}|(driving licence {i})|They asked for proof; tax number {i}.|For the record, PAN card {i}.|my enrolment number is {i}|identity number {i}|tax card: {i}|Tax card: {i}.|Details: tax card: {i}|({i})|For the record, student ID: {i}.|For the record, my enrolment number is {i}.|I am enrolled under number {i}.|(I am enrolled under number {i})|enrolled under {i}|registered with number {i}|holder of card {i}|National identity card {i}|मेरा पहचान पत्र {i} है।""".replace("\n", "|").split("|")
-_ADDRESS_CARRIERS = """I live at {a}.|i live at {a}|Address: {a}|address {a}|Please post it to {a}.|Courier the form to {a}, thanks.|We have moved to {a}.|we have moved to {a}|My home is {a}.|Send the letter to {a}|Deliver to {a}.|home address: {a}|मेरा पता {a} है।|Mi dirección es {a}.|J'habite au {a}.|Ich wohne in {a}.
-post the card to {a}|residing at {a}|My parents stay at {a}.|I stay at {a}, if it matters.""".replace("\n", "|").split("|")
-_PLAIN = """The receipt no. is {N10}.|Challan {N12} shows as pending.|Order {c}-{N10} is late.|Order {C}{N10} is late.|Form {N2}/{N2} was rejected.|Version {N1}.{N2}.{N1} of the app hangs.|The course code is {c}.|See https://help.{pl}.example/faq?id={N10} for the notice.|Follow @hostel_mess for updates.|Follow @{pl}_club for news.
-Is it @ {h} or later?|Meet at gate {N2}, near the {P} {B} lawn.|Room {N2} in {P} {B} was locked.|Room {N3} is cold.|The {P} {B} mess closes at {h}.|My rank was {N4} out of {N5}.|I scored {N2}% in {S}.|Grace marks will be added in May, I hope.|The batch {y}-{y} starts on {d}.|I paid INR {N6} on {d}.|I paid ₹{r} on {d}.|I paid Rs. {r} on {d}.
-Reply in Spanish please.|In French,|Please answer in German:|In Hindi,|Does {P} {B} have single rooms and what do they cost?|how much is a shared room in {P} {B}|What are the hostel charges at {P} {B}?|Does the university bus go to {P} {B}?|What time does the bus leave {P} {B}?|Cost of the bus pass to {P} {B}?|Fee of {g} in {S} please?
-What is the annual fee for {g} in {S}?|how much does {g} {S} cost per year|Could you tell me the yearly charges for {g} {S}?|Can I pay the {g} in {S} fee in instalments?|Are there instalment plans for {g} {S}?|is it ok to pay half now for {g} in {S}?|When is the last date to apply for {g} in {S}?|till when can i apply to {g} {S}|Deadline for {g} in {S}?
-Is the {g} {S} form still open?|Which documents do I need for admission to {g} in {S}?|what papers should i bring for {g} in {S}|List of documents for {g} {S}?|Can the fee for {g} in {S} be refunded?|refund rules for {g} in {S}?|What happens to my deposit if I leave {g} {S}?|Is there any scholarship for {g} in {S}?|What help is there for students with low income in {g} {S}?
-How do I get a fee waiver in {g} in {S}?|Single rooms cost Rs. {r}. The warden of {P} {B} allots them by lottery on {d}.|Yes, route {N2} stops at {P} {B} and the yearly pass is ₹{r}.|The annual fee for {g} {S} is ₹{r}. It can be paid in {N2} instalments through the student portal.|Buses leave {P} {B} at {h} and {h}. A term pass costs INR {N6}.
-Students of {g} in {S} with at least {N2}% marks receive a waiver of {N2}%. The scholarship board decides on {d}.|Refunds cannot be given after {d}. Before that, {N2} per cent of the fee is returned within {N2} days.|Copies are checked at {P} {B}.|{P} {B} stays shut on {d}; final-year candidates are sent to {P} {B} instead.|Ask the {P} {B} warden about the fitness camp.
-The Department of {S} has moved the grievance box.|Those in {g} in {S} pay ₹{r} for materials and INR {N6} for {P} {B}.|The form stays open until {d}, and the interview list is put up at {P} {B}.|Of {N4} places, {N2} are held for holders of a merit award.|The room at {P} {B} holds {N4} people and opens at {h}.|{c} carries {N2} credits and is taught after {h}.|Session opened from the lobby screen.
-Use the context below.|You are the campus desk. Keep answers short.|Answer questions on fees and admission.|Thank you for asking about {S}.|Kindly approach the {S} laboratory.|Kindly approach the sports council.|{P} is a nice town.|The bus to {P} was late.|Parcel {N10} came.|Transaction {N12} failed.|Ticket {N6} is open.|My locker is {N3}.|I was born in {P}.|The code {N6} did not work.
-Die Kaution von ₹{r} wird am Ende des Semesters zurückgezahlt.|{P} {B} bietet {N4} Plätze, und das Wohnheim öffnet am {d}.|La caution de Rs. {r} est rendue à la fin du semestre.|{P} {B} tiene {N4} plazas y la residencia abrirá el {d}.|{P} {B} में {N4} सीटें उपलब्ध हैं।|जमा राशि ₹{r} सत्र के अंत में लौटाई जाएगी।|{P} {B}共有{N4}个座位。|新生请携带证件到{P} {B}报到。|Wie hoch ist die Gebühr für das Wohnheim?
-Los nuevos alumnos se presentan en {P} {B} con sus documentos.|Neue Studierende melden sich mit ihren Unterlagen in {P} {B}.|Les nouveaux arrivants sont attendus à {P} {B} avec leurs pièces justificatives.|¿Hay becas para la escuela de posgrado?|प्रवेश की अंतिम तिथि {d} है।|Please ask the fee cell about it.|Kindly add the lab to the list.|I spoke to the warden yesterday.|Please ask the {P} {B} warden about it.|I am from {P}.|I am in the {S} batch.|I am late.
-This is the {S} batch.|I am a student of {g} {S}.|Puis-je obtenir une bourse pour le service financier ?|Quels sont les frais de la résidence ?|Quelle est la date limite d'inscription ?|Wann endet die Bewerbungsfrist?|Gibt es ein Stipendium für das Wohnheim?|Weitere Auskünfte erteilt die Fakultät für Technik.|¿Cuánto cuesta la matrícula?|Para más información, consulte con la residencia.|Pour en savoir plus, adressez-vous à la résidence.|El plazo de inscripción termina el {d}.|Die Bewerbungsfrist endet am {d}.|Aakhri tareekh {d} hai.|Haan ji, form khula hai.|Sorry, I'm unable to provide that information.|Apologies, that is outside what I can answer.|I am not able to answer this question.|No comment on this one, sorry.|I'm sorry, but I can't help with that.|I am unable to say.|One covers {N2}% of tuition and the other pays ₹{r}.|There are two awards.|I have two mark sheets and one photo.|This is something I am not allowed to discuss.|I am afraid not.|I am happy to help.|I am not sure.|I am confused.|Fees ₹{r} hai, aap ise {N2} kiston mein de sakte hain.|छात्रावास की फीस कितनी है?|प्रवेश की अंतिम तिथि {N4}-{N2}-{N2} है।|विज्ञान विभाग {y}-{N2}-{N2} से खुलेगा।|Thanks, that helps.|Regards, the library committee.|Call the transport desk.|Call me later.|The {P} trophy went to {S}.|Invoice no. {N8} dated {d}.|My application no. {N6} is pending.|Bill {N7} is wrong.|token number {N3}|Seat {N3}, hall {N2}.|Reach {P} by {h}.|The receipt number {N10} is not shown.|Shelf mark {c}/{N4} is missing.|Bus {N2} to {P} {B}.""".replace("\n", "|").split("|")
-
-_ONSET = "b bh br ch d dh dr f g gr h j k kes kr l m mal mor n nal nav ol on p pel pr quor r ros s sh sind sul t tam th thir tr v vas y yel z".split()
-_VOWEL = "a a a e e i i o u aa ie ai".split()
-_CODA = "n r th sh l m nd ll ss nt k t".split()
-_LAST = "son kar man dra tra vi li ya na ka lin mere tov ski ez ini ur ed ar eth rin lotra andi palli wala sen das".split()
-_REAL = "Asha Ravi Meera Arjun Priya Kiran Anil Sunita Deepa Rahul Maria John Peter Anna Lena Paul Carlos Lucia Pierre Marie Chen Wei Fatima Omar Yusuf Aisha Olga Ivan Grace Daniel Sara Tom".split()
-_PLACE = "Amber Banyan Beacon Cedar Cinder Cobalt Copper Coral Harrow Hazel Heron Indigo Juniper Kestrel Linden Lotus Marigold Mulberry Orchard Osprey Peepal Quarry Raven Sable Saffron Tamar Teal Thistle Willow Oak Elm Maple Silver Stone North River Green".split()
-_PLACE_END = "brook crest dale field gate haven holm mere moor point ridge stead vale wick ton ford bury ham wood ley".split()
-_BUILDING = "Hall Wing Court House Block Building Annexe Hostel Centre Library".split()
-_STREET = "Street Road Lane Marg Path Nagar Avenue Colony Way Close Crescent Enclave".split()
-_SUBJECT = "Acoustics Accounting Ceramics Chemistry Design Economics Genetics Hydrology Informatics Linguistics Logistics Nutrition Optics Robotics History Physics".split()
-_FIELD = "Aerial Applied Civic Clinical Coastal Cognitive Culinary Dairy Digital Forest Industrial Marine Mineral Rural Solar Sonic Textile Urban".split()
+# The labelled table: frames with slots, and what fills them. All of it is made up here; no text of any data set is in it.
+_NAME_FRAMES = """my name is {n}|the name's {n}|I am {n}|I'm {n}.|this is {n}|it's {n} again|{n} here|{n} speaking|you are talking to {n}|people call me {n}|I go by {n}|{greet} {n}|{greet}, {n} here|{greet} {n} this side|{greet} {t} {n},
+{close}, {n}|{close} {n}|{close}, {t} {n}|– {n}|- {n}|signed: {n}|{field}: {n}|{field} - {n}|{field} {n}|my {rel} {n} {did}|My {rel} {n} {did}.|my {rel}, {n}, {did}|{n} is my {rel}|{t} {n} {did}|{n} {did}.|I {met} {n} {when}.|I {met} {t} {n} {when}.|we {met} {n}|please {ask} {n} about the {thing}
+please {ask} {t} {n}|{ask} {n}|{ask} {n} {when}|(for {n})|(on behalf of {n})|writing on behalf of {n}|the {thing} of {n}|a {thing} for {n}|the {thing} is in the name of {n}|booked under {n}|{ask} {n} to the {thing}|please {ask} {t} {n} to the {thing}|this is {n} from {S}|{n} from the {thing}|I am {n} from {P}|this is {n}, {S}|Is {n} there?|does {t} {n} know?|where is {n}|{n} has the {thing}.|{n}, my {rel}, {did}
+Je suis {n}.|Mon nom est {n}.|Je m'appelle {n}|Mein Name ist {n}.|Hier spricht {n}.|Ich bin {n}|Mi nombre es {n}.|Soy {n}|Me llamo {n}|मेरा नाम {n} है|मैं {n} हूँ।|mera naam {n} hai|main {n} bol raha hoon|yahan {n} hai|मेरे {hrel} {n} ने बताया।|{n} जी से बात हुई।|{n} ने कहा।|我叫{n}。|我是{n}。""".replace("\n", "|").split("|")
+_PHONE_FRAMES = """{ring} {p}|{ring} me on {p}|{ring} me at {p} {when}.|{ring} my {rel} on {p}|{ring} my {rel}, {p}.|my number: {p}|my number is {p}|{nr} {p}|{nr}: {p}|{nr} is {p}.|{nr} - {p}|{nr}. {p}|({p})|{p} is my {nr}|or {ring} {p}, {when}|new {nr} {p}, the old one is gone|reachable under {p}|tel:{p}
+Mon numéro : {p}|Meine Nummer: {p}|Ruf mich unter {p} an.|Mi número: {p}|Llámame al {p}.|Appelez-moi au {p}.|मेरा नंबर {p}|मेरा नंबर {p} है।|मेरे {hrel} का नंबर {p} है।|फ़ोन: {p}|mera number {p} hai|is par call karo: {p}|我的电话是{p}。|电话：{p}""".replace("\n", "|").split("|")
+_MAIL_FRAMES = """{write} {m}|{write} {m} {when}.|please {write} {m}|my {addr} is {m}|my {addr}: {m}|{addr}: {m}|{addr} {m}|<{m}>|({m})|(<{m}>)|{m} is my {addr}|mailto:{m}|I signed up with {m}|it went to {m} instead|copy to {m} please|or to {m}, {when}|I {joined} with {m}|{joined} as {m}|I {joined} with {m} {when}|who uses {m}?|{m} does not work|my {rel} has {m}|{thing} for {m}
+Mon adresse est {m}.|Meine Adresse: {m}|Mi correo: {m}|Schreiben Sie an {m}.|मेरा ईमेल {m}|मेरा ईमेल {m} है।|mera email {m} hai|我的邮箱是{m}。""".replace("\n", "|").split("|")
+_ID_FRAMES = """{doc} {i}|{doc} {i}.|{doc}: {i}|{doc} no. {i}|{doc} number {i}|{doc} number is {i}|my {doc} {i}|my {doc} is {i}|my {doc} number: {i}|({doc} {i})|(my {doc}: {i})|{i} is my {doc}|on my {doc} it says {i}|for proof, {doc} {i}.|{say}: {doc} {i}|{say}, {doc} no. {i}|{say} - my {doc} is {i}
+I hold {doc} {i}|I hold the {doc} {i}, see the copy.|travelling with {doc} {i}|we need it for the {doc} {i}|my {rel} has {doc} {i}|enrolled as {i}|enrolled under {i}|registered under no. {i}|I am registered under {i}.|Mon passeport : {i}|Ausweis Nr. {i}|Mi pasaporte es {i}|मेरा आधार {i} है।|mera PAN {i} hai|护照号{i}""".replace("\n", "|").split("|")
+_ADDRESS_FRAMES = """I live at {a}|I live at {a}.|we live in {a}|my home: {a}|home: {a}|{haddr}: {a}|{haddr} {a}|my {haddr} is {a}.|we moved to {a}|I moved to {a} {when}.|{send} the {thing} to {a}|{send} it to {a}, please.|please {send} the {thing} to {a}.|my {rel} lives at {a}|my {rel} stays at {a}.|I stay at {a}|staying at {a} {when}|the flat is at {a}|{a} is where I live
+J'habite {a}.|Ich wohne {a}.|Meine Adresse ist {a}.|Vivo en {a}.|मैं {a} में रहता हूँ।|मेरा पता: {a}|mera pata {a} hai|我住在{a}。""".replace("\n", "|").split("|")
+_PLAIN = """The {thing} is {adj}.|Is the {thing} {adj}?|is the {thing} open {when}|What does the {thing} cost?|how much is the {thing} for {S}|How do I get a {thing}?|where can i find the {thing}|When does the {thing} start?|The {thing} costs {money}.|I paid {money} for the {thing} on {d}.|paid {money} already|We need {N2} copies of the {thing}.|You get {N2}% back.
+{N2} of {N4} places are left.|The {thing} opens at {h} and closes at {h}.|It starts on {d}.|{P} {B} is {adj}.|{P} {B} opens at {h}.|The {thing} is in {P} {B}.|Room {N3}, {P} {B}.|room {N3} is {adj}|Meet at {P} {B} at {h}|the {thing} near {P} {B} is {adj}|From {P} to {P} it takes {N2} minutes.|I come from {P}.|I am from {P}|I am {adj}.|I am a student|I am in {S}|This is {adj}.|this is about the {thing}
+It's {adj} again.|I {met} the {thing} team {when}.|please {ask} the {role} about the {thing}|The {role} {did}.|the {role} of {P} {B} {did}|my {rel} {did}|My {rel} will pay.|{greet}|{greet}, is the {thing} open?|{greet} everyone,|{close}|{close}, the {role} team|The {num} no. {N8} is missing.|{num} {N6} is late|{num} no. {N10} dated {d}|{num} number {N7}|my {num} is {N6}|{num} {c}{N8}|{num} {C}-{N8} is {adj}
+{num} {N4}/{N2}|the course {c} is {adj}|{c} has {N1} credits|{c} is taught at {h}|version {N1}.{N2}|See https://{pl}.example/{N4} for the {thing}.|https://www.{pl}.example/?id={N8}|follow @{pl}_news|@{pl} posted it|is it @ {h}?|score {N2}/{N3}|I ranked {N3}.|marks: {N2}%|{y}-{y}|the year {y}|{N12} as the {num}|the {num} says {N10}|Yes.|No, it is {adj}.|ok thanks|Thanks!|Please answer in German.|in Spanish please|Write it in Hindi
+The {role} keeps the {thing} for {N2} days, and it is {adj} after that.|Every {thing} goes through {P} {B} first, then to the {role}.|{P} {B} and {P} {B} share one {thing}.|For {S} the {thing} is {money}; for {S} it is {money}.|Holders of a {g} in {S} pay {money}.|what is the fee of {g} {S}?|Does {g} {S} have a {thing}?|I want to study {S} after my {g}.|As an assistant I cannot say that.|Sorry, that is not something I can help with.|You can bring the {thing} to the {role}.|You are a helpful guide. Be brief.|Use these notes only.
+A {adj} {thing} needs a {role}'s stamp, a photo and {N1} copies.|No {thing} is given out after {h}.|If the {thing} is {adj}, {ask} the {role} at {P} {B}.|Le {fr} est ouvert.|Quand ouvre le {fr} ?|La {frf} coûte {money}.|Le {fr} de {P} {B} ferme à {h}.|Der {de} ist offen.|Wann öffnet der {de}?|Der {de} in {P} {B} kostet {money}.|El {es} está cerrado.|¿Cuándo abre el {es}?|El {es} de {P} {B} cuesta {money}.|{hi} कब खुलेगा?|{hi} की कीमत {money} है।|{P} {B} में {hi} है।|{hr} kab khulega|{hr} {money} ka hai|haan, {hr} {P} {B} mein hai|{zh}什么时候开门？|{zh}的费用是{money}。|{P} {B}有{zh}。
+we took {N2} photos at {P} {B}|the {P} team won|the {P} road is closed|{P} is {adj}, but far|bus {N2} to {P}|seat {N2}, row {N1}|locker {N3}|table {N2}|page {N3} of {N3}|gate {N1} at {P} {B}|Press {N1} to go on.|{N3} people came {when}|at {h} on {d}|until {d}|between {d} and {d}|{S} and {S}|only {g} holders|Does {P} {B} have {adj} {things}?|does it have {things}|{adj} {things} cost {money}.|Are the {things} {adj}?|{N2} {things} are {adj}.|no {things} {when}|Which {things} do I need?|{things}, {things} and {things} are {adj}|it rained in May|we leave in June or July|pay by {d} or later|Grace period: {N2} days|I do not want to say more|please respond soon|let me know|who can help me with this|does it go to {P}?|does this train stop at {P} {B}|trips to {P} start on {d}|ask about {P}; it is {adj}|they plan a tour to {P}|the {adj} {thing} of {P} {B}|Apologies for that.|My apologies, it is {adj}.|in {S}, {S} or {S}|holders of {g} {S} get {N2}%|As a {adj} {role} I cannot judge that.|no idea why|it depends on the {thing}|the rest is {adj}|this has been {adj} since {d}|यह {hi} सबके लिए खुला है।|कृपया कल फिर आइए।|नियम अगले महीने बदलेंगे।|{hi} की सूची यहाँ देखें।|पैसे {d} तक जमा कर दीजिए।|इसमें {N2} दिन लगते हैं।|मुझे {hi} के बारे में पूछना है।|अधिक जानने के लिए {hi} में पूछिए।|क्या {hi} आज बंद है?|धन्यवाद, काम हो गया।|सभी छात्र {hi} में अपना पत्र दें।|yeh kaam kal tak ho jayega|paisa wapas nahi milta|{hr} ke liye {money} dena padta hai|mujhe {hr} ka samay batao|khana aur rehna alag hai|kya {hr} aaj band hai|theek hai, shukriya|aap kal aa sakte hain|{N2} din lagenge|请稍等一下。|更多内容请看网站。|{zh}今天关门。|所有人都可以用{zh}。|费用要在{d}以前交。|谢谢你的帮助。|我想了解{zh}。|{zh}有{N3}个位子。|请问{zh}怎么走？|这需要{N2}天。|Il faut attendre {N2} jours.|Tout le monde peut venir.|Merci beaucoup pour votre aide.|Les prix changent chaque année.|On paie {money} à l'entrée.|Man muss {N2} Tage warten.|Alle dürfen kommen.|Vielen Dank für die Hilfe.|Die Preise ändern sich jedes Jahr.|Hay que esperar {N2} días.|Todos pueden venir.|Muchas gracias por la ayuda.|Los precios cambian cada año.|Department of {S}|the {S} lab|School of {S}, {P} {B}""".replace("\n", "|").split("|")
+#: What the small slots hold.
+_SLOTS = {
+    "greet": "hi hello hey|good morning|good evening|dear|greetings|namaste|bonjour|hallo|hola|hi there|Hello|Hi|Hey|Dear|Good day|Attn.|cc|To|From",
+    "close": "regards|Regards|thanks|Thanks|thank you|Thank you|cheers|yours|Yours|best wishes|kind regards|sincerely|Yours truly|many thanks|merci|Gruß|gracias|dhanyavaad",
+    "field": "name|Name|full name|Applicant|applicant name|student|Student|guardian|Guardian|father's name|mother|contact|contact person|nominee|signed|sender|account holder|author|witness|visitor|guest|tenant|holder|payer|caller|NAME",
+    "rel": "brother|sister|father|mother|dad|mum|friend|best friend|roommate|flatmate|cousin|uncle|aunt|wife|husband|son|daughter|colleague|neighbour|teacher|boss|landlord|doctor|niece|nephew|classmate|senior|batchmate|guardian|grandfather",
+    "hrel": "भाई|पिता|दोस्त|मित्र|चाचा",
+    "did": "will call|can sign|paid for it|came along|filled it in|has the papers|told me so|said yes|wrote this|is waiting|will come tomorrow|sent it|called back|asked for it|signed the letter|was at the desk|helped me|knows about it|refused|left early|wants a copy|gave me the form|is ill|is away|has a question|did it",
+    "met": "met|saw|called|asked|spoke to|spoke with|talked to|wrote to|phoned|visited|told|know|emailed|thanked|waited for",
+    "when": "yesterday|today|tomorrow|last week|on Monday|after six|in the evening|this morning|at noon|any time|before ten|next week|soon|now|on Friday|tonight",
+    "ask": "ask|tell|call|contact|inform|add|remind|thank|include|email|help|check with|speak to|write to|reach|inform|note that",
+    "ring": "call|Call|ring|Ring|phone|text|Text|whatsapp|sms|dial|message|try|reach|contact",
+    "nr": "phone|Phone|mobile|Mobile|cell|tel|Tel|telephone|landline|whatsapp|WhatsApp|number|contact|contact number|contact no|Ph|mob|Mob|fax|office phone|home phone",
+    "joined": "registered|logged in|subscribed|applied|ordered|signed in|joined|paid|enrolled|wrote",
+    "write": "write to|mail|email|Email|send it to|reply to|answer to|forward it to|send a copy to|contact|write me at|mail me at|reach me at|cc",
+    "addr": "email|Email|e-mail|E-mail|mail|mail id|email id|address|mail address|email address|gmail|contact|id|inbox|login|username",
+    "doc": "passport|Passport|identity card|ID card|ID|national ID|national identity card|driving licence|driver's license|licence|DL|PAN|PAN card|tax number|tax ID|Tax ID|tax card|taxpayer number|Aadhaar|aadhaar card|voter card|voter ID|enrolment|enrolment number|enrolment no.|student ID|student card|student number|roll|roll number|registration number|matriculation|social security|residence permit|visa",
+    "say": "for the record|For your records|details|Details|in short|as asked|As asked|they wanted proof|to confirm|for verification|here it is|note|so you know",
+    "haddr": "address|Address|home address|postal address|permanent address|my place|residence|delivery address|mailing address|house|new address",
+    "send": "send|Send|post|Post|courier|mail|deliver|ship|forward|bring|return",
+    "thing": "form|letter|fee|receipt|key|card|pass|book|list|office|desk|lab|library|hall|bus|mess|bill|ticket|ticket desk|parcel|certificate|notice|report|exam|class|course|seat|room|bed|locker|scholarship|deposit|refund|grant|hostel|gym|canteen|website|portal|app|password|photo|signature|interview|result|timetable|holiday|festival|match|club|permit|bond|loan|discount|waiver|badge|laptop|charger|umbrella|bicycle|meal|parking|shuttle|printer|projector",
+    "adj": "open|single|double|shared|extra|private|public|annual|monthly|required|available|optional|special|regular|open|closed|late|full|new|old|broken|free|cheap|cold|hot|noisy|quiet|ready|lost|wrong|right|empty|busy|slow|small|large|clean|locked|far|near|missing|pending|confusing|fine|sure|sorry|happy|tired|worried|confused|glad|ready now|not there|unclear|expired|valid|due",
+    "role": "warden|clerk|dean|registrar|librarian|principal|secretary|guard|driver|cashier|coach|counsellor|nurse|editor|manager|officer|committee|council|lab assistant|head|director|help desk|front desk|hostel office|department",
+    "num": "receipt|Receipt|order|Order|invoice|Invoice|bill|Bill|ticket|Ticket|challan|form|Form|application|transaction|Transaction|reference|Reference|parcel|token|slip|voucher|complaint|request|booking|case|shelf mark|coupon|serial|batch",
+    "fr": "bureau|guichet|service|restaurant|dossier|foyer|bus", "frf": "chambre|bourse|carte|caution|bibliothèque|salle",
+    "de": "Schalter|Antrag|Kurs|Saal|Bus|Raum|Platz|Ausweis", "es": "comedor|curso|plazo|despacho|autobús|formulario",
+    "hi": "कार्यालय|पुस्तकालय|फॉर्म|छात्रावास|पाठ्यक्रम", "hr": "office|hostel|form|library|mess|counter", "zh": "图书馆|宿舍|办公室|食堂|课程",
+}
+_SLOTS = {k: v.split("|") for k, v in _SLOTS.items()}
+_SLOTS["things"] = [x + "s" for x in _SLOTS["thing"]]
+#: Every so-many-th frame of a kind is kept for testing, with all its fillings.
+HELD_OUT = 6
+
+_ONSET = "b bl br c ch cl d dr f fl g gl gr h j k kl kr l m n p pr q r rh s sc sh sk st t tr v w x y z zh bh dh kh gh sv".split()
+_VOWEL = "a a a e e e i i o o u u ai au ei ia io ou y".split()
+_CODA = "b ck d ff k l ll m n nd ng nn r rd rt s sh st t th tz x".split()
+_LAST = "a ez er in ic ova enko stein berg mann ley ford well sson sen ini elli ard eau oux ev ian jee nath wal pal rao reddy pur ya ko moto yama zadeh ullah".split()
+_REAL = "Emma Liam Noah Mia Lucas Nora Hugo Clara Felix Ines Mateo Elena Diego Sofia Luc Chloe Karl Greta Jonas Wang Ling Hassan Layla Tariq Zainab Boris Natasha Vikram Lakshmi Suresh Neha Imran Pooja Manoj Alice Bob Henry Ruth Victor".split()
+_PLACE = "Birch Falcon Granite Harbour Meadow Sunny Royal Queen King Garden Lake Spring Winter Summer East West South Upper Lower High Castle Church Mill Bridge Market Rose Lily Pine Ash Fox Wolf Eagle Lion Crystal Golden Iron Chalk Clay Sand Salt Crown Abbey".split()
+_PLACE_END = " bury ton ford ham wood ley ville borough port mouth by wich stow hurst cliff hill bank side view fort pool bay land water mead".split(" ")
+_BUILDING = "Hall Wing Court House Block Building Annexe Hostel Centre Library Tower Lodge Pavilion Theatre Auditorium Arena Gate Canteen".split()
+_STREET = "Street Road Lane Marg Path Nagar Avenue Colony Way Close Crescent Enclave Drive Square Terrace Chowk Gali".split()
+_SUBJECT = "Mathematics Law Medicine Music Philosophy Geology Botany Sociology Psychology Journalism Architecture Marketing Finance Zoology Literature Drama Dentistry Pharmacy Astronomy Anthropology".split()
+_FIELD = "Modern Advanced Social Public Pure General Clinical Global Digital Human Natural Early Comparative Political Visual Molecular Nuclear Legal Sports Business".split()
 _DEGREE = "B.A.|B.Sc.|B.Tech|B.Des.|BBA|M.A.|M.Sc.|M.Tech|MBA|Ph.D.|Diploma|Certificate".split("|")
 
 
@@ -160,8 +185,8 @@ class _Filler:
 
     def email(self) -> str:
         a, b = self.word(int(self.r.integers(1, 4))).lower(), self.word(int(self.r.integers(1, 3))).lower()
-        user = self.of([f"{a}.{b}", f"{a}_{b}", f"{a[0]}{b}", f"{a}{self.digits(2)}", f"{a}-{b}", f"{a}.{b}+fees", a])
-        host = self.of(["example.net", "mail.example", "post.example.org", "inbox.example.com", "student.example.edu", f"{b}mail.com", "uni.example.ac.in"])
+        user = self.of([f"{a}.{b}", f"{a}_{b}", f"{a[0]}{b}", f"{a}{self.digits(2)}", f"{a}-{b}", f"{a}.{b}+news", a])
+        host = self.of(["mailbox.test", f"{b}.invalid", "web.city.test", "corp.example.io", f"mail.{b}.co.uk", f"{b}mail.com", f"{b}.org", "dept.college.ac.in", "box.example.fr"])
         x = self.r.random()
         if x < 0.7:
             return self.cased(f"{user}@{host}", 0.0, 0.12)
@@ -187,7 +212,11 @@ class _Filler:
         if slot[0] == "N":
             return self.digits(int(slot[1:]))
         r = self.r
+        if slot in _SLOTS:
+            return self.of(_SLOTS[slot])
         match slot:
+            case "money":
+                return self.of(["Rs. {}", "Rs {}", "₹{}", "INR {}", "{} rupees", "${}", "€{}", "{}/-"]).format(self.of([f"{r.integers(1, 99)},{self.digits(3)}", f"{r.integers(1, 20)},{self.digits(2)},{self.digits(3)}", self.digits(3), self.digits(4), self.digits(5), self.digits(6)]))
             case "c" | "C":
                 return self.of(["CS", "BT", "ME", "HM", "EC", "PH"]) + self.of(["-", " ", ""]) + self.digits(3)
             case "pl":
@@ -226,23 +255,33 @@ class _Filler:
         return out
 
 
-def labelled_table(n: int = EXAMPLES, seed: int = 11) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """The labelled table: (text, spans) of invented messages."""
+def _frames(held_out: bool) -> list[list[str]]:
+    """The frames of each kind and the plain ones, those kept for testing or the others."""
+    return [[x for n, x in enumerate(kind) if (n % HELD_OUT == 0) == held_out] for kind in (_NAME_FRAMES, _PHONE_FRAMES, _MAIL_FRAMES, _ID_FRAMES, _ADDRESS_FRAMES, _PLAIN)]
+
+
+def labelled_table(n: int = EXAMPLES, seed: int = 11, held_out: bool = False) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """The labelled table: (text, spans) of made-up messages, of the frames for training or of those kept for testing."""
     f = _Filler(seed)
+    *kinds, plain = _frames(held_out)
     out = []
-    kinds = [_NAME_CARRIERS, _PHONE_CARRIERS, _MAIL_CARRIERS, _ID_CARRIERS, _ADDRESS_CARRIERS]
     for _ in range(n):
-        parts = []
-        for _ in range(int(f.r.integers(1, 4))):
-            parts.append(f.of(_PLAIN) if f.chance(0.5) else f.of(kinds[int(f.r.choice(5, p=[0.34, 0.15, 0.13, 0.2, 0.18]))]))
         text, spans = "", []
-        for c in parts:
-            text += " " if text else ""
-            for piece, kind in f.spell(c):
+        for _ in range(int(f.r.integers(1, 5))):
+            frame = f.of(plain) if f.chance(0.55) else f.of(kinds[int(f.r.choice(5, p=[0.34, 0.15, 0.13, 0.2, 0.18]))])
+            if text:
+                text += f.of([" ", " ", " ", ". ", ", ", "\n", " - "])
+            if f.chance(0.5):
+                frame = frame[0].upper() + frame[1:]
+            for piece, kind in f.spell(frame):
                 if kind != "O":
                     spans.append((len(text), len(text) + len(piece), kind))
                 text += piece
-        if f.chance(0.08):
+            if f.chance(0.3) and text[-1].isalnum():
+                text += f.of([".", ".", "!", ",", "?", ""])
+        if not spans and len(text) > 20 and f.chance(0.2):  # broken off, perhaps inside a word
+            text = text[: int(f.r.integers(15, len(text)))]
+        if f.chance(0.1):
             text = text.lower() if f.chance(0.6) and len(text.lower()) == len(text) else text.upper() if len(text.upper()) == len(text) else text
         out.append((text, spans))
     return out
@@ -262,8 +301,8 @@ def tagged(text: str, spans: list[tuple[int, int, str]]) -> tuple[list[str], lis
 
 def train(common: frozenset[str]) -> Chain:
     """The model for messages whose common words are these. Words of the table's carriers are common too."""
-    own = {w.lower() for c in (*_NAME_CARRIERS, *_PHONE_CARRIERS, *_MAIL_CARRIERS, *_ID_CARRIERS, *_ADDRESS_CARRIERS, *_PLAIN) for w in re.findall(r"[^\W\d_]{2,}", re.sub(r"\{\w+\}", " ", c))}
-    own |= {w.lower() for w in (*_BUILDING, *_STREET, *_SUBJECT, *_FIELD)}
+    own = {w.lower() for kind in _frames(False) for c in kind for w in re.findall(r"[^\W\d_]{2,}", re.sub(r"\{\w+\}", " ", c))}
+    own |= {w.lower() for x in (*_SLOTS.values(), _BUILDING, _STREET, _SUBJECT, _FIELD) for c in x for w in re.findall(r"[^\W\d_]{2,}", c)}
     return Chain(LABELS, Features(common | frozenset(own))).fit([tagged(t, s) for t, s in labelled_table()])
 
 
@@ -279,7 +318,13 @@ _DATE = re.compile(r"^\W*(?:\d{4}-\d{1,2}(?:-\d{1,2})?|\d{1,2}[/.]\d{1,2}[/.]\d{
 _STREET_WORD = re.compile(r"\b(?:street|road|lane|marg|path|nagar|avenue|colony|way|close|crescent|enclave|apartments?|sector|plot|flat|house|h\.? ?no|door|pin|apt)\b", re.I)
 
 
-def plausible(kind: str, span: str, before: str) -> bool:
+#: A hall's name ends, or goes on, with such a word.
+_HALL = re.compile(r"(?:hall|wing|court|house|block|building|annexe|hostel|centre|library|tower|lodge|department|school|institute)\b", re.I)
+#: The verb, not the street.
+_CLOSE = re.compile(r"\bclose (?:on|at|by|in|from|until)\b", re.I)
+
+
+def plausible(kind: str, span: str, before: str, after: str = "") -> bool:
     """The exact form of a span of its kind."""
     digits = sum(c.isdigit() for c in span)
     if kind == "email":
@@ -290,8 +335,12 @@ def plausible(kind: str, span: str, before: str) -> bool:
         letters = sum(c.isalpha() for c in span)
         return (digits >= 5 or (digits >= 4 and letters >= 4)) and len(span) < 40 and not _DATE.search(span) and not _NOT_ID.search(before)
     if kind == "address":
-        return digits >= 1 and (bool(_STREET_WORD.search(span)) or span.count(",") >= 1)
-    return digits == 0 and any(c.isalpha() for c in span) and "@" not in before[-1:]
+        return digits >= 1 and not _CLOSE.search(span) and (bool(_STREET_WORD.search(span)) or span.count(",") >= 1)
+    if len(re.findall(f"[{_CJK}]", span)) > 4:
+        return False
+    if _HALL.match(after.lstrip()) or _HALL.fullmatch(span.split()[-1]):
+        return False
+    return digits == 0 and re.search(r"[^\W\d_]{2}", span) is not None and "@" not in before[-1:]
 
 
 def spans_of(text: str, spots: list[tuple[int, int]], labels: np.ndarray) -> list[tuple[int, int, str]]:
@@ -307,7 +356,7 @@ def spans_of(text: str, spots: list[tuple[int, int]], labels: np.ndarray) -> lis
             out.append((a, b, kind))
     # Numbers written as telephones are telephones, whatever stood before them.
     out = [(a, b, "phone" if k == "id_number" and _DIALLED.match(text[a:b]) else k) for a, b, k in out]
-    return [s for s in out if plausible(s[2], text[s[0] : s[1]], text[max(0, s[0] - 40) : s[0]])]
+    return [s for s in out if plausible(s[2], text[s[0] : s[1]], text[max(0, s[0] - 40) : s[0]], text[s[1] : s[1] + 14])]
 
 
 def common_words(messages: DataFrame) -> frozenset[str]:
@@ -340,7 +389,7 @@ def personal_spans(messages: DataFrame) -> DataFrame:
             cols = list(zip(*rows)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["id", "kind", "start", "end"])
 
-    return messages.select("id", "content").mapInArrow(find, "id string, kind string, start int, end int").distinct()
+    return messages.select("id", "content").mapInArrow(find, "id string, kind string, start int, end int").distinct()  # spans only, no texts
 
 
 def found_kinds(messages: DataFrame) -> DataFrame:
@@ -366,4 +415,6 @@ def redacted(messages: DataFrame) -> DataFrame:
                 out.append(None if raw is None else t)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["id", "content"])
 
-    return messages.select("id", "content").mapInArrow(hide, "id string, content string").distinct()
+    # One row of each id and text.
+    one = messages.select("id", "content").groupBy("id", F.xxhash64("content").alias("_h")).agg(F.min("content").alias("content"))
+    return one.select("id", "content").mapInArrow(hide, "id string, content string")
