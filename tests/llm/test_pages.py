@@ -249,3 +249,24 @@ def test_loads_give_the_same_result(spark, loads):
             rows.append((f"d{g}-{day}", f"https://s{g}.example/{day}", "t", " ".join(w), T0 + dt.timedelta(days=day, minutes=g), *[None] * 5))
             want |= {f"d{g}-{day}"} if day else set()
     assert {r["id"] for r in history_dedup.repeated_records(spark.createDataFrame(rows, DDL), loads=loads).collect()} == want
+
+
+def test_pages_on_the_subject_of_an_error_are_none(spark):
+    rnd = random.Random(31)
+    rows = [page(rnd, "alpha", i) for i in range(12)]
+    real = {"seats": ("404 seats filled", "404 seats filled in the spring round."), "card": ("Card reader", "Please enable the card reader before use."), "fee": ("Refund of the fee", "The fee cannot be refunded after May.")}
+    bad = {"gone": ("Spring round", "Error 404: page not found."), "js": ("Library hours", "Please enable JavaScript to continue."), "lorem": ("Sports day", "Lorem ipsum dolor sit amet consectetur adipiscing elit. " * 150)}
+    for n, (i, (title, body)) in enumerate([*real.items(), *bad.items()]):
+        slug = title.lower().replace(" ", "-")
+        rows.append((i, f"https://alpha/p/{slug}", title, f"Home\nStaff\nNews\n{body}\nAll rights reserved by alpha.", T0 + dt.timedelta(minutes=n), "x", 1, 2, 3, 4))
+    assert {r["id"] for r in residue.found_pages(spark.createDataFrame(rows, DDL)).collect()} == set(bad)
+
+
+def test_excess_is_measured_against_other_sites(spark):
+    rnd = random.Random(17)
+    rows = [(f"{s}{i}", f"https://{s}.example/{i}", "t", "\n".join(["Home", f"Office of {s}", "Shared by few" if (s, i) in {("a", 1), ("b", 2)} else "x", prose(rnd, 3)]), T0, *[None] * 5) for s in "abc" for i in range(8)]
+    d = spark.createDataFrame(rows, DDL)
+    got = {(r["site"], r["pages"], r["background"], r["others"]) for r in repeated_lines.excess_lines(d).filter("significant AND background = 0").collect()}
+    # The line of one site is held against the sixteen pages of the others; one that is dense everywhere against lines in general.
+    assert got == {(f"{s}.example", 8, 0.0, 16) for s in "abc"}
+    assert repeated_lines.excess_lines(d).filter("significant").count() >= 6

@@ -1,9 +1,9 @@
 """Template residue, filler, error messages and demands for scripts.
 
-A page's main body (see ``main_body``) of few words, or mostly of filler Latin, carries little information. Such a body is a
-case if its words speak of errors, filler or scripts: these patterns decide. Its mismatch with slug and title and its twins
-on other pages count only where no pattern is met, which hardly occurs. Unfilled placeholders in title or content are
-cases whatever surrounds them.
+A page's main body (see ``main_body``) carries little information if hardly a sentence of it says anything but that something
+is filler, failed, or needs scripts. Such a body is a case if it has nothing to do with the page's address and title, or stands
+on several hosts: a page on the very subject shares its terms with both, and has no twin elsewhere. Unfilled placeholders in
+title or content are cases whatever surrounds them.
 """
 
 from __future__ import annotations
@@ -18,8 +18,12 @@ from pyspark.sql import functions as F
 from weftline.llm.common import guarded_broadcast, materialize, site_of
 from weftline.llm.main_body import key_of, letters, load_cutter, split_lines, style_tree, with_low
 
-#: A body of more words has content of its own.
+#: A body of more words, if they aren't Latin, has content of its own; one of hardly any is judged with the lines cut around it.
 FEW_WORDS, HARDLY = 90, 15
+#: A body of little information has at most so many sentences without a cue, or as many with one as without.
+LEFT, CUED = 3, 0.5
+#: It is a case from this share of foreign terms on (the terms of slug and title that it lacks, of those it could have), or with twins on so many hosts.
+FOREIGN, HOSTS = 0.5, 2
 
 _PLACEHOLDER = re.compile(
     r"\{\{\s*[\w.\-| ]*\s*\}\}|\{%.*?%\}|\$\{[\w.]*\}|\{\$[\w.]+\}|<%.*?%>|<<[\w .\-]+>>|\[\[[\w .\-]*\]\]|%%\w+%%|##\w+##|\b__[A-Za-z]\w*__\b|"
@@ -34,7 +38,7 @@ _SPOKEN = re.compile(r"template exercise|such as\s*$|double braces|placeholders?
 
 _FILLER = re.compile(
     r"lorem|ipsum|dolor|consectetur|adipisc|eiusmod|incididunt|aliqua|veniam|ullamco|cillum|excepteur|proident|asdf|qwerty|(?:\btest\b\s*){2,}|x{4,}|dummy|placeholder|body copy|"
-    r"coming soon|text goes here|content goes here|under construction|headline here|type (?:the|some|a|your|here)|paste (?:the|two|a|some|your)|put (?:the|a|your|some)|add (?:your|some|a|the)|"
+    r"coming soon|text goes here|content goes here|under construction|headline here|type (?:the|some|a|your|here)|paste (?:the|a|some|your)|put (?:the|a|your|some)|add (?:your|some|a|the)|"
     r"click to edit|write some|sample (?:text|paragraph)|your own words|heading \d|subheading|do not publish|layout testing|to be supplied|\bhere\.?$|untitled|watch this space|to be (?:added|announced|written)", re.I)
 _ERROR = re.compile(
     r"\b[45]\d\d\b|error|not found|no longer exist|could not|cannot|unable to|failed|refused|denied|forbidden|permission|timed? ?out|took too long|bad gateway|gateway|unavailable|not available|"
@@ -80,6 +84,15 @@ def cue_of(body: list[str]) -> str:
     return "filler" if words and len(set(words)) * 3 <= len(words) else "none"
 
 
+_SENTENCE = re.compile(r"(?<=[.!?])\s+")
+
+
+def cued(body: list[str]) -> tuple[int, int]:
+    """How many sentences of a body have a cue of any sort, and how many there are."""
+    parts = [p for x in body for p in _SENTENCE.split(x) if _WORD.search(p)]
+    return sum(any(c.search(p) for c in (_FILLER, _ERROR, _SCRIPT)) for p in parts), len(parts)
+
+
 _FIELDS = "id string, site string, residue boolean, few boolean, cue string, mismatch double, body long"
 
 
@@ -114,9 +127,13 @@ def page_evidence(data: DataFrame) -> DataFrame:
                     elif few:
                         cue = cue_of(body)
                         if cue == "none" and len(words) < HARDLY:
-                            cue = cue_of([x for x in lines if x.strip() and key_of(letters(x)) not in sets[site]])
-                        if cue == "none" and len(words) < HARDLY:
-                            cue = "empty"
+                            body = [x for x in lines if x.strip() and key_of(letters(x)) not in sets[site]]
+                            words = [w for x in body for w in _WORD.findall(x.lower())]
+                            cue = cue_of(body)
+                        if cue != "none":
+                            with_cue, all_ = cued(body)
+                            if all_ - with_cue > LEFT and with_cue < CUED * all_:
+                                few, cue = False, "none"
                     if few:
                         m = _SLUG.match(url or "")
                         about = set(_WORD.findall(((m.group(1) if m else "") + " " + (title or "")).lower()))
@@ -137,11 +154,11 @@ def residue_pages(data: DataFrame) -> DataFrame:
     """
     seen = materialize(page_evidence(data), "page-evidence")
     small = seen.filter("few AND NOT residue")
-    # Host evidence: how many of a body's twins, over all hosts, show a cue; a body on several pages says nothing of its own.
-    twins = small.groupBy("body").agg(F.count_distinct("id").alias("pages"), F.avg((F.col("cue") != "none").cast("double")).alias("cued"))
+    # Host evidence: a body that stands on several hosts says nothing of its own page.
+    twins = small.groupBy("body").agg(F.count_distinct("site").alias("hosts"))
     judged = small.join(guarded_broadcast(materialize(twins, "residue-twins")), "body", "left")
-    empty = (F.col("cue") != "none") | ((F.col("mismatch") > 0.8) & (F.col("pages") > 1) & (F.col("cued") > 0.5))
-    bad = judged.filter(empty).select("id", F.when(F.col("cue") != "none", F.col("cue")).otherwise("duplicated").alias("reason"))
+    empty = (F.col("cue") != "none") & ((F.col("mismatch") >= FOREIGN) | (F.col("hosts") >= HOSTS))
+    bad = judged.filter(empty).select("id", F.col("cue").alias("reason"))
     return seen.filter("residue").select("id", F.lit("placeholder").alias("reason")).unionByName(bad).groupBy("id").agg(F.min("reason").alias("reason"))
 
 
