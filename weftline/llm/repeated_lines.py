@@ -1,8 +1,9 @@
 """Lines repeated across one site's documents.
 
-Each line is reduced to its letters. Its frequency within the site is held against its background, the frequency on
-the sites where it is no furniture, by a log-likelihood ratio; the significant excess lines (Benjamini-Hochberg over
-the dense pairs) are taken out of every page by an anti-join and the page is put together again by line number.
+Each line is reduced to its letters. Its frequency within the site is held against its frequency on the other sites, but for
+those where it is dense itself, by a log-likelihood ratio. Of all lines that a site has on several pages, those in significant
+excess (Benjamini-Hochberg over all of them) and on the least share of the site's pages are taken out of every page by an
+anti-join, and the page is put together again by line number.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import guarded_broadcast, letters_of, materialize, page_lines, site_of
 
-LEAST_PAGES, LEAST_SHARE, FDR = 5, 0.1, 0.05
+LEAST_PAGES, LEAST_SHARE, FDR = 5, 0.1, 0.01
 
 
 def _xlogx(x: Column, y: Column) -> Column:
@@ -39,7 +40,11 @@ def _chi2_tail_bin(step: float) -> Column:
 
 
 def excess_lines(data: DataFrame, *, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, fdr: float = FDR) -> DataFrame:
-    """(site, line, pages, site_pages, background, g2, significant) of the lines on enough pages of their site.
+    """(site, line, pages, site_pages, dense, background, others, g2, significant) of the lines on ``least_pages`` pages of their site.
+
+    ``others``: pages of the sites where the line isn't dense, ``background`` those of them with the line. Where they are fewer
+    than the site's own, as for a line dense on nearly all sites, the rate of lines in general stands in: all (page, line) pairs
+    by the distinct lines and all pages. ``significant`` lines are also ``dense``, on ``least_share`` of the site's pages.
 
     ``line`` is a 64-bit hash of the letters. Pages are distinct ids. Lines without letters and pages without site
     are not judged; null and blank pages count among the site's pages. An empty table gives no rows.
@@ -53,26 +58,32 @@ def excess_lines(data: DataFrame, *, least_pages: int = LEAST_PAGES, least_share
     )
     # One row per page and line after this, so that a page delivered twice counts once; then one per site and line.
     counts = lines.groupBy("s", "line").agg(F.count_distinct("page").alias("pages"))
-    counts = materialize(counts.groupBy(F.when(F.col("pages") >= least_pages, F.col("s")).alias("s"), "line").agg(F.sum("pages").alias("pages"), F.count("*").alias("pairs")).filter(
-        (F.col("s").isNotNull()) | (F.col("pairs") > 1)), "line-counts")
+    # Pairs below the least number of pages matter as background only, added up by line.
+    counts = materialize(counts.groupBy(F.when(F.col("pages") >= least_pages, F.col("s")).alias("s"), "line").agg(F.sum("pages").alias("pages")), "line-counts")
     small = guarded_broadcast(materialize(sizes.withColumn("s", F.xxhash64("site")), "site-sizes"))
-    frequent = counts.filter("s IS NOT NULL").join(small, "s").withColumn("dense", F.col("pages") >= F.col("site_pages") * least_share)
+    frequent = materialize(counts.filter("s IS NOT NULL").join(small, "s").withColumn("dense", F.col("pages") >= F.col("site_pages") * least_share), "frequent-lines")
+    # By line: its pages on sites where it isn't dense, and the pages of the sites where it is.
+    by_line = frequent.groupBy("line").agg(F.sum(F.when(~F.col("dense"), F.col("pages")).otherwise(0)).alias("sparse"), F.sum(F.when(F.col("dense"), F.col("site_pages")).otherwise(0)).alias("dense_pages"))
+    rare = counts.filter("s IS NULL").select("line", F.col("pages").alias("rare")).join(by_line.select("line"), "line", "left_semi")
+    by_line = by_line.join(rare, "line", "left").select("line", "dense_pages", (F.col("sparse") + F.coalesce("rare", F.lit(0))).alias("sparse"))
     all_pages = sizes.agg(F.sum("site_pages").alias("all_pages"))
-    # The background: the line's pages outside the sites where it is dense, out of all pages of other sites. Where there are
-    # fewer of those than pages of the site, as many as the site has stand in for them.
-    sparse = frequent.filter("NOT dense").select("line", "pages").unionByName(counts.filter("s IS NULL").select("line", "pages")).groupBy("line").agg(F.sum("pages").alias("background"))
-    lines_of_site = frequent.filter("dense").join(sparse, "line", "left").crossJoin(F.broadcast(all_pages))
-    rest = F.greatest(F.col("all_pages") - F.col("site_pages"), F.col("site_pages"))
+    general = counts.agg((F.sum("pages") / F.count_distinct("line")).alias("of_a_line"))
+    lines_of_site = frequent.join(by_line, "line").crossJoin(F.broadcast(all_pages)).crossJoin(F.broadcast(general))
+    # A pair that isn't dense isn't its own background.
+    own = F.when(F.col("dense"), 0).otherwise(F.col("pages"))
+    others = F.col("all_pages") - F.col("dense_pages") - F.when(F.col("dense"), 0).otherwise(F.col("site_pages"))
+    enough = others >= F.col("site_pages")
     tested = materialize(
-        lines_of_site.withColumn("background", F.coalesce("background", F.lit(0)))
-        .withColumn("g2", log_likelihood(F.col("pages"), F.col("site_pages"), F.least(F.col("background"), rest), rest))
-        .select("site", "line", "pages", "site_pages", "background", "g2"), "line-tests")
+        lines_of_site.withColumn("others", F.when(enough, others).otherwise(F.col("all_pages")))
+        .withColumn("background", F.when(enough, F.col("sparse") - own).otherwise(F.col("of_a_line")))
+        .withColumn("g2", log_likelihood(F.col("pages"), F.col("site_pages"), F.least("background", "others"), F.col("others")))
+        .select("site", "line", "pages", "site_pages", "dense", "background", "others", "g2"), "line-tests")
     step = 0.25
     bins = tested.groupBy(F.least(F.floor(F.col("g2") / step), F.lit(400)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
     hypotheses = tested.agg(F.count("*").alias("m"))
     above = bins.alias("a").join(bins.alias("b"), F.col("b.bin") >= F.col("a.bin")).groupBy(F.col("a.bin").alias("bin")).agg(F.sum("b.n").alias("rank"))
     bound = above.crossJoin(hypotheses).filter(_chi2_tail_bin(step) * F.col("m") <= F.col("rank") * fdr).agg(F.min(F.col("bin") * step).alias("bound"))
-    return tested.crossJoin(F.broadcast(bound)).withColumn("significant", F.coalesce(F.col("g2") >= F.col("bound"), F.lit(False))).drop("bound")
+    return tested.crossJoin(F.broadcast(bound)).withColumn("significant", F.col("dense") & F.coalesce(F.col("g2") >= F.col("bound"), F.lit(False))).drop("bound")
 
 
 def _numbered(data: DataFrame) -> DataFrame:
