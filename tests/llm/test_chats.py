@@ -197,3 +197,20 @@ def test_interleaved_threads_form_trees(spark):
     assert trees["one", "n0"] == (4, 4, 1) and trees["two", "m1"][0] == 2 and trees["two", "m0"][0] == 4 and len(trees) == 3
     ids = spark.createDataFrame([("one",), ("two",)], "id string")
     assert [r[0] for r in C.broken_conversations(d, ids).collect()] == ["two"] and C.reply_trees(d.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("text", "refuses"), [("I can't help with form 16, sorry.", True), ("The library is large. Still, I am unable to answer that.", True), ("It opens at ten. " * 40 + "I cannot discuss this topic.", True), ("Refunds are not given after 12 May.", False)])
+def test_declining_anywhere(text, refuses):
+    assert P.declines(text) == refuses
+
+
+def test_refusals_in_other_words_by_their_cluster(spark):
+    same = "Regrettably rules that bind me forbid that"
+    prompts = [f"what is the {w} of the {v}" for w in ("fee", "date", "price", "place", "form") for v in ("hostel", "library", "bus")]
+    rows = [(k, q, f"{same}, so I cannot answer {q[:9]}." if k % 2 else f"{same} entirely, dear reader.") for k, q in enumerate(prompts)]
+    rows += [(100 + k, q, f"{q.split()[-1].title()} matters are settled by office number {k} on the ground floor.") for k, q in enumerate(prompts)]
+    fees = spark.createDataFrame([(k, "s", q, a, dt.datetime(2025, 1, 1)) for k, q, a in rows], "pair_id long, section string, question string, answer string, updated_at timestamp_ntz")
+    none = spark.createDataFrame([], "id string, conversation_id string, content string, role string, created_at timestamp_ntz")
+    got = {(r["pair_id"], r["defect"]) for r in P.defective_pairs(fees, none).collect()}
+    assert {x for x in got if x[1] == "refusal"} == {(str(k), "refusal") for k in range(len(prompts))}
+    assert P.is_copy("Is it open?", "- " * 60 + "Is it open?") and P.is_empty(" " * 60 + "N/A") and not P.is_copy("Is it open?", "It is open until nine. " * 20)

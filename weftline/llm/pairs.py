@@ -1,7 +1,8 @@
 """Broken prompt and response pairs, each with the type of its defect.
 
 Openings of responses are clustered by MinHash, every member verified against its cluster's representative. An opening
-that recurs across unrelated prompts answers none of them: with words of declining it is a refusal. Copies are found by
+that recurs across unrelated prompts answers none of them: if many responses of its cluster decline, all of them are refusals,
+whatever their own words. Copies are found by
 letters, languages by script and function words, and broken-off ends by how often the whole corpus ends a sentence
 where the response does.
 """
@@ -40,7 +41,7 @@ _HOLE = re.compile(r"<[a-z]{2,8}>|\{\w+\}|\[\w+\]")
 
 #: Function words by language; Romanised Hindi counts as Hindi.
 _FUNCTION = {
-    "en": "the is are of and to in for you it what how can be by with at on this that please will may a an do does when which there any not have from your we if must i or until before after costs stays holds refund rules deadline fee list documents cost much yes please single rooms".split(),
+    "en": "the is are of and to in for you it what how can be by with at on this that please will may a an do does when which there any not have from your we if must i or until before after much yes please but so they he she was were would should could has had its our their".split(),
     "fr": "le la les des du une est et pour dans vous il que qui avec sur au aux sont ont cette ce par plus puis quel quelle quels je mon être été avant après faut se nous à d l en un".split(),
     "de": "der die das und ist für sind ein eine im zum zur den dem des mit bei bis wie von auf wird ich nicht sich es am zu hoch wann gibt kann mindestens erforderlich bietet".split(),
     "es": "el los las del una es y para con por que se al en este esta más su sus son hasta antes hay cuál cuánto cuándo cómo la de un lo no salvo puedo".split(),
@@ -98,17 +99,21 @@ def is_empty(answer: str | None) -> bool:
     """Null, blank, or only a sign or word that stands for no answer."""
     if answer is None:
         return True
+    answer = answer.strip()
     if len(answer) > 40:
-        return not any(c.isalnum() for c in answer)
+        return not any(map(str.isalnum, answer))
     own = letters(_INVISIBLE.sub("", answer))
     return not own or own in _NO_ANSWER
 
 
 def is_copy(question: str | None, answer: str) -> bool:
     """The answer gives back the question, or a sentence of it, and nothing else."""
-    if not question or len(answer) > 2 * len(question) + 60:
+    if not question:
         return False
     q = letters(question)
+    # The letters of an answer that goes far beyond the question are more than those of the question twice, and of a lead.
+    if len(answer) > 2 * len(question) + 60 and len(letters(answer)) > 2 * len(q) + 60:
+        return False
     for text in (answer, _COPY_LEAD.sub("", answer)):
         a = letters(text)
         if a and q and (a == q or (len(a) >= 12 and a in q and len(a) * 2 >= len(q)) or a == q + q):
@@ -141,14 +146,11 @@ _DECLINING = _Memo(_declining)
 
 
 def declines(answer: str) -> bool:
-    """Words of declining: a negation, an act of answering and the answerer, within the first sentence; no numbers."""
-    text = _LEAD.sub("", answer)[:240]
+    """Words of declining: a negation, an act of answering and the answerer, within one sentence of the whole answer."""
+    text = _LEAD.sub("", answer)
     if not text.isascii() and _ANY_SCRIPT.search(text) and _REFUSE_OTHER.search(text):
         return True
-    first = re.split(r"(?<=[.!?])\s", text, maxsplit=1)[0].replace("’", "'")
-    if any(c.isdigit() for c in first):
-        return False
-    return _DECLINING[" ".join(mask_words(first))] or bool(_REFUSE_LATIN.search(first))
+    return any(_DECLINING[" ".join(mask_words(s))] or bool(_REFUSE_LATIN.search(s)) for s in sentences(text.replace("’", "'")))
 
 
 def _masked(word: str) -> str:
@@ -205,7 +207,7 @@ def prompt_key(question: str | None) -> int:
     """Key of what a prompt asks: the masked words of its last question, else of its longest sentence."""
     parts = sentences(question or "")
     asking = [s for s in parts if s.rstrip().endswith(("?", "？"))] or sorted(parts, key=len)
-    return xxhash.xxh3_64_intdigest(" ".join(mask_words(asking[-1])[:6])) - (1 << 63) if asking else 0
+    return xxhash.xxh3_64_intdigest(" ".join(mask_words(asking[-1]))) - (1 << 63) if asking else 0
 
 
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, (2, BANDS * ROWS_OF_BAND), np.uint64) | np.uint64(1)
@@ -269,7 +271,7 @@ def _assess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             elif is_copy(q, a):
                 defect = "copied_question"
             else:
-                cue, hole = declines(a), bool(_HOLE.search(a[:80]))
+                cue, hole = declines(a), bool(_HOLE.search(a))
                 # An answer may start by repeating its question, in the question's language.
                 own = a[len(q) :] if q and a.startswith(q) else a
                 lang, _ = language(own)
@@ -345,7 +347,8 @@ def opening_clusters(assessed: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([band_keys(w) for w in words], pa.list_(pa.int64()))], names=["opening", "bands"])
 
     banded = ones.mapInArrow(bands, "opening array<string>, bands array<long>").select("opening", F.explode("bands").alias("band"))
-    heads = banded.groupBy("band").agg(F.min("opening").alias("head"))
+    # Two heads of each band: the first and the last opening.
+    heads = banded.groupBy("band").agg(F.array_distinct(F.array(F.min("opening"), F.max("opening"))).alias("heads")).select("band", F.explode("heads").alias("head"))
     candidates = banded.join(heads, "band").select("opening", "head").distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,6 +357,8 @@ def opening_clusters(assessed: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(ok, pa.bool_()))
 
     member = candidates.mapInArrow(verify, "opening array<string>, head array<string>").groupBy("opening").agg(F.min("head").alias("cluster"))
+    # An opening like no head is a cluster of its own.
+    member = materialize(ones.join(member, "opening", "left").select("opening", F.coalesce("cluster", "opening").alias("cluster")), "opening-members")
     rows = distinct.join(member, "opening")
     prompts = rows.groupBy("cluster", "prompt").agg(F.sum("n").alias("n"), F.sum("cued").alias("cued"), F.sum("holed").alias("holed"))
     sums = prompts.groupBy("cluster").agg(
@@ -388,7 +393,7 @@ def _defects(pairs: DataFrame) -> DataFrame:
     rate = F.max(F.when((F.col("n") >= 4) | (F.col("k") == 1), F.struct("k", ((F.col("ends") + 0.0) / F.greatest(F.col("n"), F.lit(1))).alias("rate"), "n")))
     judged = known.groupBy("pair_source", "pair_id").agg(rate.alias("r"), F.max("open").alias("open"), F.max("whole").alias("whole"))
     cut = judged.filter(F.col("open") | (~F.col("whole") & (F.col("r.rate") < 0.1))).select("pair_source", "pair_id", F.lit(True).alias("cut"))
-    refused = assessed.filter("opening IS NOT NULL").join(guarded_broadcast(refusing), "opening").filter("cue OR hole").select("pair_source", "pair_id", F.lit(True).alias("refused")).distinct()
+    refused = assessed.filter("opening IS NOT NULL").join(guarded_broadcast(refusing), "opening").select("pair_source", "pair_id", F.lit(True).alias("refused")).distinct()
     out = assessed.select("pair_source", "pair_id", "defect").join(refused, ["pair_source", "pair_id"], "left").join(cut, ["pair_source", "pair_id"], "left")
     kind = F.coalesce("defect", F.when(F.col("refused"), "refusal"), F.when(F.col("cut"), "truncated"))
     return out.select("pair_source", "pair_id", kind.alias("defect")).filter("defect IS NOT NULL")
