@@ -1,3 +1,4 @@
+import os
 import datetime as dt
 
 import numpy as np
@@ -104,7 +105,7 @@ def test_lockout_batch_and_stream(spark, tmp_path, kinds, at):
     assert [r["locked_at"] for r in got] == want
     e.write.parquet(str(tmp_path / "in"))
     s = spark.readStream.schema(e.schema).parquet(str(tmp_path / "in")).select("k", F.col("t").cast("timestamp").alias("t"), "i", (F.col("e") == "F").alias("failed"))
-    out = stateful.run_once(stateful.stream_lockouts(s), f"lock_{kinds}", "append", str(tmp_path / "ck"))
+    out = stateful.run_once(stateful.stream_lockouts(s), str(tmp_path / "run"), "append")
     assert [r["locked_at"] for r in out.collect()] == want
 
 
@@ -152,7 +153,7 @@ def test_update_and_rebuild(spark, tmp_path):
     p = spark.createDataFrame([("1", "new", "hacked"), ("2", None, "x")], "id string, bio string, hashed_password string")
     now = T0 + dt.timedelta(days=1)
     got = {r["id"]: tuple(r)[1:] for r in tables.updated(t, p, at=F.lit(now).cast("timestamp_ntz")).collect()}
-    assert got == {"1": ("new", now, "s"), "2": ("b", now, "s")}
+    assert got == {"1": ("new", now, "s"), "2": (None, now, "s")}
     path = str(tmp_path / "d")
     assert tables.rebuild(spark, t, t, path)
     assert not tables.rebuild(spark, t.limit(0), t.limit(0), path)
@@ -184,8 +185,8 @@ def test_metrics(spark):
 
 
 def test_settings():
-    s = Settings.from_env({"CHUNK_SIZE": "9", "MFA_ENABLED": "TRUE", "TEMPERATURE": "0"})
-    assert (s.chunk_size, s.mfa_enabled, s.temperature, s.top_k) == (9, True, 0.0, 5)
+    s = Settings.from_env({"CHUNK_SIZE": "9", "ENABLE_MFA": "FALSE", "TEMPERATURE": "0"})
+    assert (s.chunk_size, s.enable_mfa, s.temperature, s.top_k_results) == (9, False, 0.0, 5)
 
 
 def test_page_source(spark, tmp_path):
@@ -201,5 +202,103 @@ def test_stream_history_keeps_the_last(spark, tmp_path):
     m = msgs(spark, 60).select(F.col("conversation_id").alias("c"), "id", "content", F.col("created_at").cast("timestamp").alias("t"))
     m.write.parquet(str(tmp_path / "in"))
     s = spark.readStream.schema(m.schema).parquet(str(tmp_path / "in"))
-    out = stateful.run_once(stateful.stream_history(s), "hist", "update", str(tmp_path / "ck")).agg(F.max("kept")).first()[0]
+    out = stateful.run_once(stateful.stream_history(s), str(tmp_path / "run"), "update").agg(F.max("kept")).first()[0]
     assert out == 50
+
+
+def test_unreadable_tables_change_nothing(spark, tmp_path):
+    root = str(tmp_path)
+    for name, rows in (("users", [("u1",), ("u2",)]), ("messages", [("m1",)])):
+        cols = tables.SCHEMAS[name]
+        tables.append_rows(spark.createDataFrame(rows, "id string"), f"{root}/{name}", cols)
+    os.makedirs(f"{root}/conversations")
+    with open(f"{root}/conversations/part-0.parquet", "w") as f:
+        f.write("not parquet")
+    with pytest.raises(Exception):  # noqa: B017 - whatever the reader raises
+        tables.delete_user(spark, root, "u1")
+    assert sorted(r["id"] for r in spark.read.parquet(f"{root}/users").collect()) == ["u1", "u2"] and os.path.exists(f"{root}/conversations/part-0.parquet")
+
+
+def test_a_failed_move_is_undone(spark, tmp_path, monkeypatch):
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    for p in (a, b):
+        spark.range(2).write.parquet(p)
+    real, calls = tables._rename, []
+
+    def rename(s, path, to):
+        calls.append(path)
+        if to == b and len(calls) == 4:
+            raise OSError("full")
+        real(s, path, to)
+
+    monkeypatch.setattr(tables, "_rename", rename)
+    with pytest.raises(OSError):
+        tables.swap_in(spark, {a: spark.range(5), b: spark.range(6)})
+    assert spark.read.parquet(a).count() == 2 and spark.read.parquet(b).count() == 2
+
+
+def test_one_patch_counts_as_a_whole_and_clear_by_key(spark, tmp_path):
+    ddl = "id string, bio string, phone string, is_active boolean, email string"
+    t = spark.createDataFrame([("1", "a", "p", True, "e")], ddl)
+    p = spark.createDataFrame([("1", "x", "1", False, "no"), ("1", "b", "2", True, "no")], ddl)
+    assert tuple(tables.updated(t, p).first()) in (("1", "x", "1", False, "e"), ("1", "b", "2", True, "e"))
+    path = str(tmp_path / "t")
+    spark.createDataFrame([("1", "a"), ("2", "b"), (None, "c")], "id string, bio string").write.parquet(path)
+    tables.clear(spark, path, "id string, bio string", "id", "1")
+    assert sorted(r["bio"] for r in spark.read.parquet(path).collect()) == ["b", "c"]
+
+
+def test_a_bad_prompt_voids_only_itself(spark):
+    p = spark.range(20).selectExpr("id", "concat('User Question: ', IF(id = 7, 'bad', 'good')) AS prompt").coalesce(1)
+
+    def picky(prompts, n, t):
+        if any("bad" in x for x in prompts):
+            raise RuntimeError("no")
+        return [{"content": "yes", "tokens_used": 1, "error": None} for _ in prompts]
+
+    got = {r["id"]: (r["content"], r["error"]) for r in chat.generate(p, generator=picky).collect()}
+    assert got[7] == (None, "no") and all(got[k] == ("yes", None) for k in range(20) if k != 7)
+
+
+def test_index_by_batches_tells_its_progress(spark, tmp_path):
+    rows = spark.range(25).selectExpr("id AS vector_id", "concat('word', id) AS chunk_text")
+    told = []
+
+    def encode(texts):
+        if "word12" in texts:
+            raise RuntimeError("down")
+        return [[1.0]] * len(texts)
+
+    n = retrieval.index_batches(rows, str(tmp_path / "i"), batch=10, encode=encode, progress=lambda done, all_: told.append((done, all_)))
+    assert n == 3 and told == [(1, 3), (2, 3), (3, 3)] and spark.read.parquet(str(tmp_path / "i")).count() < 25
+
+
+@pytest.mark.parametrize(("base", "path", "want"), [("https://a.b/x/y", "z", "https://a.b/x/z"), ("https://a.b", "z", "https://a.b/z"), ("https://a.b/x/", "/q", "https://a.b/q"), ("https://a.b/x", "//c.d/e", "https://c.d/e"), ("https://a.b/x", "http://e", "http://e"), ("https://a.b/x?u=/1/", "", "https://a.b/x?u=/1/")])
+def test_resolved_addresses(spark, base, path, want):
+    from weftline.functions import text
+
+    assert spark.range(1).select(text.resolved(F.lit(base), F.lit(path))).first()[0] == want
+
+
+def test_grid_of_queries_and_vectors(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    m = rng.integers(0, 4, (90, 3)).astype(float)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)] + [(900, None)], "vec_id long, embedding array<double>")
+    q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m[:30])], "query_id long, query array<double>")
+    want = {(i, int(k), r + 1) for i in range(30) for r, k in enumerate(np.lexsort((np.arange(90), ((m - m[i]) ** 2).sum(1)))[:4])}
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 20)
+    assert {(r["query_id"], r["vec_id"], r["rank"]) for r in retrieval.top_k_batch(v, q, 4).collect()} == want
+    assert retrieval.top_k_batch(v.limit(0), q).count() == retrieval.top_k_batch(v, q.limit(0)).count() == 0
+
+
+def test_a_cluster_must_name_its_folder():
+    from types import SimpleNamespace as N
+
+    from weftline.sources import staging
+
+    cluster = N(conf=N(get=lambda k, d=None: d), sparkContext=N(getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        staging.shared_dir(cluster)

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from weftline.plans import catalog
+from weftline.plans import catalog, pipeline  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables aren't here")
@@ -55,4 +55,7 @@ def test_entry(spark):
 
 def test_filters_reach_the_scan(spark):
     plan = catalog.queries()["active_conjunction"](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters" in plan and "EqualTo" in plan or "IsNotNull" in plan
+    pushed = plan[plan.index("PushedFilters: [") :].split("]", 1)[0]
+    assert "EqualTo(is_active,true)" in pushed or "is_active" in pushed and "IsNotNull(user_id)" in pushed
+    read = plan[plan.index("ReadSchema: struct<") :].split(">", 1)[0]
+    assert "user_id" in read and "title" not in read and "created_at" not in read

@@ -15,6 +15,7 @@ from weftline.functions.text import strip
 DROPPED = ("script", "style", "nav", "footer", "header")
 #: Where pages keep their content, in order of preference.
 CONTENT_SELECTORS = (".content", ".main-content", "#content", ".page-content", ".entry-content", "main", "article")
+COMBINED_SELECTORS = (".content", ".main-content", "#content", "main", "article")
 LISTING_SELECTORS = (".faculty-card", ".faculty-profile", ".faculty-member", ".staff-card", ".team-member", ".professor-card", ".faculty", ".staff", ".team")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
@@ -127,23 +128,30 @@ def parse_page(html: str | None, content: tuple[str, ...] = CONTENT_SELECTORS, r
     for t in (n for n in nodes if n.tag == "table"):
         rows = [" | ".join(" ".join(c.texts()) for c in r.walk() if c.tag in ("td", "th")) for r in t.walk() if r.tag == "tr"]
         tables.append("TABLE: " + "\n".join(r for r in rows if r))
+    # Of all content places the first one in the document, however short.
+    place = next((n for n in nodes if any(_matches(n, s) for s in COMBINED_SELECTORS)), None)
     items: list[str] = []
     for s in repeated:
         found = [n for n in nodes if _matches(n, s)]
         if found:
             items = [x for x in (" ".join(n.texts()) for n in found) if len(x) > 10]
             break
-    return {"text": text, "method": method, "tables": tables, "items": items}
+    return {"text": text, "method": method, "tables": tables, "items": items, "first": None if place is None else "\n".join(place.texts())}
 
 
-PAGE = T.StructType([T.StructField("text", T.StringType()), T.StructField("method", T.StringType()), T.StructField("tables", T.ArrayType(T.StringType())), T.StructField("items", T.ArrayType(T.StringType()))])
+PAGE = T.StructType([T.StructField("text", T.StringType()), T.StructField("method", T.StringType()), T.StructField("tables", T.ArrayType(T.StringType())), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("first", T.StringType())])
+
+
+def page_content(parts: Column) -> Column:
+    """A page's text with its tables after it, a blank line between."""
+    return F.concat_ws("\n\n", F.nullif(parts["text"], F.lit("")), F.nullif(F.array_join(parts["tables"], "\n\n"), F.lit("")))
 
 
 def _page_udf():
     @F.pandas_udf(PAGE)
     def page(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            yield pd.DataFrame([parse_page(h) for h in s], columns=["text", "method", "tables", "items"])
+            yield pd.DataFrame([parse_page(h) for h in s], columns=["text", "method", "tables", "items", "first"])
 
     return page
 

@@ -96,6 +96,40 @@ def daytime(ts: Column) -> Column:
     return F.when(h < 12, "morning").when(h < 17, "afternoon").otherwise("evening")
 
 
+def stripped_of(x: Column, signs: str) -> Column:
+    """Text without the given signs at both ends."""
+    return F.btrim(x, F.lit(signs))
+
+
+def grouped(x: Column, decimals: int = 0) -> Column:
+    """A number with thousands separators."""
+    return F.format_number(x, decimals)
+
+
+def percent_text(x: Column, signed: bool = False) -> Column:
+    """A number with one decimal and a percent sign, with its own sign if wanted."""
+    return F.format_string("%+.1f%%" if signed else "%.1f%%", x)
+
+
+def resolved(base: Column, path: Column) -> Column:
+    """A path against an address: whole addresses stay, //host paths take the scheme, /paths the host, others the base's folder."""
+    root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+)", 1)
+    folder = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+(?:/(?:[^/?#]*/)*)?)", 1)
+    return (
+        F.when(path.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), path)
+        .when(F.startswith(path, F.lit("//")), F.concat(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*:)", 1), path))
+        .when(F.startswith(path, F.lit("/")), F.concat(root, path))
+        .when(path == "", base)
+        .otherwise(F.concat(F.when(F.endswith(folder, F.lit("/")), folder).otherwise(F.concat(folder, F.lit("/"))), path))
+    )
+
+
+def first_long(candidates: list[Column], least: int, drop_below: int) -> Column:
+    """The first candidate of at least ``least`` characters, else the last one; null where that has under ``drop_below``."""
+    chosen = F.coalesce(*[F.when(F.length(c) >= least, c) for c in candidates[:-1]], candidates[-1])
+    return F.when(F.length(chosen) >= drop_below, chosen)
+
+
 def money(x: Column) -> Column:
     """Amount of a text with currency sign and digit grouping, as a whole number; null without digits."""
     return F.nullif(F.regexp_replace(x, "[^0-9]", ""), F.lit("")).cast("bigint")

@@ -25,6 +25,25 @@ def sessions_valid(starts: DataFrame, *, ts: str, as_of: Column, hours: int = 24
     return starts.withColumn("expires_at", F.col(ts) + F.expr(f"INTERVAL {hours} HOURS")).withColumn("valid", F.coalesce(F.col("expires_at") >= as_of, F.lit(False)))
 
 
+def sessions(starts: DataFrame, ends: DataFrame, *, key: str, owner: str, ts: str, as_of: Column, hours: int = 24) -> DataFrame:
+    """(key, owner, expires_at, is_active, swept) of every session.
+
+    A session is invalid from its owner's first row of ``ends`` after its start; expired ones are swept, active or not. Lookups
+    take rows that are active and not swept.
+    """
+    s = starts.select(F.col(key), F.col(owner), F.col(ts).alias("_s"), F.lit(0).alias("_e")).unionByName(ends.select(F.lit(None).cast(starts.schema[key].dataType).alias(key), F.col(owner), F.col(ts).alias("_s"), F.lit(1).alias("_e")))
+    after = Window.partitionBy(owner).orderBy(F.col("_s").desc(), F.col("_e")).rowsBetween(Window.unboundedPreceding, -1)
+    ended = F.last(F.when(F.col("_e") == 1, F.col("_s")), ignorenulls=True).over(after)
+    rows = s.withColumn("_end", ended).filter("_e = 0")
+    expires = F.col("_s") + F.expr(f"INTERVAL {hours} HOURS")
+    return rows.select(key, owner, expires.alias("expires_at"), (F.col("_end").isNull() | (F.col("_end") > as_of)).alias("is_active"), F.coalesce(as_of > expires, F.lit(True)).alias("swept"))
+
+
+def token_valid(issued: Column, kind: Column, as_of: Column, minutes: int = 30, wanted: str = "password_reset") -> Column:
+    """Whether a token of the wanted type is within its minutes; null times and types are not."""
+    return F.coalesce((kind == wanted) & (issued <= as_of) & (as_of <= issued + F.expr(f"INTERVAL {minutes} MINUTES")), F.lit(False))
+
+
 def free_names(wanted: DataFrame, held: DataFrame, name: str) -> DataFrame:
     """The wanted names that nobody holds in any case."""
     own = held.select(F.lower(name).alias("_n")).filter("_n IS NOT NULL")

@@ -42,16 +42,24 @@ def echo_generator(prompts: list[str], max_tokens: int, temperature: float) -> l
 
 
 def generate(prompts: DataFrame, *, prompt: str = "prompt", generator: Generator = echo_generator, model: str = "echo", max_tokens: int = 500, temperature: float = 0.7) -> DataFrame:
-    """Adds content, model, tokens_used and error. A batch that fails gives error rows; order is kept by the caller's index column."""
+    """Adds content, model, tokens_used and error; other columns, as one that keeps the order, stay.
+
+    A generator that fails is asked again prompt by prompt, so that a bad prompt gives one error row and no more.
+    """
     schema = "content string, tokens_used bigint, error string"
 
+    def answers(texts: list[str]) -> list[dict]:
+        try:
+            return generator(texts, max_tokens, temperature)
+        except Exception as e:  # noqa: BLE001
+            if len(texts) == 1:
+                return [{"content": None, "tokens_used": None, "error": str(e)}]
+            return [answers([t])[0] for t in texts]
+
     @F.pandas_udf(schema)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            try:
-                yield pd.DataFrame(generator([x or "" for x in s], max_tokens, temperature), columns=["content", "tokens_used", "error"])
-            except Exception as e:  # noqa: BLE001
-                yield pd.DataFrame({"content": [None] * len(s), "tokens_used": [None] * len(s), "error": str(e)})
+            yield pd.DataFrame(answers([x or "" for x in s]) if len(s) else [], columns=["content", "tokens_used", "error"])
 
     return prompts.withColumn("_g", run(F.col(prompt))).select("*", "_g.*", F.lit(model).alias("model")).drop("_g")
 
@@ -70,3 +78,22 @@ def message_rows(answered: DataFrame, at: Column) -> DataFrame:
     rows = answered.select("conversation_id", "user_id", F.explode(sides).alias("s"), at.alias("created_at"))
     ident = F.sha2(F.concat_ws("|", "conversation_id", "s.role", F.coalesce("s.text", F.lit("")), F.col("created_at").cast("string")), 256)
     return rows.select(ident.alias("id"), "conversation_id", "user_id", F.col("s.text").alias("content"), "s.role", "s.model_used", "created_at")
+
+
+def best_models(requests: DataFrame, models: DataFrame) -> DataFrame:
+    """(request_id, requested, name): for each request the model asked for if available, else the available one of least rank.
+
+    ``requests``: request_id, requested; ``models``: name, rank, available. The registry is a few rows; its best is one.
+    """
+    free = models.filter("available").select("name", "rank")
+    asked = requests.join(F.broadcast(free.select(F.col("name").alias("requested"), F.col("name").alias("_own"))), "requested", "left")
+    best = free.agg(F.min_by("name", F.struct("rank", "name")).alias("_best"))
+    return asked.crossJoin(F.broadcast(best)).select("request_id", "requested", F.coalesce("_own", "_best").alias("name"))
+
+
+def rag_prompt(question: Column, context: Column, history: Column, system: str) -> Column:
+    """The prompt of ``functions.text.prompt``; a context that says that nothing was found is left out."""
+    from weftline.functions.text import prompt
+    from weftline.operators.retrieval import NOTHING_FOUND
+
+    return prompt(question, F.when(~F.contains(context, F.lit(NOTHING_FOUND)), context), history, system)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.text import strip
+from weftline.functions.text import or_default, strip
+from weftline.sources.staging import materialize
 
 SIZE, OVERLAP, LEAST = 512, 50, 50
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
@@ -85,13 +86,34 @@ def chunk_by_separator(data: DataFrame, key: str, text: str, *, size: int = SIZE
 def batches_of(data: DataFrame, order: str, workers: int = 4) -> DataFrame:
     """Adds ``batch_id``: runs of max(1, n // workers) rows in the order of a unique key.
 
-    The numbers come out of a range partitioning and counts per partition, not out of one sorted partition.
     """
-    ranged = data.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
-    from pyspark.sql import Window
+    numbered = dense_ids(data, [order], "_i", total="_all")
+    size = F.greatest(F.lit(1), F.floor(F.col("_all") / workers))
+    return numbered.withColumn("batch_id", F.floor(F.col("_i") / size).cast("bigint")).drop("_i", "_all")
+
+
+def dense_ids(data: DataFrame, order: list[str], name: str, total: str | None = None) -> DataFrame:
+    """Adds a running number from 0 in the order of unique columns, and the number of rows as ``total``.
 
+    The rows are range partitioned and written once with the number of their partition; row counts per partition then give
+    where each starts, so that no single task sorts all rows and nothing depends on how a partitioning is computed twice.
+    """
+    ranged = materialize(data.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranged")
     counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
-    offsets = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
-    numbered = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(order))).join(F.broadcast(offsets), "_p")
-    size = F.greatest(F.lit(1), F.floor(F.col("_all") / workers))
-    return numbered.withColumn("batch_id", F.floor((F.col("_before") + F.col("_i") - 1) / size).cast("bigint")).drop("_p", "_i", "_before", "_all")
+    # One row a partition.
+    offsets = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
+    numbered = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order))).join(F.broadcast(offsets), "_p")
+    out = numbered.withColumn(name, (F.col("_before") + F.col("_r") - 1).cast("bigint"))
+    return (out.withColumn(total, F.col("_total")) if total else out).drop("_p", "_r", "_before", "_total")
+
+
+def chunk_records(documents: DataFrame, *, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """Chunks with their provenance: source, title, content_type, chunk_index, doc_id, scraped_at and a dense vector_id from 0.
+
+    ``documents``: doc_id, text, source, title, content_type, scraped_at. Missing sources are Unknown, titles Untitled, types general.
+    """
+    pieces = chunk_fixed(documents, "doc_id", "text", size=size, overlap=overlap)
+    facts = documents.select(
+        "doc_id", or_default(F.col("source"), "Unknown").alias("source"), or_default(F.col("title"), "Untitled").alias("title"), or_default(F.col("content_type"), "general").alias("content_type"),
+        F.coalesce(F.date_format("scraped_at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("")).alias("scraped_at"))
+    return dense_ids(pieces.join(facts, "doc_id"), ["doc_id", "chunk_index"], "vector_id")

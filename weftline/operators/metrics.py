@@ -9,8 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def report(runs: DataFrame) -> DataFrame:
+def history(runs: DataFrame, operation: str | None = None) -> DataFrame:
+    """The runs of one operation; all for none or ''."""
+    return runs.filter(F.col("operation") == operation) if operation else runs
+
+
+def report(runs: DataFrame, operation: str | None = None) -> DataFrame:
     """(operation, total_runs, successful_runs, avg_duration, threaded) per operation. ``runs``: operation, duration, threaded, success."""
+    runs = history(runs, operation)
     ok = F.coalesce(F.col("success"), F.lit(False))
     return runs.groupBy("operation").agg(
         F.count("*").alias("total_runs"), F.count_if(ok).alias("successful_runs"), F.round(F.coalesce(F.avg(F.when(ok, F.coalesce("duration", F.lit(0.0)))), F.lit(0.0)), 6).alias("avg_duration"),
@@ -40,6 +46,39 @@ def comparison(runs: DataFrame) -> DataFrame:
         F.round(F.try_divide(F.col("sd"), F.col("td")), 6).alias("speedup_factor"))
 
 
+#: Cores that suffice for threads, and the speedup of a core by the rule of thumb.
+ENOUGH_CORES, PER_WORKER = 4, 0.7
+
+
+def estimated_speedup(workers: Column) -> Column:
+    """The rule of thumb, not a measurement."""
+    return workers * PER_WORKER
+
+
+def megabytes(n: Column) -> Column:
+    return n / 1024 / 1024
+
+
+def cores_advice(cores: Column) -> Column:
+    return F.when(cores >= ENOUGH_CORES, "sufficient").otherwise("limited")
+
+
+def system_info(spark) -> DataFrame:
+    """One row on the driver's machine: cores, memory in GB, memory in use in percent."""
+    import os
+
+    memory = {}
+    try:
+        with open("/proc/meminfo") as f:
+            memory = {k: int(v.split()[0]) for k, _, v in (line.partition(":") for line in f)}
+    except OSError:
+        pass
+    total, free = memory.get("MemTotal"), memory.get("MemAvailable")
+    used = 100.0 * (1 - free / total) if total and free is not None else None
+    gb = lambda x: None if x is None else x / 1024**2
+    return spark.createDataFrame([(os.cpu_count(), gb(total), gb(free), used)], "cpu_logical_cores int, memory_total_gb double, memory_available_gb double, memory_usage_percent double")
+
+
 def recommendations(compared: DataFrame) -> DataFrame:
     """(operation, advice) of the operations with a speedup."""
     s = F.col("speedup_factor")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +13,7 @@ from weftline.operators import accounts, chat, chunks, metrics, retrieval
 from weftline.plans import sqltext as S
 from weftline.session import ship_package
 from weftline.sources import tables
+from weftline.sources.staging import new_path
 from weftline.streaming import stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,10 +80,14 @@ _MAIN = S.plain("regexp_extract(html, '(?is)<main\\b[^>]*>(.*?)</main\\s*>', 1)"
 @_query("page_article_text", f"SELECT id, sha256(CASE WHEN length({_MAIN}) > 100 THEN {_MAIN} ELSE {_BODY} END) AS text FROM {_PAGES}")
 def page_article_text(spark, sf):
     h = F.col("html")
-    return _pages(spark, sf).select("id", F.sha2(F.coalesce(H.first_substantial([H.element_text(h, "article"), H.element_text(h, "main")]), H.body_text(h)), 256).alias("text"))
+    return _pages(spark, sf).select("id", F.sha2(F.coalesce(H.first_substantial([H.element_text(h, "main"), H.element_text(h, "article")]), H.body_text(h)), 256).alias("text"))
 
 
-@_query("page_dom_text")
+_LINES = f"list_filter(list_transform(string_split(coalesce(content, ''), chr(10)), lambda l: {S.strip('l')}), lambda l: l <> '')"
+_DOM = f"array_to_string({_LINES}, chr(10))"
+
+
+@_query("page_dom_text", f"SELECT id, sha256(CASE WHEN length({_DOM}) > 100 THEN {_DOM} ELSE array_to_string(list_filter([{S.strip(chr(99) + 'oalesce(url, ' + chr(39) * 2 + ')')}], lambda l: l <> '') || {_LINES}, chr(10)) END) AS text, CASE WHEN length({_DOM}) > 100 THEN 'main' ELSE 'body' END AS method, 0::BIGINT AS tables_found FROM {_PAGES}")
 def page_dom_text(spark, sf):
     p = _pages(spark, sf).select("id", H.page_parts(F.col("html")).alias("p"))
     return p.select("id", F.sha2("p.text", 256).alias("text"), "p.method", F.size("p.tables").cast("bigint").alias("tables_found"))
@@ -179,10 +182,12 @@ def kb_stats_by_type(spark, sf):
     return _t(spark, sf, "documents").groupBy(X.or_default(F.col("content_type"), "unknown").alias("content_type")).agg(F.count("*").alias("documents"), F.max("scraped_at").alias("latest"), F.count_distinct(F.coalesce("title", F.lit(""))).alias("titles"))
 
 
-@_query("kb_stats_nested")
+@_query("kb_stats_nested", """SELECT CAST(sum(n) AS BIGINT) AS total_documents, CAST(to_json(map_from_entries(list({'k': t, 'v': n} ORDER BY t))) AS VARCHAR) AS content_types, max(latest) AS latest_scrape
+FROM (SELECT coalesce(nullif(content_type, ''), 'unknown') AS t, count(*) AS n, max(scraped_at) AS latest FROM documents GROUP BY 1)""")
 def kb_stats_nested(spark, sf):
     g = kb_stats_by_type(spark, sf)
-    return g.agg(F.sum("documents").alias("total_documents"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("content_type", "documents")))).alias("content_types"), F.max("latest").alias("latest_scrape"))
+    types = F.map_from_entries(F.sort_array(F.collect_list(F.struct("content_type", "documents"))))
+    return g.agg(F.sum("documents").alias("total_documents"), F.to_json(types).alias("content_types"), F.max("latest").alias("latest_scrape"))
 
 
 @_query("rag_stats", f"SELECT count(*) AS chunks, count(DISTINCT doc_id) AS documents, 512 AS chunk_size, 50 AS overlap FROM {_CHUNKS}")
@@ -287,17 +292,12 @@ def vector_sources_top3(spark, sf):
 
 @_query("vector_index_roundtrip", "SELECT count(*) AS vectors, count(DISTINCT label) AS labels FROM embeddings")
 def vector_index_roundtrip(spark, sf):
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/weftline/index-{uuid.uuid4().hex}"
+    path = new_path(spark, "index")
     e = _t(spark, sf, "embeddings")
     tables.rebuild(spark, e, e, path)
     return tables.load_or_empty(spark, path, "vec_id bigint, embedding array<float>, label int").agg(F.count("*").alias("vectors"), F.count_distinct("label").alias("labels"))
 
 
-@_query("embed_hashed")
-def embed_hashed(spark, sf):
-    return retrieval.embed(_t(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", F.size("embedding").alias("width"), "embed_error")
-
-
 _PIECE = f"concat('[Source: ', coalesce(nullif(role, ''), 'Unknown'), ']', chr(10), {S.strip('content')})"
 _PACKED = f"""(SELECT * FROM (SELECT conversation_id, id, created_at, {_PIECE} AS piece, sum(length({_PIECE})) OVER (PARTITION BY conversation_id ORDER BY created_at NULLS FIRST, id ROWS UNBOUNDED PRECEDING) AS used
 FROM (SELECT DISTINCT conversation_id, id, role, content, created_at FROM messages WHERE conversation_id IS NOT NULL) WHERE {S.strip('content')} <> '') WHERE used <= 1500)"""
@@ -371,23 +371,22 @@ def _answered(spark, sf):
     return chat.generate(p).withColumn("user_id", F.lit(None).cast("string"))
 
 
-@_query("generate_batch")
+_QUESTION = "string_split(transcript, chr(10))[-1]"
+_ECHOED = f"list_filter(regexp_split_to_array({_QUESTION}, '{S.SPACE}+'), lambda w: w <> '')[1:500]"
+_ROW_ID = "sha256(concat_ws('|', conversation_id, role, said, '" + AS_OF + "'))"
+
+
+@_query("generate_batch", f"SELECT CAST(row_number() OVER (ORDER BY conversation_id) - 1 AS BIGINT) AS idx, conversation_id, 'echo' AS model, CAST(len({_ECHOED}) AS BIGINT) AS tokens_used, sha256(array_to_string({_ECHOED}, ' ')) AS answer, NULL::VARCHAR AS error FROM {_TRANSCRIPT}")
 def generate_batch(spark, sf):
-    return _answered(spark, sf).select("conversation_id", "model", "tokens_used", "error")
+    numbered = chunks.dense_ids(_answered(spark, sf).select("conversation_id", "model", "tokens_used", F.sha2("content", 256).alias("answer"), "error"), ["conversation_id"], "idx")
+    return numbered.orderBy("idx").select("idx", "conversation_id", "model", "tokens_used", "answer", "error")
 
 
-@_query("chat_pipeline")
+@_query("chat_pipeline", f"""SELECT {_ROW_ID} AS id, conversation_id, role, model_used FROM (SELECT conversation_id, 'user' AS role, {_QUESTION} AS said, NULL AS model_used FROM {_TRANSCRIPT} UNION ALL SELECT conversation_id, 'assistant', array_to_string({_ECHOED}, ' '), 'echo' FROM {_TRANSCRIPT})""")
 def chat_pipeline(spark, sf):
     return chat.message_rows(_answered(spark, sf), F.to_timestamp_ntz(F.lit(AS_OF))).select("id", "conversation_id", "role", "model_used")
 
 
-@_query("model_priority", "SELECT 'none' AS requested, 'b' AS name UNION ALL SELECT 'c', 'c' UNION ALL SELECT 'a', 'b'")
-def model_priority(spark, sf):
-    m = spark.createDataFrame([("a", 0, False), ("b", 1, True), ("c", 2, True)], "name string, rank int, available boolean")
-    out = [chat.best_model(m, r).select(F.lit(r or "none").alias("requested"), "name") for r in (None, "c", "a")]
-    return out[0].unionByName(out[1]).unionByName(out[2])
-
-
 @_query("model_statistics", "SELECT model_used, count(*) AS answers, round(avg(response_time), 6) AS avg_seconds, CAST(sum(tokens_used) AS BIGINT) AS tokens FROM messages WHERE model_used IS NOT NULL GROUP BY model_used")
 def model_statistics(spark, sf):
     return _t(spark, sf, "messages").filter("model_used IS NOT NULL").groupBy("model_used").agg(F.count("*").alias("answers"), F.round(F.avg("response_time"), 6).alias("avg_seconds"), F.sum("tokens_used").cast("bigint").alias("tokens"))
@@ -451,10 +450,10 @@ def cascade_delete(spark, sf):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-@_query("profile_update", f"SELECT u.id, coalesce(CASE WHEN length(u.id) > 0 AND c.user_id IS NOT NULL THEN 'has chats' END, u.bio) AS bio, CASE WHEN c.user_id IS NOT NULL THEN TIMESTAMP '{AS_OF}' ELSE u.updated_at END AS updated_at FROM users u LEFT JOIN (SELECT DISTINCT user_id FROM conversations) c ON u.id = c.user_id")
+@_query("profile_update", f"SELECT u.id, u.email, CASE WHEN c.user_id IS NOT NULL THEN 'has chats' ELSE u.bio END AS bio, CASE WHEN c.user_id IS NULL THEN u.phone END AS phone, CASE WHEN c.user_id IS NOT NULL THEN true ELSE u.is_active END AS is_active, CASE WHEN c.user_id IS NOT NULL THEN TIMESTAMP '{AS_OF}' ELSE u.updated_at END AS updated_at FROM users u LEFT JOIN (SELECT DISTINCT user_id FROM conversations) c ON u.id = c.user_id")
 def profile_update(spark, sf):
-    patch = _t(spark, sf, "conversations").filter("user_id IS NOT NULL").select(F.col("user_id").alias("id"), F.lit("has chats").alias("bio"), F.lit(True).alias("is_active"))
-    return tables.updated(_t(spark, sf, "users"), patch, at=F.to_timestamp_ntz(F.lit(AS_OF))).select("id", "bio", "updated_at")
+    patch = _t(spark, sf, "conversations").filter("user_id IS NOT NULL").select(F.col("user_id").alias("id"), F.lit("has chats").alias("bio"), F.lit(None).cast("string").alias("phone"), F.lit(True).alias("is_active"), F.lit("x@y.z").alias("email"))
+    return tables.updated(_t(spark, sf, "users"), patch, at=F.to_timestamp_ntz(F.lit(AS_OF))).select("id", "email", "bio", "phone", "is_active", "updated_at")
 
 
 @_query("cache_then_db", "SELECT coalesce(c.c_custkey, s.s_suppkey) AS key, coalesce(s.s_acctbal, c.c_acctbal) AS value, CASE WHEN s.s_suppkey IS NOT NULL THEN 0 ELSE 1 END::BIGINT AS source FROM customer c FULL JOIN supplier s ON c.c_custkey = s.s_suppkey")
@@ -507,25 +506,11 @@ def props_json(spark, sf):
     return _t(spark, sf, "events").groupBy(F.expr("try_variant_get(try_parse_json(props), '$.k', 'bigint')").alias("k")).agg(F.count("*").alias("n"))
 
 
-@_query("json_shape_dispatch", "SELECT * FROM (VALUES (1, 'x'), (2, 'y'), (3, '{\"error\":\"z\"}')) t(i, text)")
-def json_shape_dispatch(spark, sf):
-    d = spark.createDataFrame([(1, '[{"generated_text":"x"}]'), (2, '{"generated_text":"y"}'), (3, '{"error":"z"}')], "i int, j string")
-    return d.select("i", X.generated_text(F.col("j")).alias("text"))
-
-
 @_query("fee_amounts", r"SELECT pair_id, updated_at, coalesce(CAST(nullif(regexp_replace(regexp_extract(answer, '₹([0-9,]+)', 1), '[^0-9]', '', 'g'), '') AS BIGINT), -1) AS amount, coalesce(CAST(nullif(regexp_extract(answer, '(\d+)%', 1), '') AS BIGINT), -1) AS share FROM fees_data")
 def fee_amounts(spark, sf):
     return _t(spark, sf, "fees_data").select("pair_id", "updated_at", F.coalesce(X.money(F.regexp_extract("answer", "₹([0-9,]+)", 1)), F.lit(-1)).alias("amount"), F.coalesce(X.percentage(F.col("answer")), F.lit(-1)).alias("share"))
 
 
-@_query("nested_catalogue", "SELECT * FROM (VALUES ('CS', 250000::BIGINT, 25000::BIGINT), ('ME', 225000::BIGINT, -1)) t(branch, annual, admission)")
-def nested_catalogue(spark, sf):
-    j = '{"programs": {"engineering": {"branches": [{"branch": "CS", "annual": "₹2,50,000", "extra": {"admission": "₹25,000"}}, {"branch": "ME", "annual": "₹2,25,000", "extra": {}}]}}}'
-    schema = "programs struct<engineering: struct<branches: array<struct<branch: string, annual: string, extra: struct<admission: string>>>>>"
-    d = spark.createDataFrame([(j,)], "j string").select(F.from_json("j", schema).alias("d")).select(F.explode("d.programs.engineering.branches").alias("b"))
-    return d.select("b.branch", X.money(F.col("b.annual")).alias("annual"), F.coalesce(X.money(F.col("b.extra.admission")), F.lit(-1)).alias("admission"))
-
-
 @_query("hour_bucket", "SELECT CASE WHEN hour(ts) < 12 THEN 'morning' WHEN hour(ts) < 17 THEN 'afternoon' ELSE 'evening' END AS daytime, count(*) AS n FROM events GROUP BY 1")
 def hour_bucket(spark, sf):
     return _t(spark, sf, "events").groupBy(X.daytime(F.col("ts")).alias("daytime")).agg(F.count("*").alias("n"))
@@ -550,12 +535,8 @@ def _stream_dir(sf: str, name: str) -> str:
     return f"{sf}/{name}.parquet" if os.path.isdir(f"{sf}/{name}.parquet") else sf
 
 
-def _checkpoint(spark) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/weftline/stream-{uuid.uuid4().hex}"
-
-
 def _streamed(spark, stream: DataFrame, mode: str) -> DataFrame:
-    return stateful.run_once(stream, f"s_{uuid.uuid4().hex}", mode, _checkpoint(spark))
+    return stateful.run_once(stream, new_path(spark, "stream"), mode)
 
 
 @_query("stream_lockout", _LOCKOUT)
@@ -564,17 +545,17 @@ def stream_lockout(spark, sf):
     return _streamed(spark, stateful.stream_lockouts(e), "append").select(F.col("k").cast("bigint").alias("user_id"), F.col("locked_at").cast("timestamp_ntz").alias("locked_at"))
 
 
-@_query("stream_dedup", "SELECT count(*) AS users FROM (SELECT DISTINCT user_id FROM events)")
+@_query("stream_dedup", "SELECT DISTINCT user_id FROM events")
 def stream_dedup(spark, sf):
     e = _stream(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("t"))
-    return _streamed(spark, stateful.stream_first(e, "user_id", "t", "400 days"), "append").agg(F.count("*").alias("users"))
+    return _streamed(spark, stateful.stream_first(e, "user_id", "t", "400 days"), "append").select("user_id")
 
 
-@_query("stream_history", "SELECT conversation_id AS c, least(50, count(*)) AS kept FROM messages WHERE conversation_id IS NOT NULL AND created_at IS NOT NULL GROUP BY 1")
+@_query("stream_history", "SELECT conversation_id AS c, least(50, count(*)) AS kept, sha256(coalesce(arg_max(coalesce(content, ''), (created_at, id, content)), '')) AS newest FROM messages WHERE conversation_id IS NOT NULL AND created_at IS NOT NULL GROUP BY 1")
 def stream_history(spark, sf):
     m = _stream(spark, sf, "messages").filter("conversation_id IS NOT NULL AND created_at IS NOT NULL").select(F.col("conversation_id").alias("c"), "id", "content", F.col("created_at").cast("timestamp").alias("t"))
     s = _streamed(spark, stateful.stream_history(m), "update")
-    return s.groupBy("c").agg(F.max("kept").alias("kept"))
+    return s.groupBy("c").agg(F.max("kept").alias("kept"), F.sha2(F.max_by("last", "kept"), 256).alias("newest"))
 
 
 _TUMBLING = "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"

@@ -12,12 +12,21 @@ class Settings:
 
     chunk_size: int = 512
     chunk_overlap: int = 50
-    top_k: int = 5
-    max_history: int = 50
+    top_k_results: int = 5
+    max_conversation_length: int = 50
     temperature: float = 0.7
-    max_tokens: int = 500
-    mfa_enabled: bool = False
-    data_dir: str = "./data"
+    max_tokens: int = 2048
+    enable_mfa: bool = True
+    enable_monitoring: bool = True
+    log_level: str = "INFO"
+    default_model: str = "echo"
+    database_url: str = ""
+    vector_db_path: str = "./data/vectordb/"
+    university_url: str = ""
+    scraping_interval_hours: int = 24
+    cli_history_file: str = ".cli_history"
+    secret_key: str = ""
+    encryption_key: str = ""
 
     @classmethod
     def from_env(cls, env: dict[str, str] | None = None) -> Settings:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +16,8 @@ SCHEMAS = {
     "document_chunks": "id string, university_data_id string, chunk_text string, chunk_index int, vector_id string, created_at timestamp_ntz",
     "audit_logs": "id string, user_id string, action string, resource string, details string, ip_address string, user_agent string, timestamp timestamp_ntz",
 }
-#: Columns of users that a profile update may touch.
-PROFILE = ("full_name", "bio", "phone", "avatar_url", "email")
+#: The columns of users that a profile update may touch.
+PROFILE = ("full_name", "bio", "phone", "avatar_url", "is_active")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,13 +26,22 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load_or_empty(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    """The table at a path; an empty one with this schema if there is none or it can't be read."""
-    try:
-        df = spark.read.schema(ddl).parquet(path)
-        df.limit(1).count()
-        return df
-    except Exception:  # noqa: BLE001
+    """The table at a path; an empty one with this schema if there is none. A table that is there but can't be read is an error."""
+    p, fs = _fs(spark, path)
+    if not fs.exists(p):
         return spark.createDataFrame([], ddl)
+    try:
+        return spark.read.schema(ddl).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":  # gone since
+            return spark.createDataFrame([], ddl)
+        raise
+
+
+def append_rows(rows: DataFrame, path: str, ddl: str) -> None:
+    """Appends rows with the declared columns, in their order and types; columns that aren't given are null, others are left out."""
+    fields = rows.sparkSession.createDataFrame([], ddl).schema
+    rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]).write.mode("append").parquet(path)
 
 
 def create_tables(spark: SparkSession, names: tuple[str, ...] = tuple(SCHEMAS)) -> None:
@@ -71,6 +81,13 @@ def _delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def _rename(spark: SparkSession, path: str, to: str) -> None:
+    """A move that failed is an error: file systems tell by a value only."""
+    p, fs = _fs(spark, path)
+    if not fs.rename(p, _fs(spark, to)[0]):
+        raise OSError(f"could not move {path} to {to}")
+
+
 def swap_in(spark: SparkSession, tables: dict[str, DataFrame]) -> None:
     """Replaces several tables: all are written aside first, and only then moved into place.
 
@@ -80,24 +97,37 @@ def swap_in(spark: SparkSession, tables: dict[str, DataFrame]) -> None:
     for path, df in tables.items():
         staged[path] = f"{path.rstrip('/')}-new-{uuid.uuid4().hex}"
         df.write.parquet(staged[path])
-    for path, new in staged.items():
-        target, fs = _fs(spark, path)
-        old = f"{path.rstrip('/')}-old-{uuid.uuid4().hex}"
-        if fs.exists(target):
-            fs.rename(target, _fs(spark, old)[0])
-        fs.rename(_fs(spark, new)[0], target)
+    moved: list[tuple[str, str]] = []
+    try:
+        for path, new in staged.items():
+            target, fs = _fs(spark, path)
+            old = f"{path.rstrip('/')}-old-{uuid.uuid4().hex}"
+            if fs.exists(target):
+                _rename(spark, path, old)
+                moved.append((old, path))
+            _rename(spark, new, path)
+    except Exception:
+        # Back to what was there; nothing old has been deleted yet.
+        for old, path in reversed(moved):
+            _delete(spark, path)
+            _rename(spark, old, path)
+        raise
+    for old, _ in moved:
         _delete(spark, old)
 
 
 def updated(table: DataFrame, patch: DataFrame, key: str = "id", columns: tuple[str, ...] = PROFILE, at: Column | None = None) -> DataFrame:
-    """Rows of ``table`` with the allowed columns that ``patch`` gives; a null in the patch keeps the old value. updated_at moves where a row is patched."""
+    """Rows of ``table`` with the allowed columns that ``patch`` has, null where the patch says null; updated_at moves where a row is patched.
+
+    A column that the patch lacks is kept. Of several patches of a key one counts as a whole, the greatest in the order of its columns.
+    """
     given = [c for c in columns if c in patch.columns and c in table.columns]
-    p = patch.groupBy(key).agg(*[F.max(c).alias(f"_new_{c}") for c in given], F.lit(True).alias("_hit"))
+    p = patch.groupBy(key).agg(F.max(F.struct(*[F.col(c).alias(f"_new_{c}") for c in given], F.lit(0).alias("_0"))).alias("_p"), F.lit(True).alias("_hit")).select(key, "_p.*", "_hit")
     out = table.join(p, key, "left")
     cols = []
     for c in table.columns:
         if c in given:
-            cols.append(F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c))
+            cols.append(F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c))
         elif c == "updated_at" and at is not None:
             cols.append(F.when(F.col("_hit"), at).otherwise(F.col(c)).alias(c))
         else:
@@ -134,6 +164,9 @@ def rebuild(spark: SparkSession, base: DataFrame, derived: DataFrame, path: str)
     return True
 
 
-def clear(spark: SparkSession, path: str) -> None:
-    """Removes a table's rows."""
-    _delete(spark, path)
+def clear(spark: SparkSession, path: str, ddl: str | None = None, key: str | None = None, value=None) -> None:
+    """Removes a table's rows, or those whose ``key`` is ``value`` (``ddl`` is needed then); rows with a null key stay."""
+    if key is None:
+        _delete(spark, path)
+    else:
+        swap_in(spark, {path: load_or_empty(spark, path, ddl).filter(~F.coalesce(F.col(key) == value, F.lit(False)))})

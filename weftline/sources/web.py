@@ -6,10 +6,24 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Which sections of a site hold which type of content.
 SECTIONS = (("/admissions/", "admission"), ("/courses/", "courses"), ("/about/", "about"), ("/facilities/", "facilities"), ("/academics/", "courses"), ("/programs/", "courses"), ("/engineering/", "courses"), ("/management/", "courses"))
+#: The two pages that are no sections, by the end of their path.
+SPECIAL = (("fee-structure", "fee_structure"), ("faculty", "faculty"))
+
+
+def section_types(spark) -> DataFrame:
+    """(path, kind): the static assignment of types to paths; ten rows."""
+    return spark.createDataFrame([*SECTIONS, *SPECIAL], "path string, kind string")
+
+
+def fetched(pages: DataFrame, least: int = 100) -> DataFrame:
+    """The pages that came with status 200 and at least ``least`` characters; failures are left out, not raised."""
+    return pages.filter((F.col("status") == 200) & (F.length("html") >= least))
 
 
 class PageSource(DataSource):

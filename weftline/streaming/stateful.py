@@ -39,8 +39,10 @@ def stream_history(turns: DataFrame, *, keep: int = 50) -> DataFrame:
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(pdfs)).sort_values(["t", "id"])
-        held = (held + [x or "" for x in rows["content"]])[-keep:]
+        new = None
+        for pdf in pdfs:  # never more than one Arrow batch and the rows kept
+            new = pd.concat([x for x in (new, pdf) if x is not None]).sort_values(["t", "id"]).tail(keep)
+        held = (held + [x or "" for x in new["content"]])[-keep:]
         state.update((held,))
         yield pd.DataFrame({"c": [key[0]], "kept": [len(held)], "last": [held[-1]]})
 
@@ -64,8 +66,18 @@ def session_counts(events: DataFrame, ts: str, by: str, gap: str = "30 minutes")
     return events.withColumn("_t", F.col(ts).cast("timestamp")).groupBy(F.session_window("_t", gap), by).agg(F.count("*").alias("n")).select(by, F.col("session_window.start").alias("started"), "n")
 
 
-def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Drives a stream over all that is there and returns its result table."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(stream: DataFrame, path: str, mode: str) -> DataFrame:
+    """Drives a stream over all that is there and returns its result, which is written below ``path`` with the checkpoint.
+
+    Each micro-batch replaces its own folder, so a batch that is run again counts once; in complete mode all share one folder.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={0 if mode == 'complete' else number}")
+
+    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark = stream.sparkSession
+    out = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/out")
+    if not out.getFileSystem(spark._jsc.hadoopConfiguration()).exists(out):  # no batch came
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{path}/out").drop("batch")
