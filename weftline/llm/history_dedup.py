@@ -23,17 +23,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialize, shared_dir, site_of
+from weftline.llm.common import guarded_broadcast, materialize, shared_dir, site_of
 from weftline.llm.main_body import Cutter, load_cutter, split_lines, style_tree, with_low
 
 LEAST_CHARS, SAME = 200, 0.8
 LONG_RUN, SHORT_RUN, SHORT_BODY = 6, 3, 200
 #: Sizes of the sketches of long and of short runs; how many of its rarest shared runs a body looks for, and how many must meet.
 LONG_SKETCH, SHORT_SKETCH, RAREST, MET = 32, 16, 8, 2
-#: How many paragraphs of a body must have the same earliest holder for a comparison with that.
-LED = 4
+#: How many of the first so many paragraphs of a sketch must have the same earliest holder for a comparison with that.
+LEADING, LED = 16, 2
 #: Into how many loads of whole days p4_found divides a table, and the buckets of its history.
-LOADS, BUCKETS = 3, 12
+LOADS, BUCKETS = 2, 12
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -163,23 +163,33 @@ def decide(edges: DataFrame) -> DataFrame:
             return cases.distinct()
 
 
+def _words(signed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(h, words) of the records of ``wanted`` (h, t); the words stay where they are if what is wanted fits a broadcast."""
+    wanted = guarded_broadcast(materialize(wanted.select("h", "t"), "words-wanted"))
+    return signed.select("h", "t", "words").join(wanted, ["h", "t"], "left_semi").select("h", "words")
+
+
 def _with_leaders(holders: DataFrame) -> DataFrame:
-    """(h, to_h, new) of new records and the earliest holders of their paragraphs that lead at least LED of them."""
-    leader = holders.groupBy("run").agg(F.min(F.struct("new", "t", "h")).alias("r")).select("run", F.col("r.new").alias("to_new"), F.col("r.t").alias("to_t"), F.col("r.h").alias("to_h"))
-    met = holders.filter("new").select("run", "h", "t").join(leader, "run").filter("to_h <> h AND (to_t < t OR NOT to_new)")
-    return met.groupBy("h", "to_h").agg(F.count_distinct("run").alias("met"), F.bool_and("to_new").alias("new")).filter(F.col("met") >= LED).select("h", "to_h", "new")
+    """(h, to_h, new) of new records and the earliest holders of their leading paragraphs that lead at least LED of them."""
+    # One exchange by paragraph serves the leaders and the join with them.
+    rows = holders.filter("leading").select("run", "h", "t", "new").repartition("run")
+    leader = rows.groupBy("run").agg(F.min(F.struct("new", "t", "h")).alias("r"), F.count("*").alias("n")).filter("n > 1").select("run", F.col("r.new").alias("to_new"), F.col("r.t").alias("to_t"), F.col("r.h").alias("to_h"))
+    # One row a paragraph on the side that is hashed, so no key of it is hot.
+    met = rows.filter("new").join(leader.hint("shuffle_hash"), "run").filter("to_h <> h AND (to_t < t OR NOT to_new)")
+    return met.groupBy("h", "to_h").agg(F.count("*").alias("met"), F.bool_and("to_new").alias("new")).filter(F.col("met") >= LED).select("h", "to_h", "new")
 
 
 def _with_rarest(holders: DataFrame, asking: DataFrame | None = None) -> DataFrame:
     """(h, to_h, new) of new records, or of those ``asking``, and all earlier holders of at least MET of their rarest shared paragraphs."""
-    shared = holders.groupBy("run").agg(F.count("*").alias("n"), F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("run", "n")
-    mine = holders.filter("new").select("run", "h", "t")
+    rows = holders.select("run", "h", "t", "new").repartition("run")
+    shared = rows.groupBy("run").agg(F.count("*").alias("n")).filter("n > 1")
+    mine = rows.filter("new").select("run", "h", "t")
     if asking is not None:
         mine = mine.join(asking, "h", "left_semi")
-    rarest = F.slice(F.array_sort(F.collect_set(F.struct("n", "run"))), 1, RAREST)
-    sought = mine.join(shared, "run").groupBy("h").agg(F.min("t").alias("t"), rarest.alias("r")).select("h", "t", F.explode("r.run").alias("run"))
-    met = sought.join(holders.select("run", F.col("h").alias("to_h"), F.col("t").alias("to_t"), F.col("new").alias("to_new")), "run").filter("to_h <> h AND (to_t < t OR NOT to_new)")
-    return met.groupBy("h", "to_h").agg(F.count_distinct("run").alias("met"), F.bool_and("to_new").alias("new")).filter(F.col("met") >= MET).select("h", "to_h", "new")
+    rarest = F.slice(F.array_sort(F.collect_list(F.struct("n", "run"))), 1, RAREST)
+    sought = mine.join(shared.hint("shuffle_hash"), "run").groupBy("h", "t").agg(rarest.alias("r")).select("h", "t", F.explode("r.run").alias("run"))
+    met = sought.join(rows.select("run", F.col("h").alias("to_h"), F.col("t").alias("to_t"), F.col("new").alias("to_new")), "run").filter("to_h <> h AND (to_t < t OR NOT to_new)")
+    return met.groupBy("h", "to_h").agg(F.count("*").alias("met"), F.bool_and("to_new").alias("new")).filter(F.col("met") >= MET).select("h", "to_h", "new")
 
 
 class History:
@@ -189,7 +199,7 @@ class History:
     given again. A folder that isn't there is an empty history; any other failure to read is one.
     """
 
-    _TABLES = {"exact": ("exact long, h long, load string", "exact"), "runs": ("run long, h long, t timestamp_ntz, load string", "run"), "bodies": ("h long, words array<int>, load string", "h")}
+    _TABLES = {"exact": ("exact long, h long, load string", "exact"), "runs": ("run long, h long, t timestamp_ntz, leading boolean, load string", "run"), "bodies": ("h long, words array<int>, load string", "h")}
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64) -> None:
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
@@ -220,12 +230,15 @@ class History:
         for t in self._TABLES:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{t}")
 
-    def _agreeing(self, pairs: DataFrame, words: DataFrame) -> DataFrame:
-        """Those of ``pairs`` (h, to_h, new) that agree word for word, with the words of the batch (h, words) and of the history."""
+    def _agreeing(self, pairs: DataFrame, own: DataFrame, signed: DataFrame) -> DataFrame:
+        """Those of ``pairs`` (h, to_h, new) that agree word for word, with the words of the batch and of the history."""
         pairs = materialize(pairs, "batch-pairs")
-        wanted = pairs.filter("NOT new").select(F.col("to_h").alias("h")).distinct()
-        theirs = words.unionByName(self.held("bodies").select("h", "words").join(wanted, "h", "left_semi"))
-        both = pairs.join(words, "h").join(theirs.select(F.col("h").alias("to_h"), F.col("words").alias("to_words")), "to_h")
+        wanted = materialize(pairs.select("h", F.lit(True).alias("new")).union(pairs.select("to_h", "new")).distinct(), "batch-wanted")
+        theirs = _words(signed, own.join(wanted.filter("new").select("h"), "h", "left_semi"))
+        if self.loads():
+            theirs = theirs.unionByName(self.held("bodies").select("h", "words").join(wanted.filter("NOT new").select("h"), "h", "left_semi"))
+        theirs = materialize(theirs.dropDuplicates(["h"]), "batch-words")
+        both = pairs.join(theirs, "h").join(theirs.select(F.col("h").alias("to_h"), F.col("words").alias("to_words")), "to_h")
         return both.select("h", "to_h", "new", "words", "to_words").mapInArrow(_agree, "h long, to_h long, new boolean").distinct()
 
     def _refused(self, edges: DataFrame) -> DataFrame:
@@ -251,17 +264,20 @@ class History:
         marked = signed.select("id", "h", "t", "exact").join(first, "exact")
         copies = marked.filter(F.when(F.col("before").isNotNull(), F.col("before") != F.col("h")).otherwise((F.col("first.h") != F.col("h")) & (F.col("first.t") < F.col("t")))).select("id")
         heads = first.filter("before IS NULL").select(F.col("first.h").alias("h"), F.col("first.t").alias("t"), "exact")
-        own = materialize(signed.select("h", "t", "runs", "words").join(heads.select("h", "t"), ["h", "t"], "left_semi"), "batch-heads")
+        # One row of each record; a delivery repeated at the same time is a second one.
+        first_of = materialize(heads.groupBy("h").agg(F.min("t").alias("t")), "batch-first")
+        own = materialize(signed.select("h", "t", "runs").join(guarded_broadcast(first_of), ["h", "t"], "left_semi").dropDuplicates(["h"]), "batch-heads")
         # Shared paragraphs: those of the batch, and the accepted ones in the same buckets.
-        mine = own.select("h", "t", F.explode("runs").alias("run"))
-        held = self.held("runs").select("run", F.col("h"), F.col("t")).join(mine.select("run").distinct(), "run", "left_semi")
-        holders = materialize(mine.select("run", "h", "t", F.lit(True).alias("new")).unionByName(held.select("run", "h", "t", F.lit(False).alias("new"))), "batch-runs")
-        words = own.select("h", "words")
+        mine = materialize(own.select("h", "t", F.posexplode("runs").alias("place", "run")).select("run", "h", "t", (F.col("place") < LEADING).alias("leading")), "batch-runs")
+        holders = mine.withColumn("new", F.lit(True))
+        if self.loads():
+            held = self.held("runs").select("run", "h", "t", "leading").join(mine.select("run").distinct(), "run", "left_semi")
+            holders = holders.unionByName(materialize(held, "held-runs").withColumn("new", F.lit(False)))
         # First the earliest holders of its paragraphs, of which a body has few and a group of copies one; then, without the
         # records these settle, all earlier holders of its rarest ones.
-        edges = materialize(self._agreeing(_with_leaders(holders), words), "batch-leaders")
+        edges = materialize(self._agreeing(_with_leaders(holders), own, signed), "batch-leaders")
         led = edges.select("h").distinct()
-        edges = materialize(edges.unionByName(self._agreeing(_with_rarest(holders.join(led, "h", "left_anti")), words)), "batch-edges")
+        edges = materialize(edges.unionByName(self._agreeing(_with_rarest(holders.join(led, "h", "left_anti")), own, signed)), "batch-edges")
         near = self._refused(edges)
         while True:
             # Who is accepted though like a refused record looks again, among accepted ones alone.
@@ -269,15 +285,14 @@ class History:
             if doubtful.isEmpty():
                 break
             again = _with_rarest(holders.join(near, "h", "left_anti"), doubtful).join(edges.select("h", "to_h"), ["h", "to_h"], "left_anti")
-            found = materialize(self._agreeing(again, words), "batch-again")
+            found = materialize(self._agreeing(again, own, signed), "batch-again")
             if found.isEmpty():
                 break
             edges = materialize(edges.unionByName(found), "batch-edges")
             near = self._refused(edges)
         self._append("exact", heads.select("exact", "h"), load)
-        fresh = own.join(near, "h", "left_anti")
-        self._append("runs", fresh.select("h", "t", F.explode("runs").alias("run")).distinct(), load)
-        self._append("bodies", fresh.dropDuplicates(["h"]).select("h", "words"), load)
+        self._append("runs", mine.join(near, "h", "left_anti"), load)
+        self._append("bodies", _words(signed, own.join(near, "h", "left_anti")), load)
         done, fs = self._folder()
         fs.create(self.spark._jvm.org.apache.hadoop.fs.Path(done, load)).close()
         # Copies of a record that isn't accepted aren't either: a near one's exact copies are copies of their first.

@@ -84,6 +84,23 @@ def skeletons(line: str) -> tuple[int, int]:
     return key_of("1" + _DIGITS.sub("0", words[0].lower()) + " " + tail), key_of("2" + tail)
 
 
+#: Lines up to this length come again and again and are remembered.
+SHORT_LINE = 80
+
+
+class Lines(dict):
+    """What is looked at in a line: its look, the key of its letters (0 without any), whether it is a breadcrumb."""
+
+    def __missing__(self, line: str) -> tuple[str, int, bool]:
+        own = letters(line)
+        known = (look(line), key_of(own) if own else 0, _CRUMB.match(line) is not None)
+        if len(line) <= SHORT_LINE:
+            if len(self) >= 200_000:
+                self.clear()
+            self[line] = known
+        return known
+
+
 def split_lines(text: str) -> list[str]:
     return text.split("\n")
 
@@ -91,6 +108,7 @@ def split_lines(text: str) -> list[str]:
 def _tree_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of the nodes of the pages at hand, added up before they are shuffled."""
     counts: dict[tuple[str, int, int], list[int]] = {}
+    known, shown = Lines(), {}
 
     def flush() -> pa.RecordBatch:
         keys = list(counts)
@@ -117,13 +135,20 @@ def _tree_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if not content:
                 continue
             lines = [x for x in split_lines(content) if x.strip()]
-            for node in {key_of(k) for k in map(letters, lines) if k}:
-                add(site, 1, node)
-            looks = [look(x) for x in lines] + ["h"]
+            facts = [known[x] for x in lines]
+            for node in {f[1] for f in facts}:
+                if node:
+                    add(site, 1, node)
+            looks = [f[0] for f in facts] + ["h"]
             for i, x in enumerate(lines):
                 if looks[i] == "h":
                     after, before = int(looks[i + 1] in "pbtl"), int(looks[i - 1] in "pbtl")
-                    for node in skeletons(x):
+                    both = shown.get(x)
+                    if both is None:
+                        if len(shown) >= 200_000:
+                            shown.clear()
+                        shown[x] = both = skeletons(x)
+                    for node in both:
                         add("", 2, node, after, before)
         if len(counts) > 200_000:
             yield flush()
@@ -169,6 +194,7 @@ class Cutter:
     def __init__(self, anywhere: set[int], shown: dict[int, tuple[int, int, int]]) -> None:
         self.anywhere, self.shown = anywhere, shown
         self._memo: dict[str, tuple[float, float]] = {}
+        self._lines = Lines()
 
     def body_near(self, line: str) -> tuple[float, float]:
         """How often body text follows and precedes the line's presentation node, smoothed by its wider node."""
@@ -191,13 +217,13 @@ class Cutter:
         out: list[int] = []
         general: list[int] = []
         furniture = body = False
+        known = self._lines
         for i, line in enumerate(lines):
-            kind = look(line)
+            kind, key, crumb = known[line]
             if kind == "z":
                 continue
-            own = letters(line)
-            key = key_of(own) if own else 0
-            if (own and key in low) or _CRUMB.match(line):
+            own = key != 0
+            if (own and key in low) or crumb:
                 out.append(i)
                 furniture = kind == "h"
                 continue
