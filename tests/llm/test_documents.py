@@ -150,3 +150,15 @@ def test_scores_of_texts_together_and_alone():
     assert np.allclose(model.texts(texts), alone) and (alone[len(bad) : len(bad) + 3] == abuse.NOTHING).all()
     # The worst stretch of a long passage counts: plain words around it change little.
     assert model.text("the hall holds four tables " * 30 + bad[0].split(". ")[0]) >= model.text("the hall holds four tables " * 30) - 1e-6
+
+
+def test_longest_is_the_best_overlap_that_counts():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        item, document = rng.integers(0, 3, int(rng.integers(1, 50))).astype(np.uint64), rng.integers(0, 3, int(rng.integers(1, 80))).astype(np.uint64)
+        words = np.sort(rng.integers(0, len(item), len(item))).astype(np.int32)
+        shifts = np.arange(-len(item), len(document))
+        best = max(leakage.overlap(item, words, document, int(s)) for s in shifts)
+        least = min(leakage.LEAST_WORDS, int(words[-1] - words[0]) + 1)
+        got = leakage.longest(item, words, document, shifts)
+        assert got == best if best >= least else got < least

@@ -138,12 +138,13 @@ def overlap(item: np.ndarray, words: np.ndarray, document: np.ndarray, shift: in
 
 
 def longest(item: np.ndarray, words: np.ndarray, document: np.ndarray, shifts: np.ndarray) -> int:
-    """The best ``overlap`` over all shifts; those with the most agreeing words first, until no other can be better."""
+    """The best ``overlap`` over all shifts, something less if none is long enough to count; those with the most agreeing words first, until no other can be better."""
     same = [int((item[max(0, -s) : len(document) - s] == document[max(0, s) : max(0, s) + len(item[max(0, -s) : len(document) - s])]).sum()) for s in map(int, shifts)]
     best, bare = 0, int(words[-1]) + 1 - len(np.unique(words))
+    least = min(LEAST_WORDS, int(words[-1] - words[0]) + 1)
     for k in np.argsort(same)[::-1]:
         # A stretch has at most one changed part in WORDS_PER_CHANGE, and perhaps the written words without a part.
-        if same[k] * WORDS_PER_CHANGE <= (best - bare) * (WORDS_PER_CHANGE - 1):
+        if same[k] * WORDS_PER_CHANGE < (max(best + 1, least) - bare) * (WORDS_PER_CHANGE - 1):
             break
         best = max(best, overlap(item, words, document, int(shifts[k])))
     return best
