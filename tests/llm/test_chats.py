@@ -214,3 +214,17 @@ def test_refusals_in_other_words_by_their_cluster(spark):
     got = {(r["pair_id"], r["defect"]) for r in P.defective_pairs(fees, none).collect()}
     assert {x for x in got if x[1] == "refusal"} == {(str(k), "refusal") for k in range(len(prompts))}
     assert P.is_copy("Is it open?", "- " * 60 + "Is it open?") and P.is_empty(" " * 60 + "N/A") and not P.is_copy("Is it open?", "It is open until nine. " * 20)
+
+
+def test_declining_is_looked_for_where_it_can_be(monkeypatch):
+    def in_each_sentence(answer):
+        text = P._LEAD.sub("", answer)
+        return any(P._declining(" ".join(P.mask_words(s))) or bool(P._REFUSE_LATIN.search(s)) for s in P.sentences(text.replace("’", "'")))
+
+    rnd = random.Random(12)
+    parts = "I can't cannot Not not, no comment comment, pass on off limits declıne refuſe outside help answer this question. Sorry sorry, Leider! no puedo nicht sagen désolé Rs. 5 \n ? fees are due".split(" ")
+    texts = [" ".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 14))) for _ in range(3000)]
+    assert [P.declines(t) for t in texts] == [in_each_sentence(t) for t in texts] and 0 < sum(map(P.declines, texts)) < 3000
+    # An answer without a word of declining costs neither sentences nor masks.
+    monkeypatch.setattr(P, "sentences", lambda text: 1 / 0)
+    assert not P.declines("The fee is Rs. 500. It is due on 3 May at the office of the registrar.")

@@ -34,7 +34,12 @@ _ACT = r"(?:answer|answered|reply|respond|help|assist|comment|discuss|share|prov
 _NEG = r"(?:can(?:no|')?t|cannot|can not|could not|couldn't|unable|not able|won't be able|will not|won't|not allowed|not permitted|not appropriate|inappropriate|not in a position|no comment|decline|declining|refuse|prevent\w*|outside|beyond|pass on|do not have permission|don't have permission|not authori[sz]ed|must not|may not|rather not|not something|restricted from|forbidden|not free|not going to|off limits)"
 _SELF = r"(?:\bi\b|\bi'm\b|\bmy\b|\bme\b|\bthis assistant\b|\bassistant\b|\bas an? \w+|\bsorry\b|\bapolog\w+|\bunfortunately\b|\bregret\w*|\bthis one\b|\bmyself\b|\bafraid\b)"
 _REFUSE = (re.compile(r"\b" + _NEG + r"\b", re.I), re.compile(r"\b" + _ACT + r"\b", re.I), re.compile(_SELF, re.I))
+#: One of these stands, within a word, in whatever the first pattern matches.
+_STEMS = ("not", "can't", "cant", "n't", "unable", "inappropriate", "comment", "declin", "refuse", "prevent", "outside", "beyond", "pass", "restricted", "forbidden", "limits")
 _REFUSE_LATIN = re.compile(r"no puedo|lo siento|no me es posible|je ne (?:peux|suis)|je regrette|désolé|nicht (?:beantworten|helfen|sagen)|leider|tut mir leid|darf ich nicht|maaf kij|nahin? (?:bata|de) sakt", re.I)
+#: The same phrases as far as ASCII spells them.
+_REFUSE_PLAIN = ("no puedo", "lo siento", "no me es posible", "je ne peux", "je ne suis", "je regrette", "nicht beantworten", "nicht helfen", "nicht sagen", "leider", "tut mir leid", "darf ich nicht", "maaf kij",
+                 "nahi bata sakt", "nahin bata sakt", "nahi de sakt", "nahin de sakt")
 _REFUSE_OTHER = re.compile(
     r"नहीं दे सकता|नहीं कर सकता|क्षमा करें|माफ़? ?कीजि|抱歉|无法回答|不能回答|无法提供|對不起|对不起", re.I)
 _HOLE = re.compile(r"<[a-z]{2,8}>|\{\w+\}|\[\w+\]")
@@ -61,25 +66,28 @@ _ASKED = {
 }
 _ASKED_OF = {k: re.compile(rf"(?<!\w)(?:{v})(?!\w)" if k != "zh" else v, re.I) for k, v in _ASKED.items()}
 _TOKEN = re.compile(r"[^\W\d_]+")
+#: ASCII text in lower case with blanks for all but letters; and what letters() takes out of it.
+_WORDS = bytes(ord(chr(i).lower()) if i < 128 and chr(i).isalpha() else 32 for i in range(256))
+_LOWER, _NO_LETTER = bytes(range(128)).lower() + bytes(range(128, 256)), bytes(i for i in range(128) if not chr(i).isalnum())
 _ANY_SCRIPT = re.compile("|".join(p.pattern for _, p in _SCRIPTS))
 
 
 def language(text: str) -> tuple[str | None, float]:
     """Likeliest language and the evidence for it; None where a text says too little."""
-    if _ANY_SCRIPT.search(text):
+    plain = text.isascii()
+    if not plain and _ANY_SCRIPT.search(text):
         latin = len(re.findall(r"[a-z]", text))
         for lang, pattern in _SCRIPTS:
             n = len(pattern.findall(text))
             if n >= 2 and n * (4 if lang in ("zh", "ja", "ko") else 1) >= latin * 0.5:
                 return lang, float(n)
     score: dict[str, float] = {}
-    for part in _TOKEN.findall(text.lower()):
-        of = _FUNCTION_OF.get(part)
-        if of:
-            for lang in of:
-                score[lang] = score.get(lang, 0.0) + 1.0 / len(of)
-    if not text.isascii():
-        low = text.lower()
+    low = text.lower()
+    words = text.encode().translate(_WORDS).decode().split() if plain else _TOKEN.findall(low)
+    for of in filter(None, map(_FUNCTION_OF.get, words)):
+        for lang in of:
+            score[lang] = score.get(lang, 0.0) + 1.0 / len(of)
+    if not plain:
         for lang, marks in _MARKS.items():
             n = sum(low.count(c) for c in marks)
             if n:
@@ -92,6 +100,8 @@ def language(text: str) -> tuple[str | None, float]:
 
 
 def letters(text: str) -> str:
+    if text.isascii():
+        return text.encode().translate(_LOWER, _NO_LETTER).decode()
     return _LETTER.sub("", text.lower())
 
 
@@ -114,7 +124,7 @@ def is_copy(question: str | None, answer: str) -> bool:
     # The letters of an answer that goes far beyond the question are more than those of the question twice, and of a lead.
     if len(answer) > 2 * len(question) + 60 and len(letters(answer)) > 2 * len(q) + 60:
         return False
-    for text in (answer, _COPY_LEAD.sub("", answer)):
+    for text in dict.fromkeys((answer, _COPY_LEAD.sub("", answer))):
         a = letters(text)
         if a and q and (a == q or (len(a) >= 12 and a in q and len(a) * 2 >= len(q)) or a == q + q):
             return True
@@ -150,7 +160,15 @@ def declines(answer: str) -> bool:
     text = _LEAD.sub("", answer)
     if not text.isascii() and _ANY_SCRIPT.search(text) and _REFUSE_OTHER.search(text):
         return True
-    return any(_DECLINING[" ".join(mask_words(s))] or bool(_REFUSE_LATIN.search(s)) for s in sentences(text.replace("’", "'")))
+    text = text.replace("’", "'")
+    low = text.lower()
+    # These phrases hold no sign that ends a sentence, so they needn't be looked for in each by itself.
+    if any(map(low.__contains__, _REFUSE_PLAIN)) if text.isascii() else _REFUSE_LATIN.search(text):
+        return True
+    # Patterns take the long s and the dotless i for ASCII letters.
+    if not any(map(low.__contains__, _STEMS)) and "ſ" not in low and "ı" not in low:
+        return False
+    return any(_DECLINING[" ".join(mask_words(s))] for s in sentences(text))
 
 
 def _masked(word: str) -> str:
@@ -168,16 +186,20 @@ def _masked(word: str) -> str:
 _MASKED = _Memo(_masked)
 
 
-def mask_words(text: str) -> list[str]:
+def mask_words(text: str, most: int | None = None) -> list[str]:
+    """The masked words of a text, or the first ``most`` of them."""
     words = text.split()
     if not words:
         return []
     first = words[0].lower().strip(",;:()\"")
     out = [first] if first else []
-    for w in words[1:]:
-        m = _MASKED[w]
-        if m and not (m in "#@" and out and out[-1] == m):
+    last = first
+    for m in map(_MASKED.__getitem__, words[1:]):
+        if m and (m != last or m not in "#@"):
+            if len(out) == most:
+                break
             out.append(m)
+            last = m
     return out
 
 
@@ -200,7 +222,7 @@ def sentences(text: str) -> list[str]:
 
 
 def opening(answer: str) -> list[str]:
-    return mask_words(_LEAD.sub("", answer))[:OPENING_WORDS]
+    return mask_words(_LEAD.sub("", answer), OPENING_WORDS)
 
 
 def prompt_key(question: str | None) -> int:
@@ -271,7 +293,7 @@ def _assess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             elif is_copy(q, a):
                 defect = "copied_question"
             else:
-                cue, hole = declines(a), bool(_HOLE.search(a))
+                cue, hole = declines(a), ("<" in a or "{" in a or "[" in a) and bool(_HOLE.search(a))
                 # An answer may start by repeating its question, in the question's language.
                 own = a[len(q) :] if q and a.startswith(q) else a
                 lang, _ = language(own)
