@@ -2,11 +2,13 @@
 
 import datetime as dt
 import random
+import re
 from collections import Counter, defaultdict
 from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -270,3 +272,29 @@ def test_excess_is_measured_against_other_sites(spark):
     # The line of one site is held against the sixteen pages of the others; one that is dense everywhere against lines in general.
     assert got == {(f"{s}.example", 8, 0.0, 16) for s in "abc"}
     assert repeated_lines.excess_lines(d).filter("significant").count() >= 6
+
+
+def test_words_and_letters_by_bytes():
+    rnd = random.Random(8)
+    signs = "abzAZ09 _-.,'\n\x00\x1f\x85\xa0é₹—“ßÅſKİΣ²½٣①हिन्दी中"
+    for text in ["".join(rnd.choice(signs) for _ in range(rnd.randrange(1, 80))) for _ in range(2000)]:
+        h = history_dedup.Words()
+        want = re.findall(r"[^\W_]+", text.lower())
+        assert h.of(text).tolist() == [xxhash.xxh3_64_intdigest(w) for w in want] and set(h) == {w.encode() for w in want}
+        assert main_body.letters(text) == re.sub(r"[\W\d_]+", "", text.lower())
+    a = h.of("one two three one two three one two three")
+    assert history_dedup.runs(a, 3, 2).view(np.uint64).tolist() == sorted(set(history_dedup.runs(a, 3, 99).view(np.uint64).tolist()))[:2]
+
+
+def test_rows_of_one_id_and_time_are_told_apart(spark, tmp_path):
+    h = history_dedup.History(spark, str(tmp_path / "h"), buckets=4)
+    a, b = " ".join(words(200, 21)), " ".join(words(200, 22))
+    rows = [(k, f"https://{k}.example", "t", v, T0 + dt.timedelta(minutes=m), *[None] * 5) for m, k, v in ((0, "x", a), (0, "x", b), (0, "x", a), (1, "y", a + " more words"), (2, "z", b + " more words"))]
+    d = spark.createDataFrame(rows, DDL)
+    low, shared = main_body.style_tree(d.select(F.lit("x").alias("site"), "content"))
+    s = materialize(history_dedup.signatures(d, low, spark.sparkContext.broadcast(main_body.load_cutter(shared))), "signed")
+    # The first row of the record counts, with its paragraphs and its words.
+    kept = s.filter("id = 'x'").orderBy("row").first()["words"]
+    like = "y" if kept == s.filter("id = 'y'").first()["words"][:200] else "z"
+    assert s.select("row").distinct().count() == 5 and {r[0] for r in h.accept(s).collect()} == {like}
+    assert h.held("bodies").count() == 2

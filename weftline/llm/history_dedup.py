@@ -34,20 +34,25 @@ LONG_SKETCH, SHORT_SKETCH, RAREST, MET = 32, 16, 8, 2
 LEADING, LED = 16, 2
 #: Into how many loads of whole days p4_found divides a table, and the buckets of its history.
 LOADS, BUCKETS = 2, 12
-_WORD = re.compile(r"[^\W_]+")
+#: What stands between words: ASCII by a table of bytes, the rest by a pattern.
+_BETWEEN = bytes(i if i > 127 or chr(i).isalnum() else 32 for i in range(256))
+_BETWEEN_WIDE = re.compile(r"[^\w\x00-\x7f]+")
 
 
 class Words(dict):
-    """64-bit hashes of words, remembered."""
+    """64-bit hashes of words, the runs of letters and digits of a text in lower case; remembered by their UTF-8."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
 
     def of(self, text: str) -> np.ndarray:
         if len(self) > 300_000:
             self.clear()
-        words = _WORD.findall(text.lower())
+        text = text.lower()
+        if not text.isascii():
+            text = _BETWEEN_WIDE.sub(" ", text)
+        words = text.encode().translate(_BETWEEN).split()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
@@ -63,7 +68,8 @@ def runs(h: np.ndarray, length: int, most: int) -> np.ndarray:
             g = (g ^ (g >> np.uint64(31))) * _MIX + h[k : len(h) - n + 1 + k]
         g = (g ^ (g >> np.uint64(29))) * _MIX
         g ^= g >> np.uint64(32)
-    return np.unique(g)[:most].view(np.int64)
+    g.sort()
+    return g[np.concatenate(([True], g[1:] != g[:-1]))][:most].view(np.int64)
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
@@ -79,9 +85,9 @@ def body_of(content: str, cutter: Cutter, low: set[int]) -> str:
 
 
 def signatures(data: DataFrame, low: DataFrame, cutter) -> DataFrame:
-    """(id, t, h, exact, runs, words) of every judged body: hashes of the id, the whole body, its paragraphs and its words.
+    """(id, t, h, exact, runs, words, row) of every judged body: hashes of the id, the whole body, its paragraphs and its words.
 
-    Bodies under LEAST_CHARS characters, null and blank content have none.
+    ``row`` tells rows of one id and time apart, once the table is written. Bodies under LEAST_CHARS characters, null and blank content have none.
     """
     pages = data.select("id", site_of(F.col("url")).alias("site"), "content", F.col("scraped_at").cast("timestamp_ntz").alias("t"), F.xxhash64("id").alias("h"))
 
@@ -110,7 +116,7 @@ def signatures(data: DataFrame, low: DataFrame, cutter) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0), rows.column(3), rows.column(4), pa.array(exact, pa.int64()), pa.array(marks, pa.list_(pa.int64())), pa.array(spelled, pa.list_(pa.int32()))], names=["id", "t", "h", "exact", "runs", "words"])
 
-    return with_low(pages, low).select("id", "site", "content", "t", "h", "low").mapInArrow(sign, "id string, t timestamp_ntz, h long, exact long, runs array<long>, words array<int>")
+    return with_low(pages, low).select("id", "site", "content", "t", "h", "low").mapInArrow(sign, "id string, t timestamp_ntz, h long, exact long, runs array<long>, words array<int>").withColumn("row", F.monotonically_increasing_id())
 
 
 def common_in_sequence(a: list, b: list) -> int:
@@ -164,9 +170,9 @@ def decide(edges: DataFrame) -> DataFrame:
 
 
 def _words(signed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h, words) of the records of ``wanted`` (h, t); the words stay where they are if what is wanted fits a broadcast."""
-    wanted = guarded_broadcast(materialize(wanted.select("h", "t"), "words-wanted"))
-    return signed.select("h", "t", "words").join(wanted, ["h", "t"], "left_semi").select("h", "words")
+    """(h, words) of the rows of ``wanted`` (row); the words stay where they are if what is wanted fits a broadcast."""
+    wanted = guarded_broadcast(materialize(wanted.select("row"), "words-wanted"))
+    return signed.select("row", "h", "words").join(wanted, "row", "left_semi").select("h", "words")
 
 
 def _with_leaders(holders: DataFrame) -> DataFrame:
@@ -237,7 +243,7 @@ class History:
         theirs = _words(signed, own.join(wanted.filter("new").select("h"), "h", "left_semi"))
         if self.loads():
             theirs = theirs.unionByName(self.held("bodies").select("h", "words").join(wanted.filter("NOT new").select("h"), "h", "left_semi"))
-        theirs = materialize(theirs.dropDuplicates(["h"]), "batch-words")
+        theirs = materialize(theirs, "batch-words")
         both = pairs.join(theirs, "h").join(theirs.select(F.col("h").alias("to_h"), F.col("words").alias("to_words")), "to_h")
         return both.select("h", "to_h", "new", "words", "to_words").mapInArrow(_agree, "h long, to_h long, new boolean").distinct()
 
@@ -256,19 +262,19 @@ class History:
         """
         load = uuid.uuid4().hex
         signed = signed.filter("t IS NOT NULL")
-        key = F.struct("t", "h")
+        key = F.struct("t", "h", "row")
         # Full copies: of a body judged before, or of the first of its kind in the batch.
         first = signed.groupBy("exact").agg(F.min(key).alias("first"))
         before = self.held("exact").select("exact", F.col("h").alias("before"))
         first = materialize(first.join(before, "exact", "left"), "batch-exact")
         marked = signed.select("id", "h", "t", "exact").join(first, "exact")
         copies = marked.filter(F.when(F.col("before").isNotNull(), F.col("before") != F.col("h")).otherwise((F.col("first.h") != F.col("h")) & (F.col("first.t") < F.col("t")))).select("id")
-        heads = first.filter("before IS NULL").select(F.col("first.h").alias("h"), F.col("first.t").alias("t"), "exact")
+        heads = first.filter("before IS NULL").select("exact", "first.*")
         # One row of each record; a delivery repeated at the same time is a second one.
-        first_of = materialize(heads.groupBy("h").agg(F.min("t").alias("t")), "batch-first")
-        own = materialize(signed.select("h", "t", "runs").join(guarded_broadcast(first_of), ["h", "t"], "left_semi").dropDuplicates(["h"]), "batch-heads")
+        own = materialize(heads.groupBy("h").agg(F.min(F.struct("t", "row")).alias("r")).select("h", "r.*"), "batch-first")
         # Shared paragraphs: those of the batch, and the accepted ones in the same buckets.
-        mine = materialize(own.select("h", "t", F.posexplode("runs").alias("place", "run")).select("run", "h", "t", (F.col("place") < LEADING).alias("leading")), "batch-runs")
+        mine = signed.select("h", "t", "runs", "row").join(guarded_broadcast(own.select("row")), "row", "left_semi")
+        mine = materialize(mine.select("h", "t", F.posexplode("runs").alias("place", "run")).select("run", "h", "t", (F.col("place") < LEADING).alias("leading")), "batch-runs")
         holders = mine.withColumn("new", F.lit(True))
         if self.loads():
             held = self.held("runs").select("run", "h", "t", "leading").join(mine.select("run").distinct(), "run", "left_semi")

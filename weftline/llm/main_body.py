@@ -34,8 +34,9 @@ ANYWHERE = 0.003
 SALTS = 32
 
 
-_ASCII_OTHER = bytes(i for i in range(128) if not chr(i).isalpha())
-_OTHER = re.compile(r"[\W\d_]+")
+_ASCII, _ASCII_OTHER = bytes(range(128)), bytes(i for i in range(128) if not chr(i).isalpha())
+_LOWER = bytes(range(128)).lower() + bytes(range(128, 256))
+_OTHER = re.compile(r"[\W\d_]")
 _ITEM = re.compile(r"\s*(?:[-*•‣▪–·»>]|\(?\d{1,3}[.)]|\(?[a-z]\))\s+\S")
 _CRUMB = re.compile(r"\s*[-•*]?\s*home\s*(?:[>›»/|:→\\]|::)\s*\S", re.I)
 _DIGIT, _DIGITS = re.compile(r"\d"), re.compile(r"\d+")
@@ -43,13 +44,24 @@ _TRAIL = re.compile(r"[\s»«›‹\-–•*|]+$")
 _LEAD = re.compile(r"^[\s»«›‹\-–•*|]+")
 
 
+def letter_bytes(line: str) -> bytes:
+    """The letters of a line, lower case, in UTF-8."""
+    if line.isascii():
+        return line.encode().translate(_LOWER, _ASCII_OTHER)
+    out = line.lower().encode("utf-8", "ignore").translate(None, _ASCII_OTHER)
+    # A line has few signs beyond ASCII, and fewer that are no letters.
+    for sign in set(out.translate(None, _ASCII).decode()):
+        if _OTHER.match(sign):
+            out = out.replace(sign.encode(), b"")
+    return out
+
+
 def letters(line: str) -> str:
     """The letters of a line, lower case."""
-    out = line.lower().encode("utf-8", "ignore").translate(None, _ASCII_OTHER).decode()
-    return out if out.isascii() else _OTHER.sub("", out)
+    return letter_bytes(line).decode()
 
 
-def key_of(text: str) -> int:
+def key_of(text: str | bytes) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
@@ -92,7 +104,7 @@ class Lines(dict):
     """What is looked at in a line: its look, the key of its letters (0 without any), whether it is a breadcrumb."""
 
     def __missing__(self, line: str) -> tuple[str, int, bool]:
-        own = letters(line)
+        own = letter_bytes(line)
         known = (look(line), key_of(own) if own else 0, _CRUMB.match(line) is not None)
         if len(line) <= SHORT_LINE:
             if len(self) >= 200_000:
