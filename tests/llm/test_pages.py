@@ -298,3 +298,42 @@ def test_rows_of_one_id_and_time_are_told_apart(spark, tmp_path):
     like = "y" if kept == s.filter("id = 'y'").first()["words"][:200] else "z"
     assert s.select("row").distinct().count() == 5 and {r[0] for r in h.accept(s).collect()} == {like}
     assert h.held("bodies").count() == 2
+
+
+def test_letters_of_lines_and_sketches_of_many_bodies():
+    rnd = random.Random(9)
+    signs = "abzAZ09 _-.,'\n\n\n\x1f\x85\xa0é₹—ßſKİΣ²½٣①हि中"
+    for text in ["".join(rnd.choice(signs) for _ in range(rnd.randrange(0, 90))) for _ in range(1000)]:
+        assert [x.decode() for x in main_body.line_letters(text)] == [main_body.letters(x) for x in text.split("\n")]
+    bodies = [np.array([rnd.randrange(1 << 64) for _ in range(n)], np.uint64) for n in [1, 2, 3, 5, 6, 7, 199, 200, 450, *(rnd.randrange(1, 30) for _ in range(600))]]
+    for h, got in zip(bodies, history_dedup.sketches(bodies), strict=True):
+        want = history_dedup.runs(h, history_dedup.LONG_RUN, history_dedup.LONG_SKETCH).tolist()
+        if len(h) < history_dedup.SHORT_BODY:
+            want += history_dedup.runs(h, history_dedup.SHORT_RUN, history_dedup.SHORT_SKETCH).tolist()
+        assert got.tolist() == want
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 5000), min_size=1, max_size=60), st.lists(st.integers(0, 5000), max_size=9), st.integers(0, 60))
+def test_agreement_is_exact_from_the_least_share_on(a, new, at):
+    b = a[:at] + new + a[at + len(new) :]
+    share = 2 * history_dedup.common_in_sequence(a, b) / (len(a) + len(b))
+    got = history_dedup.agreement(np.array(a, np.int32), np.array(b, np.int32))
+    assert got == share if share >= history_dedup.SAME else got < history_dedup.SAME
+
+
+def test_a_load_reads_its_own_rows_alone(spark, monkeypatch):
+    read = []
+    accept = history_dedup.History.accept
+
+    def seen(self, signed):
+        read.append((signed.count(), spark.read.parquet(*{r[0] for r in signed.select(F.input_file_name()).collect()}).count()))
+        return accept(self, signed)
+
+    monkeypatch.setattr(history_dedup.History, "accept", seen)
+    a, b = " ".join(words(200, 31)), " ".join(words(200, 32))
+    rows = [(k, f"https://{k}.example", "t", v, T0 + dt.timedelta(days=day), *[None] * 5) for day, k, v in ((0, "x", a), (1, "y", b), (8, "z", a), (9, "w", b + " more words"))]
+    got = {r["id"] for r in history_dedup.repeated_records(spark.createDataFrame(rows, DDL).coalesce(1)).collect()}
+    assert got == {"z", "w"}
+    # Nothing but the rows of a load lies in the files it reads.
+    assert read == [(2, 2), (2, 2)]

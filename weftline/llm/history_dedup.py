@@ -36,7 +36,8 @@ LEADING, LED = 16, 2
 LOADS, BUCKETS = 2, 12
 #: What stands between words: ASCII by a table of bytes, the rest by a pattern.
 _BETWEEN = bytes(i if i > 127 or chr(i).isalnum() else 32 for i in range(256))
-_BETWEEN_WIDE = re.compile(r"[^\w\x00-\x7f]+")
+_BETWEEN_WIDE = re.compile(r"[^\w\x00-\x7f]")
+_ASCII = bytes(range(128))
 
 
 class Words(dict):
@@ -50,38 +51,73 @@ class Words(dict):
         if len(self) > 300_000:
             self.clear()
         text = text.lower()
+        spaced = text.encode().translate(_BETWEEN)
         if not text.isascii():
-            text = _BETWEEN_WIDE.sub(" ", text)
-        words = text.encode().translate(_BETWEEN).split()
+            for sign in set(spaced.translate(None, _ASCII).decode()):
+                if _BETWEEN_WIDE.match(sign):
+                    spaced = spaced.replace(sign.encode(), b" ")
+        words = spaced.split()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def runs(h: np.ndarray, length: int, most: int) -> np.ndarray:
-    """The ``most`` least hashes of the runs of ``length`` words; of a shorter body the hash of all its words."""
-    n = min(length, len(h))
+def _run_hashes(h: np.ndarray, length: int, n: int) -> np.ndarray:
+    """The hashes of all runs of ``n`` words, in order; ``length`` is what they stand for."""
     with np.errstate(over="ignore"):
         g = h[: len(h) - n + 1] + np.uint64(length)
         for k in range(1, n):
             g = (g ^ (g >> np.uint64(31))) * _MIX + h[k : len(h) - n + 1 + k]
         g = (g ^ (g >> np.uint64(29))) * _MIX
         g ^= g >> np.uint64(32)
-    g.sort()
-    return g[np.concatenate(([True], g[1:] != g[:-1]))][:most].view(np.int64)
+    return g
+
+
+def _least(g: np.ndarray, most: int) -> np.ndarray:
+    """The ``most`` least of some hashes, each once."""
+    g = np.sort(g)
+    other = np.empty(len(g), bool)
+    other[0] = True
+    np.not_equal(g[1:], g[:-1], out=other[1:])
+    return g[other][:most].view(np.int64)
+
+
+def runs(h: np.ndarray, length: int, most: int) -> np.ndarray:
+    """The ``most`` least hashes of the runs of ``length`` words; of a shorter body the hash of all its words."""
+    return _least(_run_hashes(h, length, min(length, len(h))), most)
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
     """A body's paragraph hashes."""
-    long = runs(h, LONG_RUN, LONG_SKETCH)
-    return np.concatenate((long, runs(h, SHORT_RUN, SHORT_SKETCH))) if len(h) < SHORT_BODY else long
+    return sketches([h])[0]
+
+
+#: So many bodies' runs are hashed at once, as one row of words.
+AT_ONCE = 256
+
+
+def sketches(bodies: list[np.ndarray]) -> list[np.ndarray]:
+    """The paragraph hashes of each body; runs across their borders are left out."""
+    out = []
+    for k in range(0, len(bodies), AT_ONCE):
+        some = bodies[k : k + AT_ONCE]
+        row = np.concatenate(some)
+        long, short = (_run_hashes(row, n, min(n, len(row))) for n in (LONG_RUN, SHORT_RUN))
+        at = 0
+        for h in some:
+            end = at + len(h)
+            own = _least(long[at : end - LONG_RUN + 1], LONG_SKETCH) if len(h) >= LONG_RUN else runs(h, LONG_RUN, LONG_SKETCH)
+            if len(h) < SHORT_BODY:
+                own = np.concatenate((own, _least(short[at : end - SHORT_RUN + 1], SHORT_SKETCH) if len(h) >= SHORT_RUN else runs(h, SHORT_RUN, SHORT_SKETCH)))
+            out.append(own)
+            at = end
+    return out
 
 
 def body_of(content: str, cutter: Cutter, low: set[int]) -> str:
-    lines = split_lines(content)
-    gone = set(cutter.outside(lines, low))
-    return "\n".join(x.strip() for i, x in enumerate(lines) if i not in gone and x.strip())
+    gone = set(cutter.outside(content, low))
+    return "\n".join(s for i, x in enumerate(split_lines(content)) if i not in gone and (s := x.strip()))
 
 
 def signatures(data: DataFrame, low: DataFrame, cutter) -> DataFrame:
@@ -94,7 +130,7 @@ def signatures(data: DataFrame, low: DataFrame, cutter) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work, words = cutter.value, Words()
         for batch in batches:
-            keep, exact, marks, spelled = [], [], [], []
+            keep, exact, spelled = [], [], []
             sets: dict[str, set[int]] = {}
             lows = batch.column(5)
             for k, (site, content) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
@@ -110,11 +146,10 @@ def signatures(data: DataFrame, low: DataFrame, cutter) -> DataFrame:
                     continue
                 keep.append(k)
                 exact.append(xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63))
-                marks.append(sketch(h))
-                spelled.append((h & np.uint64(0x7FFFFFFF)).astype(np.int32))
-            rows = batch.take(pa.array(keep, pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [rows.column(0), rows.column(3), rows.column(4), pa.array(exact, pa.int64()), pa.array(marks, pa.list_(pa.int64())), pa.array(spelled, pa.list_(pa.int32()))], names=["id", "t", "h", "exact", "runs", "words"])
+                spelled.append(h)
+            rows = batch.select([0, 3, 4]).take(pa.array(keep, pa.int32()))
+            marks, short = sketches(spelled), [(h & np.uint64(0x7FFFFFFF)).astype(np.int32) for h in spelled]
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(exact, pa.int64()), pa.array(marks, pa.list_(pa.int64())), pa.array(short, pa.list_(pa.int32()))], names=["id", "t", "h", "exact", "runs", "words"])
 
     return with_low(pages, low).select("id", "site", "content", "t", "h", "low").mapInArrow(sign, "id string, t timestamp_ntz, h long, exact long, runs array<long>, words array<int>").withColumn("row", F.monotonically_increasing_id())
 
@@ -133,6 +168,10 @@ def common_in_sequence(a: list, b: list) -> int:
     return len(a) - free.bit_count()
 
 
+#: Words are told apart by their last 12 bits first.
+_REST = 4095
+
+
 def agreement(a: np.ndarray, b: np.ndarray, least: float = SAME) -> float:
     """Share of words that two sequences have in common in the same order, of both together; 0 if surely under ``least``."""
     total = len(a) + len(b)
@@ -140,6 +179,9 @@ def agreement(a: np.ndarray, b: np.ndarray, least: float = SAME) -> float:
         return 1.0
     if 2 * min(len(a), len(b)) < least * total:
         return 0.0
+    # At least as many as they have in common, as words of the same last bits count as one.
+    if 2 * int(np.minimum(np.bincount(a & _REST, minlength=_REST + 1), np.bincount(b & _REST, minlength=_REST + 1)).sum()) < least * total:
+        return 0.0
     a, b = a.tolist(), b.tolist()
     if 2 * sum((Counter(a) & Counter(b)).values()) < least * total:
         return 0.0
@@ -277,7 +319,7 @@ class History:
         mine = materialize(mine.select("h", "t", F.posexplode("runs").alias("place", "run")).select("run", "h", "t", (F.col("place") < LEADING).alias("leading")), "batch-runs")
         holders = mine.withColumn("new", F.lit(True))
         if self.loads():
-            held = self.held("runs").select("run", "h", "t", "leading").join(mine.select("run").distinct(), "run", "left_semi")
+            held = self.held("runs").select("run", "h", "t", "leading").join(mine.select("run"), "run", "left_semi")
             holders = holders.unionByName(materialize(held, "held-runs").withColumn("new", F.lit(False)))
         # First the earliest holders of its paragraphs, of which a body has few and a group of copies one; then, without the
         # records these settle, all earlier holders of its rarest ones.
@@ -313,18 +355,21 @@ def repeated_records(data: DataFrame, *, loads: int = LOADS) -> DataFrame:
     earlier; records of equal time don't exclude each other. An empty table gives no rows.
     """
     spark = data.sparkSession
+    day = F.datediff(F.col("t").cast("date"), F.lit("1970-01-01").cast("date"))
+    lo, hi = data.select(F.col("scraped_at").cast("timestamp_ntz").alias("t")).agg(F.min(day), F.max(day)).first()
+    if lo is None:
+        return data.select(F.col("id").cast("string").alias("id")).limit(0)
     pages = data.select(site_of(F.col("url")).alias("site"), "content")
     low, shared = style_tree(pages)
     cutter = spark.sparkContext.broadcast(load_cutter(shared))
-    signed = materialize(signatures(data, low, cutter), "signatures")
-    day = F.datediff(F.col("t").cast("date"), F.lit("1970-01-01").cast("date"))
-    lo, hi = signed.agg(F.min(day), F.max(day)).first()
-    if lo is None:
-        return signed.select("id").limit(0)
+    size = max(1, -(-(hi - lo + 1) // loads))
+    # A folder for each load, which reads its own rows alone, several times.
+    part = F.floor((day - F.lit(lo)) / F.lit(size)).cast("int")
+    signed = materialize(signatures(data, low, cutter).withColumn("part", part), "signatures", "part")
     history = History(spark, f"{shared_dir(spark)}/weftline/history-{uuid.uuid4().hex}", BUCKETS)
-    size, cases = max(1, -(-(hi - lo + 1) // loads)), None
-    for start in range(lo, hi + 1, size):
-        refused = materialize(history.accept(signed.filter(day.between(start, start + size - 1))), "load-cases")
+    cases = None
+    for k in range(-(-(hi - lo + 1) // size)):
+        refused = materialize(history.accept(signed.filter(F.col("part") == k).drop("part")), "load-cases")
         cases = refused if cases is None else cases.unionByName(refused)
     history.drop()
     return cases.distinct()

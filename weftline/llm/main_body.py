@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,21 +36,23 @@ SALTS = 32
 
 
 _ASCII, _ASCII_OTHER = bytes(range(128)), bytes(i for i in range(128) if not chr(i).isalpha())
+_OTHER_IN_LINES = _ASCII_OTHER.replace(b"\n", b"")
 _LOWER = bytes(range(128)).lower() + bytes(range(128, 256))
 _OTHER = re.compile(r"[\W\d_]")
 _ITEM = re.compile(r"\s*(?:[-*•‣▪–·»>]|\(?\d{1,3}[.)]|\(?[a-z]\))\s+\S")
 _CRUMB = re.compile(r"\s*[-•*]?\s*home\s*(?:[>›»/|:→\\]|::)\s*\S", re.I)
 _DIGIT, _DIGITS = re.compile(r"\d"), re.compile(r"\d+")
-_TRAIL = re.compile(r"[\s»«›‹\-–•*|]+$")
-_LEAD = re.compile(r"^[\s»«›‹\-–•*|]+")
+#: What a list entry, and a breadcrumb, can begin with, besides numbers and letters in brackets.
+_ITEM_SIGNS, _CRUMB_SIGNS = frozenset("-*•‣▪–·»>("), frozenset("hH-•*")
+_EDGE = "".join(c for c in map(chr, range(0x3001)) if c.isspace()) + "»«›‹-–•*|"
 
 
-def letter_bytes(line: str) -> bytes:
-    """The letters of a line, lower case, in UTF-8."""
-    if line.isascii():
-        return line.encode().translate(_LOWER, _ASCII_OTHER)
-    out = line.lower().encode("utf-8", "ignore").translate(None, _ASCII_OTHER)
-    # A line has few signs beyond ASCII, and fewer that are no letters.
+def letter_bytes(text: str, other: bytes = _ASCII_OTHER) -> bytes:
+    """The letters of a text, lower case, in UTF-8; of the ASCII signs only ``other`` are left out."""
+    if text.isascii():
+        return text.encode().translate(_LOWER, other)
+    out = text.lower().encode("utf-8", "ignore").translate(None, other)
+    # A text has few signs beyond ASCII, and fewer that are no letters.
     for sign in set(out.translate(None, _ASCII).decode()):
         if _OTHER.match(sign):
             out = out.replace(sign.encode(), b"")
@@ -61,6 +64,11 @@ def letters(line: str) -> str:
     return letter_bytes(line).decode()
 
 
+def line_letters(text: str) -> list[bytes]:
+    """The letters of every line of a text, found in the text as a whole."""
+    return letter_bytes(text, _OTHER_IN_LINES).split(b"\n")
+
+
 def key_of(text: str | bytes) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
@@ -70,9 +78,9 @@ def look(line: str) -> str:
     s = line.strip()
     if not s:
         return "z"
-    if _ITEM.match(line):
+    if (s[0] in _ITEM_SIGNS or s[0].isdecimal() or s[1:2] == ")") and _ITEM.match(line):
         return "b"
-    if s.count(" | ") >= 2 and any(c.isdigit() for c in s):
+    if s.count(" | ") >= 2 and any(map(str.isdigit, s)):
         return "t"
     n = s.count(" ") + 1
     if n > 3 and s[-1] in ".!?।。" and not s.endswith(".."):
@@ -82,7 +90,7 @@ def look(line: str) -> str:
 
 def skeletons(line: str) -> tuple[int, int]:
     """Keys of a line's presentation: names and numbers masked; with its first word, and without."""
-    words = _TRAIL.sub("", _LEAD.sub("", line)).split()
+    words = line.strip(_EDGE).split()
     if not words:
         return key_of("1"), key_of("2")
     rest: list[str] = []
@@ -93,7 +101,8 @@ def skeletons(line: str) -> tuple[int, int]:
         else:
             rest.append(w)
     tail = " ".join(rest)
-    return key_of("1" + _DIGITS.sub("0", words[0].lower()) + " " + tail), key_of("2" + tail)
+    first = words[0].lower()
+    return key_of("1" + (first if first.isalpha() else _DIGITS.sub("0", first)) + " " + tail), key_of("2" + tail)
 
 
 #: Lines up to this length come again and again and are remembered.
@@ -101,11 +110,10 @@ SHORT_LINE = 80
 
 
 class Lines(dict):
-    """What is looked at in a line: its look, the key of its letters (0 without any), whether it is a breadcrumb."""
+    """What is looked at in a line besides its letters: its look, whether it is a breadcrumb."""
 
-    def __missing__(self, line: str) -> tuple[str, int, bool]:
-        own = letter_bytes(line)
-        known = (look(line), key_of(own) if own else 0, _CRUMB.match(line) is not None)
+    def __missing__(self, line: str) -> tuple[str, bool]:
+        known = (look(line), line.lstrip()[:1] in _CRUMB_SIGNS and _CRUMB.match(line) is not None)
         if len(line) <= SHORT_LINE:
             if len(self) >= 200_000:
                 self.clear()
@@ -119,52 +127,65 @@ def split_lines(text: str) -> list[str]:
 
 def _tree_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of the nodes of the pages at hand, added up before they are shuffled."""
-    counts: dict[tuple[str, int, int], list[int]] = {}
-    known, shown = Lines(), {}
+    pages: Counter[str] = Counter()
+    content: defaultdict[str, Counter[int]] = defaultdict(Counter)
+    # How often a short line was seen, and with body text after and before it; and the same of the nodes.
+    headings: dict[str, list[int]] = {}
+    shown: dict[int, list[int]] = {}
+    known = Lines()
+
+    def settle() -> None:
+        for line, seen in headings.items():
+            for node in skeletons(line):
+                held = shown.get(node)
+                if held is None:
+                    shown[node] = seen.copy()
+                else:
+                    for i in range(3):
+                        held[i] += seen[i]
+        headings.clear()
 
     def flush() -> pa.RecordBatch:
-        keys = list(counts)
+        settle()
+        sites, kinds, nodes, counts = list(pages), [0] * len(pages), [0] * len(pages), list(pages.values())
+        for site, own in content.items():
+            sites += [site] * len(own)
+            nodes += own
+            counts += own.values()
+        kinds += [1] * (len(sites) - len(kinds))
+        plain = [0] * len(sites)
         out = pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int8()), pa.array([k[2] for k in keys], pa.int64()),
-             *(pa.array([v[i] for v in counts.values()], pa.int64()) for i in range(3))],
+            [pa.array(sites + [""] * len(shown), pa.string()), pa.array(kinds + [2] * len(shown), pa.int8()), pa.array(nodes + list(shown), pa.int64()),
+             pa.array(counts + [v[0] for v in shown.values()], pa.int64()), *(pa.array(plain + [v[i] for v in shown.values()], pa.int64()) for i in (1, 2))],
             names=["site", "kind", "node", "n", "body_next", "body_prev"],
         )
-        counts.clear()
+        for held in (pages, content, shown):
+            held.clear()
         return out
 
-    def add(site: str, kind: int, node: int, after: int = 0, before: int = 0) -> None:
-        held = counts.get((site, kind, node))
-        if held is None:
-            counts[site, kind, node] = [1, after, before]
-        else:
-            held[0] += 1
-            held[1] += after
-            held[2] += before
-
     for batch in batches:
-        for site, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            add(site, 0, 0)
-            if not content:
+        for site, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            pages[site] += 1
+            if not text:
                 continue
-            lines = [x for x in split_lines(content) if x.strip()]
-            facts = [known[x] for x in lines]
-            for node in {f[1] for f in facts}:
-                if node:
-                    add(site, 1, node)
-            looks = [f[0] for f in facts] + ["h"]
+            content[site].update({key_of(own) for own in set(line_letters(text)) if own})
+            lines = [x for x in split_lines(text) if x.strip()]
+            looks = [known[x][0] for x in lines] + ["h"]
+            full = [k in "pbtl" for k in looks]
             for i, x in enumerate(lines):
                 if looks[i] == "h":
-                    after, before = int(looks[i + 1] in "pbtl"), int(looks[i - 1] in "pbtl")
-                    both = shown.get(x)
-                    if both is None:
-                        if len(shown) >= 200_000:
-                            shown.clear()
-                        shown[x] = both = skeletons(x)
-                    for node in both:
-                        add("", 2, node, after, before)
-        if len(counts) > 200_000:
+                    held = headings.get(x)
+                    if held is None:
+                        headings[x] = [1, int(full[i + 1]), int(full[i - 1])]
+                    else:
+                        held[0] += 1
+                        held[1] += full[i + 1]
+                        held[2] += full[i - 1]
+            if len(headings) >= 200_000:
+                settle()
+        if len(shown) + sum(map(len, content.values())) > 200_000:
             yield flush()
-    if counts:
+    if pages:
         yield flush()
 
 
@@ -205,48 +226,45 @@ class Cutter:
 
     def __init__(self, anywhere: set[int], shown: dict[int, tuple[int, int, int]]) -> None:
         self.anywhere, self.shown = anywhere, shown
-        self._memo: dict[str, tuple[float, float]] = {}
+        self._memo: dict[str, tuple[float, float, bool]] = {}
         self._lines = Lines()
 
-    def body_near(self, line: str) -> tuple[float, float]:
-        """How often body text follows and precedes the line's presentation node, smoothed by its wider node."""
+    def body_near(self, line: str) -> tuple[float, float, bool]:
+        """How often body text follows and precedes the line's presentation node, smoothed by its wider node; whether it was seen often."""
         known = self._memo.get(line)
         if known is None:
             one, two = skeletons(line)
             n2, a2, b2 = self.shown.get(two, (0, 0, 0))
             n1, a1, b1 = self.shown.get(one, (0, 0, 0))
-            known = (a1 + 4 * (a2 + 1.0) / (n2 + 2.0)) / (n1 + 4), (b1 + 4 * (b2 + 0.2) / (n2 + 2.0)) / (n1 + 4)
+            known = (a1 + 4 * (a2 + 1.0) / (n2 + 2.0)) / (n1 + 4), (b1 + 4 * (b2 + 0.2) / (n2 + 2.0)) / (n1 + 4), n1 >= ALONE_LEAST
             if len(self._memo) > 100_000:
                 self._memo.clear()
             self._memo[line] = known
         return known
 
-    def common(self, line: str) -> bool:
-        return self.shown.get(skeletons(line)[0], (0,))[0] >= ALONE_LEAST
-
-    def outside(self, lines: list[str], low: set[int]) -> list[int]:
-        """Numbers of the non-blank lines outside the main body."""
+    def outside(self, content: str, low: set[int]) -> list[int]:
+        """Numbers of the non-blank lines of a page outside its main body."""
         out: list[int] = []
         general: list[int] = []
         furniture = body = False
         known = self._lines
-        for i, line in enumerate(lines):
-            kind, key, crumb = known[line]
+        for i, (line, own) in enumerate(zip(split_lines(content), line_letters(content))):
+            kind, crumb = known[line]
             if kind == "z":
                 continue
-            own = key != 0
-            if (own and key in low) or crumb:
+            key = key_of(own) if own else None
+            if crumb or key in low:
                 out.append(i)
                 furniture = kind == "h"
                 continue
-            if own and key in self.anywhere and (kind != "h" or self.body_near(line)[0] < BODY_NEXT):
+            if key in self.anywhere and (kind != "h" or self.body_near(line)[0] < BODY_NEXT):
                 out.append(i)
                 general.append(i)
                 furniture = kind == "h"
                 continue
             if kind == "h" or (kind == "l" and furniture and line.count(" ") < 30):
-                after, before = self.body_near(line)
-                if (furniture and after < BODY_NEXT and before < BODY_PREV) or (after < ALONE_NEXT and before < ALONE_PREV and self.common(line)):
+                after, before, often = self.body_near(line)
+                if (furniture and after < BODY_NEXT and before < BODY_PREV) or (after < ALONE_NEXT and before < ALONE_PREV and often):
                     out.append(i)
                     furniture = True
                     continue
@@ -294,7 +312,7 @@ def outside_lines(data: DataFrame) -> DataFrame:
                     continue
                 if site not in low_sets:
                     low_sets[site] = set(lows[k].as_py() or ())
-                out = work.outside(split_lines(content), low_sets[site])
+                out = work.outside(content, low_sets[site])
                 ids += [i] * len(out)
                 numbers += out
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(numbers, pa.int32())], names=["id", "line_no"])

@@ -117,7 +117,7 @@ def page_evidence(data: DataFrame) -> DataFrame:
                 few, cue, mismatch, key = False, "none", 0.0, None
                 if content and not residue:
                     lines = split_lines(content)
-                    gone = set(work.outside(lines, sets[site]))
+                    gone = set(work.outside(content, sets[site]))
                     body = [x for n, x in enumerate(lines) if n not in gone and x.strip()]
                     words = [w for x in body for w in _WORD.findall(x.lower())]
                     latin = sum(w in _LATIN for w in words) > 0.5 * len(words)

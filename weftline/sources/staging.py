@@ -44,11 +44,14 @@ def _drop_written() -> None:
 atexit.register(_drop_written)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read again: a cut in the lineage that outlives any executor."""
+def materialize(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """``df`` written once to the shared folder and read again: a cut in the lineage that outlives any executor.
+
+    ``by``: its last columns, of whose values each has a folder of its own.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     _written.append((spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), spark.sparkContext._jsc.hadoopConfiguration()))
     return spark.read.schema(df.schema).parquet(path)
 
